@@ -1,0 +1,46 @@
+"""Declared schemas of the tables this library reads and writes."""
+
+from pyspark.sql import types as T
+
+VECTOR = T.ArrayType(T.DoubleType())
+
+
+def _struct(*fields: tuple) -> T.StructType:
+    return T.StructType([T.StructField(name, kind, nullable) for name, kind, nullable in fields])
+
+
+PREFERENCE = _struct(
+    ("example_num", T.LongType(), False),
+    ("prompt", T.StringType(), True),
+    ("chosen", T.StringType(), True),
+    ("rejected", T.StringType(), True),
+    ("subset", T.StringType(), True),
+)
+
+CONVERSATION = T.ArrayType(_struct(("role", T.StringType(), False), ("content", T.StringType(), True)))
+
+FEATURES = _struct(("example_num", T.LongType(), False), ("features", T.ArrayType(T.FloatType()), True))
+
+SCORES = _struct(
+    ("example_num", T.LongType(), False),
+    ("score_chosen", T.DoubleType(), True),
+    ("score_rejected", T.DoubleType(), True),
+)
+
+REDUNDANCY = _struct(
+    ("example_num", T.LongType(), False),
+    ("is_redundant", T.BooleanType(), False),
+    ("residual", T.DoubleType(), True),
+    ("r2_score", T.DoubleType(), True),
+    ("method", T.StringType(), False),
+    ("is_zero", T.BooleanType(), False),
+)
+
+HALF_SPACE = _struct(
+    ("example_num", T.LongType(), False),
+    ("is_redundant", T.BooleanType(), False),
+    ("min_value", T.DoubleType(), True),
+    ("method", T.StringType(), False),
+)
+
+SECTION_SUBSETS = _struct(("section", T.StringType(), False), ("subset", T.StringType(), False))
