@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 NORM_EPS = 1e-12
 ZERO_ATOL = 1e-10
 
-# Above this many components a dot product is a loop over the array instead of a flat sum,
-# which keeps the generated code small.
-UNROLL_LIMIT = 256
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -64,15 +59,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def weighted_sum(v: Column | str, weights: Sequence[float]) -> Column:
-    """Σ w_j · v_j for weights known when the plan is built."""
-    v = as_double(v)
-    if len(weights) <= UNROLL_LIMIT:
-        # An array shorter than the weights gives NULL here, as the loop below does.
-        out = F.get(v, F.lit(0)) * F.lit(float(weights[0]))
-        for j, w in enumerate(weights[1:], start=1):
-            out = out + F.get(v, F.lit(j)) * F.lit(float(w))
-        return out
-    return dot(v, F.array(*[F.lit(float(w)) for w in weights]))
+    """Σ w_j · v_j for weights known when the plan is built; the weights fold into one literal array."""
+    return dot(as_double(v), F.array(*[F.lit(float(w)) for w in weights]))
 
 
 def is_zero(v: Column | str) -> Column:

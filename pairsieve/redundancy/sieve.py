@@ -550,7 +550,7 @@ class Sieve:
                 p.block = [t]
                 waiting.append(p)
         while waiting:
-            self._scan(waiting)
+            self.scan(waiting)
             for p in list(waiting):
                 t = p.block[0]
                 if t.verified:
@@ -670,7 +670,7 @@ class Sieve:
                 self._advance(p)
             active = [p for p in active if any(t.redundant is None for t in p.block)]
             if active:
-                self._scan(active)
+                self.scan(active)
         for p in problems:
             p.block = []
 
@@ -744,7 +744,7 @@ class Sieve:
             .agg(F.collect_set("_problem").alias("_kept_by"))
         )
 
-    def _scan(self, problems: list[Problem]) -> None:
+    def scan(self, problems: list[Problem]) -> None:
         """One pass over all rows: rows that would change an open solution join its working set."""
         targets: dict[str, list] = {}
         for p in problems:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(app: str = "pairsieve", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    app: str = "pairsieve", cpus: int | str = "*", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
     """A session for tests and the local benchmark. On a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -22,8 +24,10 @@ def local_session(app: str = "pairsieve", cpus: int | str = "*", shuffle_partiti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config(CHECKPOINT_KEY, shared)
+    return builder.getOrCreate()
 
 
 _local_scratch: dict[str, str] = {}
@@ -34,12 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local-mode session without the setting gets a temporary folder; a cluster without it is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="pairsieve-")
     return _local_scratch[app]
