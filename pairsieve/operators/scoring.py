@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,19 +81,21 @@ def score_pairs(
             + [T.StructField("score_chosen", T.DoubleType()), T.StructField("score_rejected", T.DoubleType())]
             + [T.StructField("f_chosen", vector), T.StructField("f_rejected", vector)]
         )
-        build, kept = scorer.build, list(keep)
+        build, kept, names = scorer.build, list(keep), schema.names
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             score = build()
             for batch in batches:
-                out = batch[kept].copy()
-                for side, column in (("chosen", chosen), ("rejected", rejected)):
-                    scores, features = score(batch[column])
-                    out[f"score_{side}"] = list(scores)
-                    out[f"f_{side}"] = [list(map(float, f)) for f in features]
-                yield out[kept + ["score_chosen", "score_rejected", "f_chosen", "f_rejected"]]
-
-        scored = narrow.mapInPandas(run, schema)
+                scores, features = [], []
+                for column in (chosen, rejected):
+                    s, f = score(batch.column(batch.schema.get_field_index(column)).to_pandas())
+                    # Arrow, unlike pandas, tells NaN from NULL.
+                    scores.append(pa.array([float(x) for x in s], pa.float64()))
+                    features.append(pa.array([[float(x) for x in v] for v in f], pa.list_(pa.float64())))
+                kept_columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays(kept_columns + scores + features, names=names)
+
+        scored = narrow.mapInArrow(run, schema)
     return scored.withColumns(
         {
             "had_nan": F.isnan("score_chosen") | F.isnan("score_rejected"),

@@ -68,7 +68,6 @@ def _fit_broadcast(rows: DataFrame, base: DataFrame, method: str, d: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, matrix = shared.value
-        gram = matrix @ matrix.T if method == "nnls" else None
         inverse = np.linalg.pinv(matrix.T) if method == "lstsq" else None
         for batch in batches:
             if batch.num_rows == 0:
@@ -77,7 +76,7 @@ def _fit_broadcast(rows: DataFrame, base: DataFrame, method: str, d: int) -> Dat
             if method == "lstsq":
                 x = y @ inverse.T
             else:
-                x = np.array([kernels.nnls(matrix, row, gram)[0] for row in y]).reshape(len(y), len(keys))
+                x = np.array([kernels.nnls(matrix, row)[0] for row in y]).reshape(len(y), len(keys))
             entries = [
                 [{"basis_key": int(keys[j]), "coefficient": float(row[j])} for j in np.flatnonzero(row)] for row in x
             ]
@@ -149,22 +148,26 @@ def _fit_scanning(rows: DataFrame, base: DataFrame, n: int, d: int, block_rows:
             break
         last = block[-1]["_id"]
         problem.block = [Target(LOWEST_KEY, np.array(r["_vec"]), 1.0) for r in block]
+        open_targets = set(range(len(block)))
         solutions: dict[int, np.ndarray] = {}
-        while not all(t.verified for t in problem.block):
-            for i, t in enumerate(problem.block):
-                if t.verified:
-                    continue
-                matrix = np.array(list(t.extra.values())).reshape(-1, d)
-                x, left = kernels.nnls(matrix, t.vec)
-                solutions[i] = x
-                t.verdict = kernels.Verdict(False, 0.0, left, kernels.IMPROVES * float(np.linalg.norm(left)) + 1e-12)
-            sieve.scan([problem])
+        while open_targets:
+            matrix = np.array(list(problem.hits.values())).reshape(-1, d)
+            asked = []
+            for i in open_targets:
+                solutions[i], left = kernels.nnls(matrix, problem.block[i].vec)
+                limit = kernels.IMPROVES * float(np.linalg.norm(left)) + 1e-12
+                asked.append((problem, i, LOWEST_KEY, left, limit))
+            open_targets = {i for _, i in sieve.scan(asked)}
+        keys, matrix = list(problem.hits), np.array(list(problem.hits.values())).reshape(-1, d)
         out = []
-        for i, (r, t) in enumerate(zip(block, problem.block)):
-            matrix = np.array(list(t.extra.values())).reshape(-1, d)
-            entries = [(k, float(c)) for k, c in zip(t.extra, solutions[i]) if c > 0]
-            out.append((r["_id"], entries, [float(v) for v in solutions[i] @ matrix] if len(matrix) else [0.0] * d))
+        for i, r in enumerate(block):
+            x = solutions[i]  # rows found after this target was settled have no weight
+            entries = [(k, float(c)) for k, c in zip(keys, x) if c > 0]
+            out.append((r["_id"], entries, [float(v) for v in x @ matrix[: len(x)]]))
+        problem.hits = {}
         done.append(spark.createDataFrame(out, FIT))
+    if not done:
+        return spark.createDataFrame([], FIT)
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)

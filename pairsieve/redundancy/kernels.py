@@ -28,53 +28,53 @@ def lstsq_residual(basis: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y - basis.T @ x
 
 
-def nnls(basis: np.ndarray, y: np.ndarray, gram: np.ndarray | None = None, usable: np.ndarray | None = None,
-         start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nnls(basis: np.ndarray, y: np.ndarray, usable: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative coefficients that minimise ‖y − basisᵀx‖, and the residual vector.
 
-    The active-set method of Lawson and Hanson on the Gram matrix, finished by a QR solve on the final
-    support. ``usable`` masks basis rows out; ``start`` is a support to begin from.
+    The active-set method of Lawson and Hanson with several rows entering at once, finished by a QR solve on
+    the final support. ``usable`` masks basis rows out.
     """
-    k = len(basis)
+    k, d = basis.shape if basis.ndim == 2 else (0, len(y))
     x = np.zeros(k)
     if k == 0:
         return x, y.copy()
-    gram = basis @ basis.T if gram is None else gram
-    c = basis @ y
     allowed = np.ones(k, dtype=bool) if usable is None else usable.copy()
     support = np.zeros(k, dtype=bool)
+    c = basis @ y
 
     def settle() -> None:
         """Move x to the least-squares point of the support, dropping rows that would turn negative."""
-        while support.any():
-            p = np.flatnonzero(support)
+        p = np.flatnonzero(support)
+        gram = basis[p] @ basis[p].T
+        while len(p):
             try:
-                z = np.linalg.solve(gram[np.ix_(p, p)], c[p])
+                z = np.linalg.solve(gram, c[p])
             except np.linalg.LinAlgError:
-                z = np.linalg.lstsq(gram[np.ix_(p, p)], c[p], rcond=None)[0]
+                z = np.full(len(p), np.inf)
+            if not np.abs(z).max() < 1e8:
+                # Rows that entered together may depend on one another.
+                z = np.linalg.lstsq(gram, c[p], rcond=1e-12)[0]
             if z.min() > 0:
                 x[:] = 0.0
                 x[p] = z
                 return
+            now = x[p]
             falling = z <= 0
-            step = np.min(x[p][falling] / np.maximum(x[p][falling] - z[falling], 1e-300))
-            x[p] += step * (z - x[p])
-            gone = p[falling & (x[p] <= 1e-14)]
-            if len(gone) == 0:
-                gone = p[[np.argmin(np.where(falling, x[p], np.inf))]]
-            x[gone] = 0.0
-            support[gone] = False
-
-    if start is not None and len(start):
-        support[start[allowed[start]]] = True
-        x[support] = 1e-6
-        settle()
+            step = np.min(now[falling] / np.maximum(now[falling] - z[falling], 1e-300))
+            now += step * (z - now)
+            stays = ~(falling & (now <= 1e-14))
+            if stays.all():
+                stays[np.argmin(np.where(falling, now, np.inf))] = False
+            x[p] = np.where(stays, now, 0.0)
+            support[p[~stays]] = False
+            p, gram = p[stays], gram[np.ix_(stays, stays)]
+
     at_once, reached = AT_ONCE, 0.0
     for _ in range(3 * k + 50):
         p = np.flatnonzero(support)
-        w = c - gram[:, p] @ x[p]
+        w = basis @ (y - x[p] @ basis[p])
         w[support | ~allowed] = -np.inf
-        room = max(1, min(at_once, basis.shape[1] - len(p)))
+        room = max(1, min(at_once, d - len(p)))
         entering = np.argpartition(-w, room - 1)[:room] if room < k else np.arange(k)
         entering = entering[w[entering] > GRADIENT_TOL]
         if len(entering) == 0:
@@ -89,10 +89,9 @@ def nnls(basis: np.ndarray, y: np.ndarray, gram: np.ndarray | None = None, usabl
             allowed[entering[0]] = False  # numerically dependent on the support
         reached = max(gain, reached)
     p = np.flatnonzero(support)
-    if len(p):
+    if 0 < len(p) <= d:
         q, r = np.linalg.qr(basis[p].T)
-        diagonal = np.abs(np.diag(r))
-        if len(p) <= basis.shape[1] and diagonal.min() > RANK_TOL:
+        if np.abs(np.diag(r)).min() > RANK_TOL:
             z = np.linalg.solve(r, q.T @ y)
             if z.min() > 0:
                 x[p] = z
@@ -208,10 +207,9 @@ class ConeTest:
     solve_by: str
     threshold: float
 
-    def judge(self, y: np.ndarray, basis: np.ndarray, spread: float, n_columns: int,
-              gram: np.ndarray | None = None, usable: np.ndarray | None = None) -> Verdict:
+    def judge(self, y: np.ndarray, basis: np.ndarray, spread: float, n_columns: int, usable: np.ndarray | None = None) -> Verdict:
         """``spread`` is the centred sum of squares of y; ``n_columns`` counts the non-zero basis rows."""
-        _, left = nnls(basis, y, gram, usable)
+        _, left = nnls(basis, y, usable)
         return self._verdict(left, spread, n_columns)
 
     def _verdict(self, left: np.ndarray, spread: float, n_columns: int) -> Verdict:
@@ -234,7 +232,7 @@ class ConeTest:
 class SpanTest(ConeTest):
     """The same with coefficients of any sign."""
 
-    def judge(self, y, basis, spread, n_columns, gram=None, usable=None) -> Verdict:
+    def judge(self, y, basis, spread, n_columns, usable=None) -> Verdict:
         rows = basis if usable is None else basis[usable]
         return self._verdict(lstsq_residual(rows, y), spread, n_columns)
 
@@ -246,68 +244,61 @@ HALF_SPACE_SLACK = 0.01
 MIN_VALUE_DIGITS = 6
 LARGEST_COMPONENT = 100_000.0
 
-_LEVEL = -1  # the free variable; slack k is −2 − k, constraint row j is j
-
 
 def simplex_minimum(cost: np.ndarray, rows: np.ndarray, usable: np.ndarray | None = None) -> tuple[float | None, np.ndarray | None]:
     """min cost·w over w ≥ 0, Σw = 1, rows·w ≥ 0, and the minimising w; (None, None) when infeasible.
 
     Works on the dual, max s subject to Σ λ_j rows_j + s·1 ≤ cost, where the start s = min(cost) is
-    feasible. Unbounded there means infeasible here.
+    feasible. Unbounded there means infeasible here. Tiny unequal shifts of the cost keep ties, and with them
+    cycles, away; they move the minimum by less than 1e-9.
     """
     d = len(cost)
-    candidates = np.arange(len(rows)) if usable is None else np.flatnonzero(usable)
-    lowest = int(np.argmin(cost))
-    basis = [-2 - k for k in range(d)]
-    basis[lowest] = _LEVEL
-
-    def column(var: int) -> np.ndarray:
-        if var == _LEVEL:
-            return np.ones(d)
-        if var >= 0:
-            return rows[var]
-        unit = np.zeros(d)
-        unit[-2 - var] = 1.0
-        return unit
-
-    inverse = np.linalg.inv(np.column_stack([column(v) for v in basis]))
+    shifted = cost + np.random.default_rng(d).uniform(0.0, 5e-10, size=d)
+    if usable is not None:
+        rows = rows[usable]
+    # Columns of the dual: d slacks, then the rows; s itself never leaves the basis.
+    columns = np.vstack([np.eye(d), rows])
+    lowest = int(np.argmin(shifted))
+    basis = np.arange(d)
+    level = lowest  # the basis place of s
+    basis[lowest] = -1
+    outside = np.ones(len(columns), dtype=bool)
+    outside[basis[basis >= 0]] = False
+
+    def factor() -> np.ndarray:
+        matrix = columns[basis].T.copy()
+        matrix[:, level] = 1.0
+        return np.linalg.inv(matrix)
+
+    inverse = factor()
     still = 0
     for step in range(50 * d + 10 * len(rows) + 200):
-        if step % 40 == 39:
-            inverse = np.linalg.inv(np.column_stack([column(v) for v in basis]))
-        values = inverse @ cost
-        w = inverse[basis.index(_LEVEL)]
-        row_prices = rows[candidates] @ w
-        in_basis = {v for v in basis}
-        # Most negative price enters; after a run of degenerate steps the smallest index does.
-        options = [(w[k], -2 - k) for k in np.flatnonzero(w < -1e-11) if -2 - k not in in_basis]
-        negative = np.flatnonzero(row_prices < -1e-11)
-        if still < 20:
-            if len(negative):
-                j = negative[np.argmin(row_prices[negative])]
-                options.append((row_prices[j], int(candidates[j])))
-            options = [o for o in options if o[1] not in in_basis]
-            entering = min(options)[1] if options else None
-        else:
-            indices = [o[1] for o in options] + [int(candidates[j]) for j in negative]
-            indices = [v for v in indices if v not in in_basis]
-            entering = min(indices) if indices else None
-        if entering is None:
-            return float(values[basis.index(_LEVEL)]), np.maximum(w, 0.0) / np.maximum(w, 0.0).sum()
-        direction = inverse @ column(entering)
-        best, leaving = np.inf, -1
-        for i in np.flatnonzero(direction > 1e-10):
-            if basis[i] == _LEVEL:
-                continue
-            ratio = max(values[i], 0.0) / direction[i]
-            if ratio < best - 1e-13 or (ratio <= best + 1e-13 and leaving >= 0 and basis[i] < basis[leaving]):
-                best, leaving = min(ratio, best), i
-        if leaving < 0:
+        if step % 50 == 49:
+            inverse = factor()
+        w = inverse[level]
+        prices = np.where(outside, columns @ w, np.inf)
+        # The most negative price enters; after a run of steps without progress the first one does.
+        entering = int(np.argmin(prices)) if still < 20 else int(np.argmax(prices < -1e-11))
+        if prices[entering] >= -1e-11:
+            w = np.maximum(w, 0.0)
+            w /= w.sum()
+            return float(cost @ w), w
+        direction = inverse @ columns[entering]
+        can = direction > 1e-10
+        can[level] = False
+        if not can.any():
             return None, None
-        still = still + 1 if best <= 1e-12 else 0
+        values = np.maximum(inverse @ shifted, 0.0)
+        ratios = np.full(d, np.inf)
+        ratios[can] = values[can] / direction[can]
+        tied = np.flatnonzero(ratios <= ratios.min() + 1e-13)
+        leaving = tied[np.argmin(basis[tied])]
+        still = still + 1 if ratios[leaving] <= 1e-13 else 0
         pivot = inverse[leaving] / direction[leaving]
         inverse -= np.outer(direction, pivot)
         inverse[leaving] = pivot
+        outside[basis[leaving]] = True
+        outside[entering] = False
         basis[leaving] = entering
     raise ArithmeticError("the half-space programme did not converge")
 
@@ -320,8 +311,7 @@ class HalfSpaceTest:
         """Rows without a component below −slack: the minimum over the simplex is the smallest component."""
         return rows.min(axis=1) >= -HALF_SPACE_SLACK
 
-    def judge(self, y: np.ndarray, basis: np.ndarray, spread: float, n_columns: int,
-              gram: np.ndarray | None = None, usable: np.ndarray | None = None) -> Verdict:
+    def judge(self, y: np.ndarray, basis: np.ndarray, spread: float, n_columns: int, usable: np.ndarray | None = None) -> Verdict:
         lowest, w = simplex_minimum(y + HALF_SPACE_SLACK, basis + HALF_SPACE_SLACK, usable)
         if lowest is None:
             return Verdict(False, np.nan, np.zeros(len(y)), np.inf)

@@ -27,6 +27,8 @@ def test_nnls_equals_enumeration(seed, k, d, whole):
 @given(st.integers(0, 10**6), st.integers(0, 5), st.integers(2, 4), st.booleans())
 def test_simplex_equals_enumeration(seed, k, d, whole):
     rows, y = _rows(seed, k, d, whole)
+    if seed % 5 == 0:
+        y = np.full(d, y[0])  # every corner of the simplex ties
     got, w = kernels.simplex_minimum(y + 0.01, rows + 0.01)
     want = simplex_minimum(y, rows)
     assert (got is None) == (want is None)
@@ -63,3 +65,11 @@ def test_independent_rows_combine_like_a_sum():
     k, r = np.concatenate([h[0] for h in halves]), np.vstack([h[1] for h in halves])
     assert set(k[kernels.last_independent(k, r)]) == whole
     assert len(whole) == 6
+
+
+def test_simplex_with_tied_costs_in_many_dimensions():
+    rows = np.random.default_rng(0).normal(size=(250, 64)) * 0.2
+    assert kernels.simplex_minimum(np.full(64, 0.01), rows + 0.01) == (None, None)
+    aligned = rows * np.sign(rows.sum(axis=1))[:, None]
+    value, w = kernels.simplex_minimum(np.full(64, 0.01), aligned + 0.01)
+    assert abs(value - 0.01) < 1e-9 and (aligned @ w >= -0.01 - 1e-9).all()
