@@ -52,9 +52,14 @@ def _fitted_sql(length: int, side: str) -> str:
     select doc_id, md5(array_to_string({joined}, ' ')) as tokens_md5, {mask} as mask from tok"""
 
 
+def _tokens(spark, sf):
+    """Documents with their words split once, for expressions that use them several times."""
+    return I.table(spark, sf, "documents").select("doc_id", "lang", split_words("text").alias("words"))
+
+
 def _fitted(spark, sf, length, side):
-    tokens, mask = fit_length(split_words("text"), length, F.lit(PAD), side, side)
-    d = I.table(spark, sf, "documents").select("doc_id", tokens.alias("t"), mask.alias("m"))
+    tokens, mask = fit_length("words", length, F.lit(PAD), side, side)
+    d = _tokens(spark, sf).select("doc_id", tokens.alias("t"), mask.alias("m"))
     return d.select(
         "doc_id",
         F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"),
@@ -79,11 +84,9 @@ def tokens_fitted_left(spark, sf):
 )
 def double_start_removed(spark, sf):
     """English documents get the start token twice, the others once; afterwards each has one."""
-    tokens = split_words("text")
     starts = F.when(F.col("lang") == "en", F.array(F.lit(START), F.lit(START))).otherwise(F.array(F.lit(START)))
-    d = I.table(spark, sf, "documents").select(
-        "doc_id", drop_double_start(F.concat(starts, tokens), F.lit(START)).alias("t")
-    )
+    d = _tokens(spark, sf).select("doc_id", F.concat(starts, "words").alias("t"))
+    d = d.select("doc_id", drop_double_start("t", F.lit(START)).alias("t"))
     return d.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5")
     )
@@ -98,8 +101,8 @@ def double_start_removed(spark, sf):
            md5(array_to_string(t[i + 1:i + 512], ' ')) as tokens_md5 from c""",
 )
 def chunks(spark, sf):
-    d = I.table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(overlapping_chunks(split_words("text"), 256, F.lit(PAD))).alias("chunk", "t")
+    d = _tokens(spark, sf).select(
+        "doc_id", F.posexplode(overlapping_chunks("words", 256, F.lit(PAD))).alias("chunk", "t")
     )
     return d.select(
         "doc_id",

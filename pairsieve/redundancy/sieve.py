@@ -39,7 +39,9 @@ from .kernels import ConeTest, HalfSpaceTest, SpanTest
 SPREAD_FLOOR = 1e-4
 # Vectors of kept rows held on the driver per problem; beyond this the scan looks among kept rows too.
 KEPT_IN_MEMORY = 2048
-LANES = 4
+# Best rows a scan returns per target: few for many targets, more for few.
+LANES = (4, 64)
+SCAN_HITS = 2048
 MERGE_SLOTS = 256
 TAIL_BYTES = 256 << 20
 FLUSH_ROWS = 50_000
@@ -809,9 +811,10 @@ class Sieve:
             # Only later rows count, so rows up to the first target need not be read.
             source = source.where(F.col("_key") > min(int(keys.min()) for _, _, keys, _, _ in table.values()))
         shared = self.spark.sparkContext.broadcast(table)
+        lanes = min(max(SCAN_HITS // len(asked), LANES[0]), LANES[1])
         shape = "_problem int, _position int, _lane int, _score double, _key bigint, _vec array<double>"
         best = (
-            source.mapInArrow(_scan_task(shared, self.d, LANES), shape)
+            source.mapInArrow(_scan_task(shared, self.d, lanes), shape)
             .groupBy("_problem", "_position", "_lane")
             .agg(F.max_by(F.struct("_key", "_vec"), "_score").alias("_row"))
             .collect()
