@@ -182,7 +182,8 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), probs: Se
         ).alias("_cuts"),
         F.sum("_c").alias("_n"),
     )
-    ranged = values.join(cuts, key).withColumn(
+    # Without groups there is one row of cuts; with groups their number decides how Spark joins.
+    ranged = values.join(cuts if by else F.broadcast(cuts), key).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     )
     sizes = ranged.groupBy(*key, "_range", "_n").agg(F.sum("_c").alias("_size"))

@@ -421,15 +421,17 @@ class Sieve:
 
     # -- tail
 
-    def _last_keys(self, source: DataFrame, count: int) -> dict[str, int]:
-        """Per group, the ``count``-th largest key."""
-        narrow = source.select("_g", "_key")
-        if len(self.groups) == 1:
-            last = narrow.orderBy(F.desc("_key")).limit(count)
+    def _edge_keys(self, source: DataFrame, by: str, count: int, last: bool, single: bool) -> dict:
+        """Per value of ``by``: the ``count``-th largest key (``last``) or smallest key. Reads keys only."""
+        order = F.desc("_key") if last else F.asc("_key")
+        narrow = source.select(by, "_key")
+        if single:
+            edge = narrow.orderBy(order).limit(count)
         else:
-            rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("_key")))
-            last = narrow.withColumn("_r", rank).where(F.col("_r") <= count)
-        return {r["_g"]: r["_k"] for r in last.groupBy("_g").agg(F.min("_key").alias("_k")).collect()}
+            rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+            edge = narrow.withColumn("_r", rank).where(F.col("_r") <= count)
+        found = edge.groupBy(by).agg((F.min if last else F.max)("_key").alias("_k")).collect()
+        return {r[by]: r["_k"] for r in found}
 
     def _collect_tails(self) -> dict[str, tuple]:
         """The last ``tail_rows`` fitted rows of each group, in key order."""
@@ -441,7 +443,7 @@ class Sieve:
             if not open_groups:
                 break
             chosen = source if len(open_groups) == len(self.groups) else source.where(F.col("_g").isin(open_groups))
-            cuts = self._last_keys(chosen, reach)
+            cuts = self._edge_keys(chosen, "_g", reach, True, len(self.groups) == 1)
             if not cuts:
                 break
             wanted = self.fit_rows.where(F.col("_key") >= _per_group(cuts))
@@ -661,8 +663,10 @@ class Sieve:
     def _screen_again(self, survivors: DataFrame, problems: list[Problem], n: int) -> DataFrame:
         """One more round: the last survivors of each problem join its pool and stay; the rest are tested."""
         by_number = {p.number: p for p in problems}
-        rank = F.row_number().over(Window.partitionBy("_problem").orderBy(F.desc("_key")))
-        last = survivors.withColumn("_r", rank).where(F.col("_r") <= self.tail_rows).drop("_r").toArrow()
+        cuts = self._edge_keys(survivors, "_problem", self.tail_rows, True, len(problems) == 1)
+        named = survivors.withColumn("_g", F.col("_problem").cast("string"))
+        cut = _per_group({str(number): key for number, key in cuts.items()})
+        last = named.where(F.col("_key") >= cut).drop("_g").toArrow()
         frame = last.combine_chunks().to_batches()[0]
         numbers = frame.column(0).to_numpy(zero_copy_only=False)
         vecs = np.ascontiguousarray(frame.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.d))
@@ -674,10 +678,8 @@ class Sieve:
             n_pool = len(p.tail) + int(mine.sum())
             table[str(number)] = [(int(number), pool, n_pool, int(keys[mine].min()), np.inf)]
         shared = self.spark.sparkContext.broadcast(table)
-        first = {g: entry[0][3] for g, entry in table.items()}
         tests = {p.number: p.test for p in problems}
-        named = survivors.withColumn("_g", F.col("_problem").cast("string")).select("_g", "_key", "_vec", "_spread")
-        cut = _per_group(first)
+        named = named.select("_g", "_key", "_vec", "_spread")
         tested = (
             named.where(F.col("_key") < cut)
             .repartition(max(1, -(-n // 20_000)))
@@ -700,8 +702,11 @@ class Sieve:
         after = survivors.withColumn("_g", F.col("_problem").cast("string")).where(
             F.col("_g").isin(list(cursors)) & (F.col("_key") > _per_group(cursors))
         )
-        rank = F.row_number().over(Window.partitionBy("_problem").orderBy("_key"))
-        rows = after.withColumn("_r", rank).where(F.col("_r") <= self.block_rows).orderBy("_problem", "_key").collect()
+        ends = self._edge_keys(after, "_problem", self.block_rows, False, len(problems) == 1)
+        if not ends:
+            return []
+        within = F.col("_key") <= _per_group({str(number): key for number, key in ends.items()})
+        rows = after.where(within).orderBy("_problem", "_key").collect()
         blocks: dict[int, list[Target]] = {}
         for r in rows:
             blocks.setdefault(r["_problem"], []).append(Target(r["_key"], np.array(r["_vec"]), r["_spread"]))
