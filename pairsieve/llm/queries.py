@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, credentials, encoding, packing, urls
+from . import counting, credentials, encoding, exact, packing, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.duplicate_groups(documents(spark, sf))
+
+
 def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.round_trip(documents(spark, sf), PIECES)
 
@@ -39,6 +43,10 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf), PIECES)
 
 
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.remove_repeats_digests(documents(spark, sf))
+
+
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.secret_digests(documents(spark, sf))
 
@@ -50,15 +58,42 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_exact_dedup,
         op5_sentencepiece,
         op6_packing,
         op7_token_counts,
+        op8_substring_dedup,
         op9_secrets,
         op10_urls,
     )
 }
 
 SQL = {
+    "op2_exact_dedup": """
+        with d as (
+            select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                            'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+            from documents)
+        select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
+               doc_id = max(doc_id) over g as kept, text_sha256
+        from d window g as (partition by text_sha256)
+    """,
+    "op8_substring_dedup": r"""
+        with w as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        starts as (
+            select doc_id, i, array_to_string(ws[i:i + 12], ' ') as seq
+            from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+        first as (select seq, min(doc_id) as lowest from starts group by seq),
+        gone as (
+            select doc_id, list_distinct(flatten(list(range(i, i + 13)))) as places
+            from starts join first using (seq) where doc_id > lowest group by doc_id),
+        kept as (
+            select doc_id, len(ws) as n_words, coalesce(len(places), 0) as n_removed,
+                   list_filter(ws, lambda x, i: not list_contains(coalesce(places, []), i)) as stays
+            from w left join gone using (doc_id))
+        select doc_id, n_words, n_removed, sha256(array_to_string(stays, ' ')) as kept_sha256 from kept
+    """,
     "op10_urls": r"""
         with cut as (
             select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
