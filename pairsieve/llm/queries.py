@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, credentials, encoding, exact, packing, urls, windows
+from . import counting, credentials, encoding, exact, packing, simhash, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf))
+
+
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf))
 
@@ -58,6 +62,7 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_simhash,
         op2_exact_dedup,
         op5_sentencepiece,
         op6_packing,
