@@ -68,8 +68,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents in sequences of ``window`` tokens: every sequence but the last is full.
 
-    Returns ``doc_id, start, length, ids (array<int>), doc_tokens, sequence_id, offset``. A document is its ids and then
-    ``end_id``. One scan tokenizes into a table in the shared folder; each row carries its partition and the number of
+    Returns ``doc_id, start, length, ids (array<int>), ids_crc32, doc_tokens, sequence_id, offset``; the CRC-32 is that of
+    the ids as little-endian unsigned 32-bit numbers. A document is its ids and then ``end_id``. One scan tokenizes into a table in the shared folder; each row carries its partition and the number of
     tokens before it there. A sum per partition gives the offset of each partition (as many numbers as there are
     partitions, and no data, reach the driver). A second scan cuts each document at the multiples of ``window`` that it
     crosses; a document on a boundary gives a piece on either side. No shuffle of rows, whatever their lengths.
@@ -83,12 +83,12 @@ def pack(
 def packed_digests(
     df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", window: int = 1024, end_id: int = 0
 ) -> DataFrame:
-    """Like ``pack`` with ``ids_crc32``, the CRC-32 of the ids as little-endian unsigned 32-bit numbers, in place of ``ids``."""
-    return _cut(df, tokenizer, key, text, window, end_id, digests=True)
+    """Like ``pack`` without ``ids``."""
+    return _cut(df, tokenizer, key, text, window, end_id, with_ids=False)
 
 
 def _cut(
-    df: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int, digests: bool = False
+    df: DataFrame, tokenizer: str, key: str, text: str, window: int, end_id: int, with_ids: bool = True
 ) -> DataFrame:
     spark = df.sparkSession
     with open(tokenizer, "rb") as f:
@@ -120,9 +120,14 @@ def _cut(
         total += totals[part]
     offsets = spark.sparkContext.broadcast(first)
 
+    kinds = {"doc_id": kind, "start": "long", "length": "long", "ids": "array<int>", "ids_crc32": "long"}
+    kinds |= dict.fromkeys(("doc_tokens", "sequence_id", "offset"), "long")
+    if not with_ids:
+        del kinds["ids"]
+
     def cut(batches):
         for batch in batches:
-            out, held = [[] for _ in range(7)], 0
+            out, held = {name: [] for name in kinds}, 0
             columns = [batch.column(i) for i in range(5)]
             for row in range(batch.num_rows):
                 doc, raw, n, before, part = (c[row].as_py() for c in columns)
@@ -130,24 +135,23 @@ def _cut(
                 while begin < n:
                     offset = (place + begin) % window
                     length = min(window - offset, n - begin)
-                    piece = np.frombuffer(raw, f"<u{size}", length, begin * size)
-                    value = zlib.crc32(piece.astype("<u4").tobytes()) if digests else piece.astype(np.int32)
-                    for column, x in zip(out, (doc, begin, length, value, n, (place + begin) // window, offset)):
+                    ids = np.frombuffer(raw, f"<u{size}", length, begin * size).astype("<i4")
+                    values = (doc, begin, length, *[ids] * with_ids, zlib.crc32(ids.tobytes()), n)
+                    for column, x in zip(out.values(), (*values, (place + begin) // window, offset)):
                         column.append(x)
                     begin += length
-                    held += 20 if digests else length
+                    held += length if with_ids else 20
                     if held >= 1_000_000:
-                        yield _pieces(out, batch.schema.field(0).type, digests)
-                        out, held = [[] for _ in range(7)], 0
-            if out[0]:
-                yield _pieces(out, batch.schema.field(0).type, digests)
+                        yield _pieces(out, batch.schema.field(0).type)
+                        out, held = {name: [] for name in kinds}, 0
+            if held:
+                yield _pieces(out, batch.schema.field(0).type)
 
-    value = "ids_crc32 long" if digests else "ids array<int>"
-    schema = f"doc_id {kind}, start long, length long, {value}, doc_tokens long, sequence_id long, offset long"
+    schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
     return table.select("doc_id", "ids", "doc_tokens", "before", "part").mapInArrow(cut, schema)
 
 
-def _pieces(columns: list[list], key: pa.DataType, digests: bool) -> pa.RecordBatch:
-    kinds = [key, pa.int64(), pa.int64(), pa.int64() if digests else pa.list_(pa.int32()), *[pa.int64()] * 3]
-    names = ["doc_id", "start", "length", "ids_crc32" if digests else "ids", "doc_tokens", "sequence_id", "offset"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _pieces(columns: dict[str, list], key: pa.DataType) -> pa.RecordBatch:
+    kinds = {"doc_id": key, "ids": pa.list_(pa.int32())}
+    arrays = [pa.array(c, kinds.get(n, pa.int64())) for n, c in columns.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, credentials, encoding, exact, packing, simhash, sketches, urls, windows
+from . import counting, credentials, encoding, exact, language, packing, simhash, sketches, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf))
 
 
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(documents(spark, sf))
+
+
 def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.compare_versions(documents(spark, sf))
 
@@ -68,6 +72,7 @@ QUERIES = {
     for f in (
         op1_simhash,
         op2_exact_dedup,
+        op3_language,
         op4_fingerprints,
         op5_sentencepiece,
         op6_packing,
