@@ -97,11 +97,11 @@ UNIT_SQL = """u as (
   from (select *, sqrt(f_diff[1] ** 2 + f_diff[2] ** 2) + 1e-12 as n from {source}))"""
 
 GREEDY_SQL = """step as (
-  select grp, solver, threshold, 0::bigint as rn, []::bigint[] as kept, false as red, 0.0::double as r2
+  select grp, solver, threshold, 0::bigint as rn, []::bigint[] as kept, false as red, 0.0::double as r2, 0.0::double as ss
   from (select distinct grp from u) g cross join (values {specs}) s(solver, threshold)
   union all
-  select grp, solver, threshold, rn, case when red then kept else list_append(kept, rn) end, red, r2 from (
-    select grp, solver, threshold, rn, kept, r2, {predicate} as red from (
+  select grp, solver, threshold, rn, case when red then kept else list_append(kept, rn) end, red, r2, ss from (
+    select grp, solver, threshold, rn, kept, r2, ss, {predicate} as red from (
       select *, 1 - ss / tot as r2 from (
         select *, case when solver = 'lstsq' then case when turn > 1e-9 then 0.0 when n_basis = 0 then 1.0 else 1 - best end
                        else {residual} end as ss from (
@@ -125,36 +125,40 @@ def greedy_sql(specs, source="feats", grp="0", by="r2") -> str:
     )
 
 
-def _found(results, *extra):
-    return results.select(*extra, "example_num", F.col("is_redundant").cast("int").alias("is_redundant"))
+def _found(results, *extra, value=None):
+    values = [r6(value).alias(value)] if value else []
+    return results.select(*extra, "example_num", F.col("is_redundant").cast("int").alias("is_redundant"), *values)
+
+
+R2_SQL = "round(r2, 6) + 0.0 as r2_score"
 
 
 @query(
     "greedy_nnls_two_components",
     f"""with recursive {I.FEATS_SQL}, {greedy_sql([('nnls', 0.95)])}
-    select example_num, red::int as is_redundant from step join u using (grp, rn)""",
+    select example_num, red::int as is_redundant, {R2_SQL} from step join u using (grp, rn)""",
 )
 def greedy_nnls_two_components(spark, sf):
-    return _found(find_redundancy(I.feats(spark, sf), components=2))
+    return _found(find_redundancy(I.feats(spark, sf), components=2), value="r2_score")
 
 
 @query(
     "greedy_residual_two_components",
     f"""with recursive {I.FEATS_SQL}, {greedy_sql([('nnls', 0.95)], by='res')}
-    select example_num, red::int as is_redundant from step join u using (grp, rn)""",
+    select example_num, red::int as is_redundant, round(sqrt(ss), 6) + 0.0 as residual from step join u using (grp, rn)""",
 )
 def greedy_residual_two_components(spark, sf):
-    return _found(find_redundancy(I.feats(spark, sf), components=2, solve_by="res"))
+    return _found(find_redundancy(I.feats(spark, sf), components=2, solve_by="res"), value="residual")
 
 
 @query(
     "greedy_sweep_two_components",
     f"""with recursive {I.FEATS_SQL}, {greedy_sql([('nnls', 0.95), ('nnls', 0.8), ('lstsq', 0.95), ('lstsq', 0.6)])}
-    select solver, threshold, example_num, red::int as is_redundant from step join u using (grp, rn)""",
+    select solver, threshold, example_num, red::int as is_redundant, {R2_SQL} from step join u using (grp, rn)""",
 )
 def greedy_sweep_two_components(spark, sf):
     specs = [Spec("nnls", "r2", 0.95), Spec("nnls", "r2", 0.8), Spec("lstsq", "r2", 0.95), Spec("lstsq", "r2", 0.6)]
-    return _found(sweep_redundancy(I.feats(spark, sf), specs, components=2), "solver", "threshold")
+    return _found(sweep_redundancy(I.feats(spark, sf), specs, components=2), "solver", "threshold", value="r2_score")
 
 
 SECTIONED_SQL = f"sectioned as (select example_num, f_diff, section from feats join sections using (subset))"
@@ -164,11 +168,11 @@ SECTIONED_SQL = f"sectioned as (select example_num, f_diff, section from feats j
     "greedy_by_section_two_components",
     f"""with recursive {I.FEATS_SQL}, {I.SECTIONS_SQL}, {SECTIONED_SQL},
     {greedy_sql([('nnls', 0.95)], source='sectioned', grp='section')}
-    select grp as section, example_num, red::int as is_redundant from step join u using (grp, rn)""",
+    select grp as section, example_num, red::int as is_redundant, {R2_SQL} from step join u using (grp, rn)""",
 )
 def greedy_by_section_two_components(spark, sf):
     sectioned = attach_section(I.feats(spark, sf), I.sections(spark))
-    return _found(find_redundancy(sectioned, group_by=["section"], components=2), "section")
+    return _found(find_redundancy(sectioned, group_by=["section"], components=2), "section", value="r2_score")
 
 
 @query(
@@ -200,10 +204,11 @@ HALF_SPACE_SQL = """u as (
   select example_num, row_number() over (order by example_num) as rn, f_diff[1] as x1, f_diff[2] as x2
   from feats where f_chosen[1] + f_chosen[2] > f_rejected[1] + f_rejected[2]),
 step as (
-  select 0::bigint as rn, []::bigint[] as kept, false as red
+  select 0::bigint as rn, []::bigint[] as kept, false as red, 0.0::double as low
   union all
-  select rn, case when red then kept else list_append(kept, rn) end, red from (
-    select rn, kept, lo <= hi and round(least(lo * y1 + (1 - lo) * y2, hi * y1 + (1 - hi) * y2), 6) >= -0.01 as red from (
+  select rn, case when red then kept else list_append(kept, rn) end, red, low from (
+    select rn, kept, lo <= hi and round(least(lo * y1 + (1 - lo) * y2, hi * y1 + (1 - hi) * y2), 6) >= -0.01 as red,
+           case when lo <= hi then least(lo * y1 + (1 - lo) * y2, hi * y1 + (1 - hi) * y2) end as low from (
       select y.rn, s.kept, y.x1 as y1, y.x2 as y2,
              greatest(0.0, coalesce(max(case when b.x1 > b.x2 then (-0.01 - b.x2) / (b.x1 - b.x2) end), 0.0)) as lo,
              least(1.0, coalesce(min(case when b.x1 < b.x2 then (-0.01 - b.x2) / (b.x1 - b.x2) end), 1.0)) as hi
@@ -216,12 +221,12 @@ TWO_ONES = LinearScorer((1.0, 1.0) + (0.0,) * (I.DIM - 2))
 @query(
     "half_space_two_components",
     f"""with recursive {I.FEATS_SQL}, {HALF_SPACE_SQL}
-    select example_num, red::int as is_redundant from step join u using (rn)""",
+    select example_num, red::int as is_redundant, round(low, 6) + 0.0 as min_value from step join u using (rn)""",
 )
 def half_space_two_components(spark, sf):
     """Correctly ranked pairs of a scorer on the simplex, so its weights meet every constraint."""
     scored = score_pairs(I.feats(spark, sf), TWO_ONES, keep=("example_num", "subset", "f_diff"))
-    return _found(half_space_redundancy(M.correct_pairs(scored), components=2))
+    return _found(half_space_redundancy(M.correct_pairs(scored), components=2), value="min_value")
 
 
 @query(
@@ -241,28 +246,41 @@ UNIFORM = LinearScorer((1.0 / I.DIM,) * I.DIM)
 def half_space_all_components(spark, sf):
     """Tested against a sequential linear-programming loop; SQL has no solver in 64 dimensions."""
     scored = score_pairs(I.feats(spark, sf), UNIFORM, keep=("example_num", "subset", "f_diff"))
-    return _found(half_space_redundancy(M.correct_pairs(scored)))
+    return _found(half_space_redundancy(M.correct_pairs(scored)), value="min_value")
 
 
 @query("greedy_nnls")
 def greedy_nnls(spark, sf):
     """All 64 components; tested against the sequential loop."""
     found = find_redundancy(I.feats(spark, sf))
-    return found.select("example_num", F.col("is_redundant").cast("int").alias("is_redundant"), "method")
+    return _found(found, "method", value="r2_score")
+
+
+@query("greedy_residual")
+def greedy_residual(spark, sf):
+    """Residual mode, all 64 components."""
+    return _found(find_redundancy(I.feats(spark, sf), solve_by="res"), value="residual")
+
+
+@query("greedy_sweep")
+def greedy_sweep(spark, sf):
+    """Solvers and thresholds together, all 64 components; the counts are those of the single searches."""
+    specs = [Spec("nnls", "r2", 0.95), Spec("nnls", "r2", 0.8), Spec("lstsq", "r2", 0.95), Spec("lstsq", "r2", 0.6)]
+    return _found(sweep_redundancy(I.feats(spark, sf), specs), "solver", "threshold", value="r2_score")
 
 
 @query("greedy_lstsq")
 def greedy_lstsq(spark, sf):
     """All 64 components; tested against the sequential loop."""
     found = find_redundancy(I.feats(spark, sf), solver="lstsq")
-    return found.select("example_num", F.col("is_redundant").cast("int").alias("is_redundant"), "method")
+    return _found(found, "method", value="r2_score")
 
 
 @query("greedy_by_section")
 def greedy_by_section(spark, sf):
     """All 64 components, each section its own problem; tested against the sequential loop."""
     sectioned = attach_section(I.feats(spark, sf), I.sections(spark))
-    return _found(find_redundancy(sectioned, group_by=["section"]), "section")
+    return _found(find_redundancy(sectioned, group_by=["section"]), "section", value="r2_score")
 
 
 def _roots(spark):

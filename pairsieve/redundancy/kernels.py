@@ -219,6 +219,10 @@ class ConeTest:
         r2 = 1.0 - size * size / spread
         return Verdict(r2 >= self.threshold, r2, left, IMPROVES * size)
 
+    def exact(self, verdict: Verdict, size: float) -> bool:
+        """Whether the fit misses its row by so little that no further row matters."""
+        return float(np.linalg.norm(verdict.direction)) <= size
+
     def prove(self, rows: np.ndarray, spread: np.ndarray, basis: np.ndarray, n_columns: int) -> np.ndarray:
         """Which rows a cheap joint fit on ``basis`` already shows redundant."""
         if self.solve_by == "res":
@@ -307,6 +311,10 @@ def simplex_minimum(cost: np.ndarray, rows: np.ndarray, usable: np.ndarray | Non
 class HalfSpaceTest:
     """Is row·w ≥ −slack implied on the simplex by the same constraint for the basis rows?"""
 
+    def exact(self, verdict: Verdict, size: float) -> bool:
+        """Never: any further row may cut off the point where the minimum is."""
+        return False
+
     def prove(self, rows: np.ndarray, spread: np.ndarray, basis: np.ndarray, n_columns: int) -> np.ndarray:
         """Rows without a component below −slack: the minimum over the simplex is the smallest component."""
         return rows.min(axis=1) >= -HALF_SPACE_SLACK

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,8 @@ from .kernels import LARGEST_COMPONENT
 from ..session import materialise
 from .sieve import SPREAD_FLOOR, TAIL_BYTES, Sieve, Spec
 
-MAX_GROUPS = 10_000
+
+INFEASIBLE = "_g string, _s int, _infeasible boolean"
 
 
 def find_redundancy(
@@ -42,8 +44,9 @@ def find_redundancy(
     the Frobenius norm of the basis (``'res'``). ``solver`` chooses non-negative (``nnls``) or unconstrained
     (``lstsq``) coefficients.
 
-    Returns group columns, key, is_redundant, residual, r2_score, method, is_zero. r2_score and residual are
-    NULL where a partial basis already settled the row.
+    Returns group columns, key, is_redundant, residual, r2_score, method, is_zero. r2_score (residual) is that of the fit on
+    the final basis, all later and the kept earlier examples, whatever ``tail_rows`` and ``block_rows`` are. Vectors that are
+    NULL or have NULL, NaN or infinite components are an error, as are NULL and repeated keys.
     """
     return sweep_redundancy(
         df, [Spec(solver, solve_by, threshold)], vector, key, group_by, components, **options
@@ -57,14 +60,14 @@ def sweep_redundancy(
     key: str = "example_num",
     group_by: Sequence[str] = (),
     components: int | None = None,
-    stage: bool = False,
+    stage: bool = True,
     **options,
 ) -> DataFrame:
     """``find_redundancy`` for several specs; specs of one kind share every scan of the rows.
 
-    ``stage`` writes the normalised rows to the shared folder first: worth it when ``df`` is costly to
-    compute, not when it is a stored table. ``tail_rows`` (default 4·d) and ``block_rows`` bound what one
-    task or the driver holds; they do not change the result.
+    ``stage`` writes the normalised rows to the shared folder first, because the search reads them several times.
+    ``tail_rows`` (default 4·d) and ``block_rows`` bound what one task or the driver holds; they do not change the
+    result. ``values=False`` leaves out the fit values, and with them the pass that fits every row.
     """
     parts = []
     for mode in ("r2", "res"):
@@ -83,27 +86,29 @@ def half_space_redundancy(
     key: str = "example_num",
     group_by: Sequence[str] = (),
     components: int | None = None,
-    stage: bool = False,
+    stage: bool = True,
     **options,
 ) -> DataFrame:
     """Greedy half-space redundancy in the order of ``key``.
 
     An example is redundant when row·w ≥ −0.01 holds for every w on the simplex that meets the same
-    constraint for the later and the earlier kept examples. min_value is NULL where it was not needed.
+    constraint for the later and the earlier kept examples. min_value is the smallest row·w there; NULL where no w meets
+    the constraints.
     """
     group_by = list(group_by)
     v = truncate(as_double(vector), components)
     rows = _rows(df, v, key, group_by).withColumns({"_spread": F.lit(0.0), "_kind": F.lit("fit"), "is_zero": is_zero("_vec")})
     rows = _staged(rows, stage)
-    decided, infeasible = _run(rows, [Spec("linprog")], _facts(rows, check_size=True), **options)
+    decided, values, infeasible = _run(rows, [Spec("linprog")], _facts(rows, check_size=True), **options)
     # Where no point meets all constraints nothing is redundant; elsewhere what was not decided one by one is.
-    settled = ~F.col("_g").isin([g for g, _ in infeasible]) if infeasible else F.lit(True)
+    settled = F.col("_infeasible").isNull()
     joined = rows.withColumn("_s", F.lit(0)).join(decided, ["_g", "_s", "_key"], "left")
+    joined = joined.join(values, ["_g", "_s", "_key"], "left").join(infeasible, ["_g", "_s"], "left")
     return joined.select(
         *group_by,
         F.col("_key").alias(key),
         F.coalesce("_redundant", settled).alias("is_redundant"),
-        F.nanvl("_value", F.lit(None)).alias("min_value"),
+        F.col("_value").alias("min_value"),
         F.lit("linprog").alias("method"),
     )
 
@@ -117,12 +122,14 @@ def _rows(df: DataFrame, vec: Column, key: str, group_by: list[str]) -> DataFram
     return df.select(*group_by, group.alias("_g"), F.col(key).cast("bigint").alias("_key"), vec.alias("_vec"))
 
 
-def _facts(rows: DataFrame, check_size: bool = False) -> list:
-    """Per group: row counts, vector lengths, which constant directions occur."""
+def _facts(rows: DataFrame, check_size: bool = False) -> tuple[DataFrame, int]:
+    """Per group: row counts and which constant directions occur; and the length of all vectors."""
     kept = F.col("_kind") == "keep"
     first = F.get("_vec", F.lit(0))
+    odd = F.exists("_vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     facts = rows.groupBy("_g").agg(
         F.count_if(F.col("_key").isNull()).alias("n_null"),
+        F.count_if(F.col("_vec").isNull() | odd).alias("n_odd"),
         F.count_if(F.col("_kind") == "fit").alias("n_fit"),
         F.count_if((F.col("_kind") == "fit") & (F.col("_spread") < SPREAD_FLOOR)).alias("n_low"),
         F.count_if(kept & (first > 0)).alias("n_plus"),
@@ -130,46 +137,53 @@ def _facts(rows: DataFrame, check_size: bool = False) -> list:
         F.min(F.size("_vec")).alias("d_min"),
         F.max(F.size("_vec")).alias("d_max"),
         (F.max(F.array_max("_vec")) if check_size else F.lit(0.0)).alias("largest"),
-    ).limit(MAX_GROUPS + 1).collect()
-    if len(facts) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; is the group column a key?")
-    if any(f["n_null"] for f in facts):
+    )
+    facts = materialise(facts, "facts")
+    sums = [F.sum(c).alias(c) for c in ("n_null", "n_odd")]
+    total = facts.agg(*sums, F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"), F.max("largest").alias("largest")).first()
+    if total["n_null"]:
         raise ValueError("the key must not be NULL: row order decides the result")
-    if len({d for f in facts for d in (f["d_min"], f["d_max"])}) > 1:
+    if total["n_odd"]:
+        raise ValueError(f"{total['n_odd']} vectors are NULL or have NULL, NaN or infinite components")
+    if total["d_min"] != total["d_max"]:
         raise ValueError("vectors differ in length")
-    if check_size and any(f["largest"] > LARGEST_COMPONENT for f in facts):
+    if check_size and (total["largest"] or 0.0) > LARGEST_COMPONENT:
         raise ValueError(f"components above {LARGEST_COMPONENT:g} are outside the bounds of the half-space test")
-    return facts
+    return facts, total["d_min"] or 1
 
 
 def _run(
     rows: DataFrame,
     specs: list[Spec],
-    facts: list,
+    facts: tuple[DataFrame, int],
     tail_rows: int | None = None,
     block_rows: int = 256,
     check_keys: bool = True,
+    values: bool = True,
 ):
-    """Decisions of the rows that needed one, and (group, spec) pairs whose constraints cannot be met."""
+    """Decisions of the rows that needed one, fit values, and ``_g, _s`` of problems whose constraints cannot be met."""
     if check_keys:
         twice = rows.groupBy("_g", "_key").count().where(F.col("count") > 1)
         if not twice.isEmpty():
             raise ValueError("the key must identify a row within its group")
-    decided, infeasible = None, set()
-    d = facts[0]["d_min"] if facts else 1
+    spark = rows.sparkSession
+    found = [spark.createDataFrame([], Sieve.DECISION), spark.createDataFrame([], Sieve.VALUE)]
+    infeasible = spark.createDataFrame([], INFEASIBLE)
+    listed, d = facts
     tail_rows = 4 * d if tail_rows is None else tail_rows
-    # Tails of one batch of groups fit the driver whatever the number of groups.
-    at_once = max(1, TAIL_BYTES // (2 * tail_rows * d * 8))
-    for begin in range(0, len(facts), at_once):
-        batch = facts[begin : begin + at_once]
+    # Groups come in pages whose tails together fit the driver, however many groups there are.
+    at_once = max(1, TAIL_BYTES // (2 * tail_rows * d * 8 * len(specs)))
+    single = listed.limit(at_once + 1).count() <= at_once
+    pages = listed.orderBy("_g").toLocalIterator()
+    while batch := list(islice(pages, at_once)):
         groups = {f["_g"]: {"n_fit": f["n_fit"], "n_low": f["n_low"], "fixed": _constant_rows(f, d)} for f in batch}
-        mine = rows if len(batch) == len(facts) else rows.where(F.col("_g").isin(list(groups)))
-        found, problems = Sieve(mine, specs, groups, d, tail_rows, block_rows).run()
-        decided = found if decided is None else decided.unionByName(found)
-        infeasible |= {(p.group, p.index) for p in problems if not p.feasible}
-    if decided is None:
-        decided = rows.sparkSession.createDataFrame([], Sieve.DECISION)
-    return decided, infeasible
+        mine = rows if single else rows.where(F.col("_g").isin(list(groups)))
+        decided, fitted, problems = Sieve(mine, specs, groups, d, tail_rows, block_rows).run(values)
+        found = [a.unionByName(b) for a, b in zip(found, (decided, fitted))]
+        missed = [(p.group, p.index, True) for p in problems if not p.feasible]
+        if missed:
+            infeasible = infeasible.unionByName(spark.createDataFrame(missed, INFEASIBLE))
+    return (*found, infeasible)
 
 
 def _constant_rows(facts, d: int) -> np.ndarray:
@@ -193,7 +207,7 @@ def _cone_search(df, specs, mode, vector, key, group_by, components, stage, **op
         kind = F.when(F.col("is_zero"), F.lit("drop")).otherwise(F.lit("fit"))
     rows = rows.withColumns({"_spread": centred_sum_squares("_vec"), "_kind": kind})
     rows = _staged(rows, stage)
-    decided, _ = _run(rows, specs, _facts(rows), **options)
+    decided, values, _ = _run(rows, specs, _facts(rows), **options)
 
     described = F.explode(
         F.array(
@@ -209,7 +223,7 @@ def _cone_search(df, specs, mode, vector, key, group_by, components, stage, **op
         )
     ).alias("_spec")
     narrow = rows.select(*group_by, "_g", "_key", "is_zero", "_kind", "_spread", described).select("*", "_spec.*").drop("_spec")
-    joined = narrow.join(decided, ["_g", "_s", "_key"], "left")
+    joined = narrow.join(decided, ["_g", "_s", "_key"], "left").join(values, ["_g", "_s", "_key"], "left")
     value = F.when(F.col("_kind") == "drop", F.lit(1.0 if mode == "r2" else 0.0)).when(
         F.col("_kind") == "keep", F.lit(0.0)
     ).otherwise(F.col("_value"))

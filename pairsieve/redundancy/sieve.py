@@ -11,7 +11,10 @@ fit, which gives four exact steps:
 3. *Resolve.* Survivors are decided in row order, a block at a time. Each is solved on a small working set;
    one scan of all rows then looks for rows that would change a solution. A solution that no row can change
    is exact.
-4. *Finish.* The tail itself is decided row by row, one task per problem.
+4. *Finish.* The tail is a last block, resolved the same way; all its basis rows are known, so no scan is needed.
+
+Decisions only need part of a basis; the fit value of a row needs all of it. A last pass fits every row, in its own task,
+on the later and the kept rows, and scans for rows that would improve the fits that are not exact yet.
 
 With coefficients of any sign the last linearly independent rows decide everything, and they combine like
 a sum: per task, then in a two-level merge.
@@ -48,6 +51,10 @@ FLUSH_ROWS = 50_000
 # A table this small may sit in one file; its rows are spread over the cores before costly per-row work.
 SMALL_TABLE = 100_000
 SCREEN_ROUNDS = 12
+# Rows of a block that one task decides one after another, while other tasks judge the rest.
+RUN_ROWS = 16
+# A unit row that its fit misses by less is fitted exactly: no further row can improve it.
+EXACT = 1e-9
 LOWEST_KEY = -(1 << 63)
 GONE, KEPT, OPEN = 0, 1, 2  # states of a known row as seen by later targets
 HIGHEST_KEY = (1 << 63) - 1
@@ -108,6 +115,8 @@ class Problem:
     cursor: int | None = None
     block: list[Target] = field(default_factory=list)
     hits: dict[int, np.ndarray] = field(default_factory=dict)  # rows scans found useful for the block
+    kept_hits: set[int] = field(default_factory=set)  # those of them that were kept
+    kept_tail: set[int] = field(default_factory=set)
 
     @property
     def overflow(self) -> bool:
@@ -115,10 +124,15 @@ class Problem:
 
     def keep(self, key: int, vec: np.ndarray) -> None:
         self.n_kept += 1
+        if self.in_tail(key):
+            self.kept_tail.add(key)
         if len(self.kept) < KEPT_IN_MEMORY:
             self.kept_keys.append(key)
             self.kept.append(vec)
 
+    def in_tail(self, key: int) -> bool:
+        return len(self.tail_keys) > 0 and bool(np.any(self.tail_keys == key))
+
     def known_keys(self) -> set[int]:
         return {int(k) for k in self.tail_keys} | set(self.hits) | set(self.kept_keys) | {t.key for t in self.block}
 
@@ -129,11 +143,11 @@ class Problem:
         """
         known: dict[int, tuple[np.ndarray, int]] = {}
         for key, vec in zip(self.tail_keys, self.tail):
-            known[int(key)] = (vec, GONE)
+            known[int(key)] = (vec, KEPT if int(key) in self.kept_tail else GONE)
         first = self.block[0].key if self.block else HIGHEST_KEY
         for key, vec in self.hits.items():
             # Scans return rows before the block only if they were kept.
-            known[key] = (vec, KEPT if key < first else GONE)
+            known[key] = (vec, KEPT if key < first or key in self.kept_hits else GONE)
         for key, vec in zip(self.kept_keys, self.kept):
             known[key] = (vec, KEPT)
         for t in self.block:
@@ -209,20 +223,21 @@ def survivors_of(test, keys: np.ndarray, vecs: np.ndarray, spreads: np.ndarray,
     return np.array(local + rest.tolist(), dtype=np.int64)
 
 
-def greedy_tail(test, fixed: np.ndarray, kept: np.ndarray, keys: np.ndarray, vecs: np.ndarray, spreads: np.ndarray, later: np.ndarray, n_kept: int) -> list[tuple[int, bool, float]]:
-    """Decide bounded rows one after another: later rows and kept rows are the basis."""
-    order = np.argsort(keys, kind="stable")
-    basis = np.vstack([fixed, kept, vecs[order]])
-    shift = len(fixed) + len(kept)
-    usable = np.ones(len(basis), dtype=bool)
+def decide_run(test, fixed: np.ndarray, known: tuple, n_kept: int, targets: list[tuple]) -> list[tuple[bool, float]]:
+    """Decide bounded rows one after another, all rows before the first of them being decided.
+
+    Exact only where ``known`` holds every row of the problem that can matter.
+    """
+    keys, rows, states = known[0], known[1], known[2].copy()
+    basis = np.vstack([fixed, rows])
+    always = np.ones(len(fixed), dtype=bool)
     out = []
-    for place, i in enumerate(order):
-        usable[shift + place] = False
-        verdict = test.judge(vecs[i], basis, spreads[i], int(later[i]) + n_kept, usable)
-        if not verdict.redundant:
-            usable[shift + place] = True
-            n_kept += 1
-        out.append((int(keys[i]), bool(verdict.redundant), float(verdict.value)))
+    for key, vec, spread, later in targets:
+        usable = (keys > key) | ((states == KEPT) & (keys < key))
+        verdict = test.judge(vec, basis, spread, later + n_kept, np.concatenate([always, usable]))
+        states[keys == key] = GONE if verdict.redundant else KEPT
+        n_kept += not verdict.redundant
+        out.append((bool(verdict.redundant), float(verdict.value)))
     return out
 
 
@@ -249,11 +264,40 @@ def _solve_task(table, tests: dict[int, object]):
         for batch in batches:
             out = []
             for i in batch["id"]:
-                number, position, target = table.value["targets"][i]
+                number, positions, targets = table.value["targets"][i]
                 fixed, known, n_kept = table.value["problems"][number]
-                redundant, final, v = judge_between(tests[number], fixed, known, n_kept, *target)
-                out.append((number, position, bool(redundant), bool(final), float(v.value), v.direction.tolist(), float(v.limit)))
-            yield pd.DataFrame(out, columns=["_problem", "_position", "_redundant", "_final", "_value", "_direction", "_limit"])
+                if len(positions) > 1:
+                    done = decide_run(tests[number], fixed, known, n_kept, targets)
+                    out += [(number, p, redundant, not redundant, [], np.inf) for p, (redundant, _) in zip(positions, done)]
+                    continue
+                redundant, final, v = judge_between(tests[number], fixed, known, n_kept, *targets[0])
+                out.append((number, positions[0], bool(redundant), bool(final), v.direction.tolist(), float(v.limit)))
+            yield pd.DataFrame(out, columns=["_problem", "_position", "_redundant", "_final", "_direction", "_limit"])
+
+    return run
+
+
+def _value_task(problems, tests: dict[int, object], d: int):
+    """The fit of each row on the later and kept rows of a pool. ``_settled``: no row outside the pool can change it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names, keys, vecs, spreads = _arrays(batch, d)
+            for name, rows in _groups_in(names):
+                for number, fixed, pool_keys, pool, kept, complete in problems.value.get(name, ()):
+                    basis, always = np.vstack([fixed, pool]), np.ones(len(fixed), dtype=bool)
+                    values, settled = np.empty(len(rows)), np.empty(len(rows), dtype=bool)
+                    for at, i in enumerate(rows):
+                        usable = (pool_keys > keys[i]) | (kept & (pool_keys < keys[i]))
+                        v = tests[number].judge(vecs[i], basis, spreads[i], 0, np.concatenate([always, usable]))
+                        values[at] = v.value
+                        settled[at] = complete or tests[number].exact(v, EXACT)
+                    yield pa.RecordBatch.from_arrays(
+                        [*_vector_rows(number, keys[rows], vecs[rows], spreads[rows]).columns, pa.array(values), pa.array(settled)],
+                        names=["_problem", "_key", "_vec", "_spread", "_value", "_settled"],
+                    )
 
     return run
 
@@ -362,6 +406,23 @@ def _count_task(targets):
     return run
 
 
+def _edge_task(count: int, last: bool):
+    """The ``count`` largest (``last``) or smallest keys of each group of the task; columns group, key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for name, rows in _groups_in(names) if len(names) else ():
+                own = np.sort(np.concatenate([held.get(name, keys[:0]), keys[rows]]))
+                held[name] = own[-count:] if last else own[:count]
+        for name, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), batch.schema.field(0).type), pa.array(own)], schema=batch.schema)
+
+    return run
+
+
 def _pivot_task(spans, d: int):
     """The last independent rows of the task, beyond what each group's tail already spans."""
 
@@ -428,8 +489,10 @@ class Sieve:
         if single:
             edge = narrow.orderBy(order).limit(count)
         else:
+            # Each task keeps its own edge first, so that no group is sorted whole.
+            edges = narrow.mapInArrow(_edge_task(count, last), narrow.schema)
             rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-            edge = narrow.withColumn("_r", rank).where(F.col("_r") <= count)
+            edge = edges.withColumn("_r", rank).where(F.col("_r") <= count)
         found = edge.groupBy(by).agg((F.min if last else F.max)("_key").alias("_k")).collect()
         return {r[by]: r["_k"] for r in found}
 
@@ -466,26 +529,28 @@ class Sieve:
 
     @property
     def units(self) -> DataFrame:
-        """Fitted rows, written once: scans read them several times."""
+        """Fitted rows, which scans read several times: written once, unless the rows are a stored table anyway."""
         if self._units is None:
-            self._units = materialise(self.fit_rows, "units")
+            self._units = self.fit_rows if self.rows.inputFiles() else materialise(self.fit_rows, "units")
         return self._units
 
-    def _decide(self, problem: Problem, key: int, redundant: bool, value: float) -> None:
-        self._pending.append((problem.group, problem.index, int(key), bool(redundant), float(value)))
+    def _decide(self, problem: Problem, key: int, redundant: bool) -> None:
+        self._pending.append((problem.group, problem.index, int(key), bool(redundant)))
         if len(self._pending) >= FLUSH_ROWS:
             self._flushed = self._flushed or scratch_path(self.spark, "decisions")
             self._frame(self._pending).write.mode("append").parquet(self._flushed)
             self._pending = []
 
-    DECISION = "_g string, _s int, _key bigint, _redundant boolean, _value double"
+    DECISION = "_g string, _s int, _key bigint, _redundant boolean"
+    VALUE = "_g string, _s int, _key bigint, _value double"
 
     def _frame(self, rows: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(rows, self.DECISION)
 
     # -- run
 
-    def run(self) -> tuple[DataFrame, list[Problem]]:
+    def run(self, values: bool = True) -> tuple[DataFrame, DataFrame, list[Problem]]:
+        """Decisions, fit values of all fitted rows (none without ``values``), and the problems."""
         tails = self._collect_tails()
         problems: list[Problem] = []
         for name, facts in self.groups.items():
@@ -503,8 +568,10 @@ class Sieve:
             survivors = self._screen([p for p in others if p.feasible])
             if survivors is not None:
                 self._resolve([p for p in others if p.feasible], survivors)
-        self._finish([p for p in problems if p.feasible])
-        return self._decisions(), problems
+        feasible = [p for p in problems if p.feasible]
+        self._finish(feasible)
+        found = self._values(feasible) if values and feasible else self.spark.createDataFrame([], self.VALUE)
+        return self._decisions(), found, problems
 
     def _decisions(self) -> DataFrame:
         frame = self._frame(self._pending)
@@ -718,57 +785,68 @@ class Sieve:
                 found.append(p)
         return found
 
-    def _work_through(self, problems: list[Problem]) -> None:
-        """Decide every row of the loaded blocks, in rounds of one solving and one scanning job."""
-        self._fill_counts([p for p in problems if p.spec.solve_by == "res"])
+    def _work_through(self, problems: list[Problem], scanning: bool = True) -> None:
+        """Decide every row of the loaded blocks, in rounds of one solving and, where rows are unknown, one scanning job."""
+        if scanning:
+            self._fill_counts([p for p in problems if p.spec.solve_by == "res"])
         by_number = {p.number: p for p in problems}
         while any(t.redundant is None for p in problems for t in p.block):
-            asked, final = [], {}
-            for r in self._solve(problems):
+            asked, final = [], []
+            for r in self._solve(problems, runs=not scanning):
                 p = by_number[r["_problem"]]
                 t = p.block[r["_position"]]
                 if r["_redundant"]:
                     t.redundant = True
-                    self._decide(p, t.key, True, r["_value"])
-                else:
+                    self._decide(p, t.key, True)
+                    continue
+                if scanning:
                     asked.append((p, r["_position"], t.key, np.array(r["_direction"]), r["_limit"]))
-                    if r["_final"]:
-                        final[p.number, r["_position"]] = r["_value"]
+                if r["_final"]:
+                    final.append((p.number, r["_position"]))
             changed = self.scan(asked) if asked else set()
-            for (number, position), value in final.items():
+            for number, position in final:
                 if (number, position) not in changed:
                     p = by_number[number]
                     t = p.block[position]
                     t.redundant = False
-                    self._decide(p, t.key, False, value)
+                    self._decide(p, t.key, False)
                     self._fresh.append((p.group, p.number, t.key))
         for p in problems:
             for t in p.block:
                 if not t.redundant:
                     p.keep(t.key, t.vec)
-            p.block, p.hits = [], {}
+            p.block, p.hits, p.kept_hits = [], {}, set()
+
+    def _solve(self, problems: list[Problem], runs: bool) -> list:
+        """Judge every open target on the rows known so far; targets are spread over tasks.
 
-    def _solve(self, problems: list[Problem]) -> list:
-        """Judge every open target on the rows known so far; targets are spread over tasks."""
+        With ``runs`` the first few open ones of a problem go to one task, which decides them in order: every round
+        decides at least that many.
+        """
         targets, shared = [], {}
         for p in problems:
-            open_targets = [(i, t) for i, t in enumerate(p.block) if t.redundant is None]
-            if open_targets:
-                n_kept = p.n_kept + sum(t.redundant is False for t in p.block)
-                shared[p.number] = (p.fixed, p.working_set(), n_kept)
-                targets += [(p.number, i, (t.key, t.vec, t.spread, t.later)) for i, t in open_targets]
+            open_targets = [(i, (t.key, t.vec, t.spread, t.later)) for i, t in enumerate(p.block) if t.redundant is None]
+            if not open_targets:
+                continue
+            n_kept = p.n_kept + sum(t.redundant is False for t in p.block)
+            shared[p.number] = (p.fixed, p.working_set(), n_kept)
+            first = min(RUN_ROWS, len(open_targets)) if runs else 0
+            if first > 1:
+                targets.append((p.number, [i for i, _ in open_targets[:first]], [t for _, t in open_targets[:first]]))
+            targets += [(p.number, [i], [t]) for i, t in open_targets[first if first > 1 else 0 :]]
         table = self.spark.sparkContext.broadcast({"problems": shared, "targets": targets})
         tests = {p.number: p.test for p in problems}
         slices = min(len(targets), 2 * self.spark.sparkContext.defaultParallelism)
-        return (
+        found = (
             self.spark.range(0, len(targets), 1, slices)
             .mapInPandas(
                 _solve_task(table, tests),
-                "_problem int, _position int, _redundant boolean, _final boolean, _value double, "
-                "_direction array<double>, _limit double",
+                "_problem int, _position int, _redundant boolean, _final boolean, _direction array<double>, _limit double",
             )
             .collect()
         )
+        table.unpersist()
+        return found
 
     def _fill_counts(self, problems: list[Problem]) -> None:
         if not problems:
@@ -826,47 +904,115 @@ class Sieve:
         )
         # A row that was known is in the solution already; scoring above the limit is rounding.
         known = {n: p.known_keys() for n, p in by_number.items()}
+        target = {(p.number, position): key for p, position, key, *_ in asked}
         changed = set()
         for r in best:
-            key, number = r["_row"]["_key"], r["_problem"]
-            if key not in known[number]:
-                by_number[number].hits[key] = np.array(r["_row"]["_vec"])
-                changed.add((number, r["_position"]))
+            key, number, position = r["_row"]["_key"], r["_problem"], r["_position"]
+            p = by_number[number]
+            kept = key < target[number, position]  # earlier rows are only looked at if they were kept
+            if key not in known[number] or (kept and key in p.hits and key not in p.kept_hits):
+                p.hits[key] = np.array(r["_row"]["_vec"])
+                if kept:
+                    p.kept_hits.add(key)
+                changed.add((number, position))
+        shared.unpersist()
         return changed
 
     # -- finish
 
     def _finish(self, problems: list[Problem]) -> None:
-        """Decide the tails. One task per problem, unless its kept rows exceed what the driver holds."""
-        large = [p for p in problems if p.overflow]
-        small = [p for p in problems if not p.overflow and len(p.tail_keys)]
-        if small:
-            table = {}
-            for p in small:
-                later = np.arange(len(p.tail_keys))[::-1] if p.later is None else p.later
-                kept = np.array(p.kept).reshape(-1, self.d)
-                table[p.number] = (p.fixed, kept, p.tail_keys, p.tail, p.tail_spread, later, p.n_kept)
-            shared = self.spark.sparkContext.broadcast(table)
-            tests = {p.number: p.test for p in small}
-            numbers = [p.number for p in small]
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    for i in batch["id"]:
-                        number = numbers[i]
-                        done = greedy_tail(tests[number], *shared.value[number])
-                        yield pd.DataFrame(
-                            [(number, *row) for row in done], columns=["_problem", "_key", "_redundant", "_value"]
-                        )
-
-            # One range row, and so one task, per problem.
-            decided = self.spark.range(0, len(small), 1, len(small)).mapInPandas(
-                run, "_problem int, _key bigint, _redundant boolean, _value double"
-            )
-            by_number = {p.number: p for p in small}
-            for r in decided.collect():
-                self._decide(by_number[r["_problem"]], r["_key"], r["_redundant"], r["_value"])
-        for p in large:
-            p.block = [Target(int(k), v, float(s)) for k, v, s in zip(p.tail_keys, p.tail, p.tail_spread)]
-        if large:
-            self._work_through(large)
+        """Decide the tails as one block per problem. Scans are only needed where kept rows exceed what the driver holds."""
+        for p in problems:
+            later = np.arange(len(p.tail_keys))[::-1] if p.later is None else p.later
+            rows = zip(p.tail_keys, p.tail, p.tail_spread, later)
+            p.block = sorted((Target(int(k), v, float(s), int(n)) for k, v, s, n in rows), key=lambda t: t.key)
+        for scanning in (False, True):
+            chosen = [p for p in problems if p.block and p.overflow == scanning]
+            if chosen:
+                self._work_through(chosen, scanning)
+
+    # -- fit values
+
+    def _values(self, problems: list[Problem]) -> DataFrame:
+        """The fit value of every fitted row on its final basis: all later rows and the kept earlier ones."""
+        table: dict[str, list] = {}
+        for p in problems:
+            keys, rows, states = p.working_set()
+            complete = p.spec.solver == "lstsq" or self.groups[p.group]["n_fit"] <= len(p.tail_keys)
+            table.setdefault(p.group, []).append((p.number, p.fixed, keys, rows, states == KEPT, complete))
+        shared = self.spark.sparkContext.broadcast(table)
+        tests = {p.number: p.test for p in problems}
+        source = self.units.where(F.col("_g").isin(list(table)))
+        if sum(self.groups[g]["n_fit"] for g in table) <= SMALL_TABLE:
+            source = source.repartition(self.spark.sparkContext.defaultParallelism)
+        judged = source.mapInArrow(_value_task(shared, tests, self.d), VECTOR_ROW + ", _value double, _settled boolean")
+        judged = materialise(judged, "values")
+        by_number = {p.number: p for p in problems}
+        names = [
+            F.struct(F.lit(p.number).alias("_problem"), F.lit(p.group).alias("_g"), F.lit(p.index).alias("_s")) for p in problems
+        ]
+        names = self.spark.range(1).select(F.explode(F.array(*names)).alias("_n")).select("_n.*")
+        columns = ["_problem", "_key", "_value"]
+        found = judged.where("_settled").select(*columns)
+        if not all(entry[-1] for entries in table.values() for entry in entries):
+            path = self._refine(by_number, judged.where("not _settled").select("_problem", "_key", "_vec", "_spread"))
+            if path:
+                found = found.unionByName(self.spark.read.parquet(path).select(*columns))
+        return found.join(F.broadcast(names), "_problem").select("_g", "_s", "_key", "_value")
+
+    def _refine(self, problems: dict[int, Problem], rows: DataFrame) -> str | None:
+        """Values of rows whose fits further rows may improve, a block at a time; where they were written.
+
+        Fits and scans alternate until no row of the table improves any fit of the block.
+        """
+        path = None
+        for p in problems.values():
+            p.cursor = None
+        active = self._next_blocks(list(problems.values()), rows)
+        while active:
+            for p in active:
+                for t in p.block:
+                    t.redundant = t.key not in p.kept_tail and t.key not in set(p.kept_keys)
+            values: list[tuple] = []
+            waiting = {(p.number, i) for p in active for i in range(len(p.block))}
+            while waiting:
+                asked, now = [], {}
+                for number, position, value, direction, limit in self._fit(active, waiting):
+                    p = problems[number]
+                    now[number, position] = value
+                    asked.append((p, position, p.block[position].key, np.array(direction), limit))
+                changed = self.scan(asked)
+                values += [(n, problems[n].block[i].key, now[n, i]) for n, i in waiting - changed]
+                waiting &= changed
+            path = path or scratch_path(self.spark, "refined")
+            self.spark.createDataFrame(values, "_problem int, _key bigint, _value double").coalesce(1).write.mode("append").parquet(path)
+            for p in active:
+                p.block, p.hits, p.kept_hits = [], {}, set()
+            active = self._next_blocks(active, rows)
+        return path
+
+    def _fit(self, problems: list[Problem], waiting: set[tuple[int, int]]) -> list:
+        """Fits of the waiting rows on what is known of their final bases, spread over tasks."""
+        places = sorted(waiting)
+        known = {p.number: (p.fixed, *p.working_set()) for p in problems}
+        rows = {(p.number, i): p.block[i] for p in problems for i in range(len(p.block)) if (p.number, i) in waiting}
+        table = self.spark.sparkContext.broadcast((known, [(n, i, rows[n, i].key, rows[n, i].vec, rows[n, i].spread) for n, i in places]))
+        tests = {p.number: p.test for p in problems}
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for at in batch["id"]:
+                    number, position, key, vec, spread = table.value[1][at]
+                    fixed, keys, pool, states = table.value[0][number]
+                    usable = (keys > key) | ((states == KEPT) & (keys < key))
+                    usable = np.concatenate([np.ones(len(fixed), dtype=bool), usable])
+                    v = tests[number].judge(vec, np.vstack([fixed, pool]), spread, 0, usable)
+                    out.append((number, position, float(v.value), v.direction.tolist(), float(v.limit)))
+                yield pd.DataFrame(out, columns=["_problem", "_position", "_value", "_direction", "_limit"])
+
+        slices = min(len(places), 2 * self.spark.sparkContext.defaultParallelism)
+        shape = "_problem int, _position int, _value double, _direction array<double>, _limit double"
+        found = [tuple(r) for r in self.spark.range(0, len(places), 1, slices).mapInPandas(run, shape).collect()]
+        table.unpersist()
+        return found

@@ -12,7 +12,14 @@ from pairsieve.redundancy.fits import fit_rows
 from pairsieve.redundancy.search import find_redundancy, half_space_redundancy, sweep_redundancy
 from pairsieve.redundancy.sieve import Spec
 
-from sequential import cone_residual, greedy, half_space_greedy, span_residual
+from sequential import (
+    cone_residual,
+    cone_residual_by_supports,
+    greedy,
+    half_space_greedy,
+    simplex_minimum,
+    span_residual,
+)
 
 # Small tails and blocks drive the search through screening, scanning and several blocks.
 TIGHT = {"tail_rows": 5, "block_rows": 8}
@@ -155,9 +162,80 @@ def test_order_of_groups_in_memory_is_bounded(spark, monkeypatch):
         assert {r.example_num for r in result if r.part == part and r.is_redundant} == want
 
 
+# ---- fit values ----
+
+
+def final_values(rows, dropped, residual):
+    """The value of each row on all later and the kept earlier rows."""
+    unit = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-12)
+    out = []
+    for i, y in enumerate(unit):
+        left = residual(unit[[j for j in range(len(unit)) if j > i or (j < i and j not in dropped)]], y)
+        out.append(1 - left / np.sum((y - y.mean()) ** 2))
+    return out
+
+
+@pytest.mark.parametrize("solver, residual", [("nnls", cone_residual_by_supports), ("lstsq", span_residual)])
+def test_values_are_those_of_the_final_basis(spark, solver, residual):
+    rows = pointed(21, 60, 5, 10)
+    want = final_values(rows, greedy(rows, solver, 0.9), residual)
+    for options in ({}, TIGHT, {"tail_rows": 3, "block_rows": 3}, {"tail_rows": 40}):
+        result = find_redundancy(frame(spark, rows), solver=solver, threshold=0.9, **options).orderBy("example_num").collect()
+        assert [r.r2_score for r in result] == pytest.approx(want, abs=1e-7), options
+
+
+def test_values_with_more_kept_rows_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "KEPT_IN_MEMORY", 3)
+    rows = pointed(8, 45, 5, 10)
+    want = final_values(rows, greedy(rows, "nnls", 0.9), cone_residual_by_supports)
+    result = find_redundancy(frame(spark, rows), threshold=0.9, **TIGHT).orderBy("example_num").collect()
+    assert [r.r2_score for r in result] == pytest.approx(want, abs=1e-7)
+
+
+def test_values_can_be_left_out(spark):
+    rows = pointed(8, 20, 4)
+    result = find_redundancy(frame(spark, rows), threshold=0.9, values=False)
+    assert found(result, rows) == greedy(rows, "nnls", 0.9) and result.where("r2_score is not null").count() == 0
+
+
+def test_half_space_minimum_of_every_row(spark):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(24, 3)) + 0.6
+    dropped = half_space_greedy(rows)
+    want = [simplex_minimum(c, rows[[j for j in range(24) if j > i or (j < i and j not in dropped)]]) for i, c in enumerate(rows)]
+    for options in ({}, {"tail_rows": 4, "block_rows": 5}):
+        result = half_space_redundancy(frame(spark, rows), **options).orderBy("example_num").collect()
+        assert [r.min_value for r in result] == pytest.approx(want, abs=1e-6)
+
+
+def test_a_tail_is_solved_in_several_tasks(spark, monkeypatch):
+    """Fewer rows than a tail: no round leaves all open rows to one task."""
+    asked = []
+    solve = sieve.Sieve._solve
+
+    def watched(self, problems, runs):
+        open_rows = sum(t.redundant is None for p in problems for t in p.block)
+        asked.append((open_rows, min(sieve.RUN_ROWS, open_rows) if runs else 1))
+        return solve(self, problems, runs)
+
+    monkeypatch.setattr(sieve.Sieve, "_solve", watched)
+    rows = pointed(2, 60, 16)
+    find_redundancy(frame(spark, rows), threshold=0.9).count()
+    assert asked[0] == (60, sieve.RUN_ROWS) and all(run <= sieve.RUN_ROWS for _, run in asked)
+
+
 # ---- edge cases ----
 
 
+@pytest.mark.parametrize("bad", [[float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [None, 1.0, 1.0], None])
+def test_vectors_must_be_finite(spark, bad):
+    data = [(0, [2.0, 3.0, 5.0]), (1, [1.0, 2.0, 4.0]), (2, bad)]
+    df = spark.createDataFrame(data, "example_num bigint, f_diff array<double>")
+    for search_rows in (find_redundancy, half_space_redundancy):
+        with pytest.raises(ValueError, match="1 vectors"):
+            search_rows(df)
+
+
 def verdicts(spark, rows, **kw):
     out = find_redundancy(frame(spark, np.array(rows, dtype=float), 1), **kw).orderBy("example_num").collect()
     return out
