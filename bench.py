@@ -30,7 +30,11 @@ HEADLINE = [
     "greedy_nnls",
     "greedy_by_section",
     "greedy_sweep_two_components",
+    "greedy_sweep",
+    "greedy_residual",
+    "nnls_fit_large_basis",
     "half_space_two_components",
+    "half_space_all_components",
     "section_study",
     "section_study_all_components",
     "fitted_scorer",

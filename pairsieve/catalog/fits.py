@@ -89,6 +89,36 @@ def nnls_fit_two_components(spark, sf):
     )
 
 
+@query(
+    "nnls_fit_large_basis_two_components",
+    f"""with {I.FEATS_SQL},
+    t as (select example_num, f_diff[1] as y1, f_diff[2] as y2 from feats),
+    b as (select f_rejected[1] as x1, f_rejected[2] as x2 from feats),
+    a as (select y.example_num, y.y1, y.y2, {SIDES.replace('y.x1', 'y.y1').replace('y.x2', 'y.y2')}
+          from t y cross join b group by all),
+    r as (select *, ({CONE_RESIDUAL}) * (y1 * y1 + y2 * y2) as ss_res from a)
+    select example_num, round(ss_res / 2, 6) + 0.0 as mse, round(sqrt(ss_res), 6) + 0.0 as residual from r""",
+)
+def nnls_fit_large_basis_two_components(spark, sf):
+    """Every difference on all rejected vectors; only four basis rows are held at first, the rest is scanned."""
+    f = I.feats(spark, sf)
+    targets = f.select("example_num", truncate("f_diff", 2).alias("f_diff"))
+    basis = f.select("example_num", truncate("f_rejected", 2).alias("f_diff"))
+    fit = fit_rows(targets, basis, "nnls", pool_rows=4)
+    return fit.select("example_num", r6("mse").alias("mse"), r6("residual").alias("residual"))
+
+
+@query("nnls_fit_large_basis")
+def nnls_fit_large_basis(spark, sf):
+    """The same with all 64 components; tested against a plain loop."""
+    f = I.feats(spark, sf)
+    fit = fit_rows(f.select("example_num", "f_diff"), f.select("example_num", F.col("f_rejected").alias("f_diff")), "nnls", pool_rows=64)
+    weights = F.aggregate("coefficients", F.lit(0.0), lambda total, c: total + c["coefficient"])
+    return fit.select(
+        "example_num", r6("mse").alias("mse"), r6("residual").alias("residual"), F.size("coefficients").alias("n_used"), r6(weights).alias("weight")
+    )
+
+
 # ---- greedy search in SQL, two components ----
 
 UNIT_SQL = """u as (
@@ -177,15 +207,19 @@ def greedy_by_section_two_components(spark, sf):
 
 @query(
     "redundancy_summary",
-    f"""with recursive {I.FEATS_SQL}, {greedy_sql([('nnls', 0.95), ('lstsq', 0.95)])}
-    select solver, count(*) as n_examples, count(*) filter (where red) as n_redundant,
-           count(*) filter (where not red) as n_non_redundant, round(avg(red::int) * 100, 6) as redundant_pct,
-           0::bigint as n_zero_redundant, count(*) filter (where red) as n_non_zero_redundant
-    from step where rn > 0 group by solver""",
+    f"""with recursive {I.FEATS_SQL}, nonzero as (select * from feats where example_num % 10 <> 0),
+    zeros as (select count(*) as z from feats where example_num % 10 = 0),
+    {greedy_sql([('nnls', 0.95), ('lstsq', 0.95)], source='nonzero')},
+    c as (select solver, count(*) as n, count(*) filter (where red) as r from step where rn > 0 group by solver)
+    select solver, n + z as n_examples, r + z as n_redundant, n - r as n_non_redundant,
+           round((r + z) / (n + z) * 100, 6) as redundant_pct, z as n_zero_redundant, r as n_non_zero_redundant from c, zeros""",
 )
 def redundancy_summary(spark, sf):
+    """Every tenth difference is zero: redundant, and no part of any basis."""
     specs = [Spec("nnls"), Spec("lstsq")]
-    summary = M.redundancy_summary(sweep_redundancy(I.feats(spark, sf), specs, components=2), ["solver"])
+    zero = F.array_repeat(F.lit(0.0), I.DIM)
+    f = I.feats(spark, sf).withColumn("f_diff", F.when(F.col("example_num") % 10 == 0, zero).otherwise(F.col("f_diff")))
+    summary = M.redundancy_summary(sweep_redundancy(f, specs, components=2), ["solver"])
     return summary.withColumn("redundant_pct", r6("redundant_pct"))
 
 

@@ -86,10 +86,6 @@ def sections(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SECTIONS, "section string, subset int, example_count bigint")
 
 
-def documents_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-
-
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn with the assistant turn that follows it. Turns are numbered without gaps."""
     c = table(spark, sf_dir, "conversations")

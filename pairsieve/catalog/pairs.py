@@ -1,14 +1,17 @@
 """Queries on sections, positions, noise, joins and samples."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_uniform
 from ..functions.vectors import l2_norm
 from ..operators import pairs as P
 from ..operators import sampling as S
+from ..session import materialise
 from . import inputs as I
 from .registry import query
 
+
 def r6(c):
     return F.round(c, 6) + F.lit(0.0)
 
@@ -266,8 +269,12 @@ def train_validation_split(spark, sf):
     "select doc_id, row_number() over (order by md5('42|3|' || doc_id), doc_id) - 1 as place from documents",
 )
 def shuffled_order(spark, sf):
-    """The place of every document in epoch 3's order."""
-    from ..functions.hashing import seeded_digest
-
-    d = I.table(spark, sf, "documents").select("doc_id", seeded_digest("42|3", "doc_id").alias("digest"))
-    return P.assign_positions(d, ["digest", "doc_id"], "place").select("doc_id", "place")
+    """The place of every document in epoch 3's order: rows are numbered as ``shuffled`` hands them out."""
+    order = S.shuffled(I.table(spark, sf, "documents").select("doc_id"), 3, ["doc_id"])
+    row = F.monotonically_increasing_id()
+    placed = order.select("doc_id", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("rank"))
+    placed = materialise(placed, "order")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return placed.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("rank")).alias("place"))

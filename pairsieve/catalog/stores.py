@@ -225,3 +225,24 @@ def fitted_scorer(spark, sf):
     parts = split_train_validation(I.feats(spark, sf), 0.2).cache()
     scorer = TR.fit_pairwise(parts.where("part = 'train'"))
     return C.evaluate_parts(TR.score_difference(parts, scorer))
+
+
+@query(
+    "failure_report",
+    f"""with {I.PAIRS_SQL},
+    t as (select p.*, a.text as preferred, b.text as dispreferred from pairs p
+          join documents a on a.doc_id = 2 * p.example_num join documents b on b.doc_id = 2 * p.example_num + 1)
+    select round(score_chosen - score_rejected, 6) + 0.0 as diff, round(score_chosen, 6) + 0.0 as score_chosen, preferred,
+           round(score_rejected, 6) + 0.0 as score_rejected, dispreferred from t where score_chosen < score_rejected""",
+)
+def failure_report(spark, sf):
+    """Misranked pairs with both texts, written as records and read back."""
+    texts = I.table(spark, sf, "documents").select("doc_id", "text")
+    scored = I.pairs(spark, sf).withColumns({"doc_id": F.col("example_num") * 2, "other": F.col("example_num") * 2 + 1})
+    scored = scored.join(texts.withColumnRenamed("text", "preferred"), "doc_id")
+    scored = scored.join(texts.select(F.col("doc_id").alias("other"), F.col("text").alias("dispreferred")), "other")
+    path = scratch_path(spark, "failures") + ".jsonl"
+    RE.write_failures(scored, path)
+    kinds = "diff double, score_chosen double, preferred string, score_rejected double, dispreferred string"
+    found = RE.read_records(spark, path, T.StructType.fromDDL(kinds))
+    return found.withColumns({c: r6(c) for c in ("diff", "score_chosen", "score_rejected")})

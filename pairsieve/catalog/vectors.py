@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import vectors as V
 from ..operators.pooling import pool_tokens
+from ..operators.scoring import PythonScorer, nan_report, score_pairs
 from . import inputs as I
 from .pairs import r6
 from .registry import query
@@ -143,8 +144,21 @@ def cleaned_scores(spark, sf):
     "select count(*) as n_pairs, count(*) filter (where (vec_id // 2) % 10 = 3) as n_nan from embeddings where vec_id % 2 = 0",
 )
 def nan_scores_counted(spark, sf):
-    raw = _raw_scores(spark, sf)
-    return raw.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.isnan("score")).alias("n_nan"))
+    """A Python scorer that gives NaN for some pairs: each is replaced and counted."""
+    marked = I.feats(spark, sf).withColumn("f_chosen", F.concat(F.array(F.col("example_num").cast("double")), F.col("f_chosen")))
+    return nan_report(score_pairs(marked, PythonScorer(_sometimes_nan)))
+
+
+def _sometimes_nan():
+    """Scores by the first component, NaN where it is 3 modulo 10 and the vector has 65 components."""
+    import numpy as np
+
+    def score(batch):
+        first = np.array([v[0] for v in batch])
+        whole = np.array([len(v) == 65 for v in batch])
+        return np.where(whole & (first % 10 == 3), np.nan, first), list(batch)
+
+    return score
 
 
 @query(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import pair_loss, wins
 from ..functions.vectors import non_zero_sum
+from ..session import materialise
+from .joins import join_per_group
 from .sampling import mark_sample, random_exclusion_size
 
 CHOSEN, REJECTED = "score_chosen", "score_rejected"
@@ -176,14 +178,14 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), probs: Se
         .groupBy(*key, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    values = materialise(values, "values")  # read three times below
     cuts = values.groupBy(*key).agg(
         F.percentile_approx(
             "_v", F.array(*[F.lit(i / (SKETCH_CUTS + 1)) for i in range(1, SKETCH_CUTS + 1)]), 10_000
         ).alias("_cuts"),
         F.sum("_c").alias("_n"),
     )
-    # Without groups there is one row of cuts; with groups their number decides how Spark joins.
-    ranged = values.join(cuts if by else F.broadcast(cuts), key).withColumn(
+    ranged = join_per_group(values, cuts, key, "inner").withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     )
     sizes = ranged.groupBy(*key, "_range", "_n").agg(F.sum("_c").alias("_size"))

@@ -173,31 +173,33 @@ def label_coverage(labelled: DataFrame) -> DataFrame:
     )
 
 
-# Labels are names of subsets (23 in the evaluation set); more than this is a wrong column.
-MAX_LABELS = 10_000
+# Positions are cut into so many equal parts, and each label's range meets the parts that it touches.
+LABEL_PARTS = 4096
 
 
 def allocate_labels(df: DataFrame, labels: DataFrame, position: str = "example_num") -> DataFrame:
     """Give rows labels in proportion to ``labels(subset, example_count, ord)`` when their own are lost.
 
     In label order each label takes ``int(share·n)`` consecutive positions; what rounding leaves over goes
-    to the first label. Positions run from 0 to n−1.
+    to the first label. Positions run from 0 to n−1. Rows and ranges meet in an equi-join on parts of the positions.
     """
-    rows = labels.orderBy("ord").limit(MAX_LABELS + 1).collect()
-    if not rows or len(rows) > MAX_LABELS:
-        raise ValueError(f"expected between 1 and {MAX_LABELS} labels")
     n = df.count()
-    whole = sum(r["example_count"] for r in rows)
-    ends, end = [], 0
-    for r in rows:
-        end += int(r["example_count"] / whole * n)
-        ends.append(min(end, n))
-    ranges = F.array(
-        *[F.struct(F.lit(e).alias("stop"), F.lit(r["subset"]).alias("subset")) for e, r in zip(ends, rows)]
+    everything, upto = Window.partitionBy(F.lit(0)), Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.col("example_count").cast("double") / F.sum("example_count").over(everything)
+    sized = labels.select("ord", "subset", F.floor(share * F.lit(n)).alias("_size"))
+    ranges = sized.withColumn("_stop", F.sum("_size").over(upto)).withColumn("_start", F.col("_stop") - F.col("_size"))
+    first = labels.orderBy("ord").select("subset").first()
+    if first is None:
+        raise ValueError("there are no labels")
+    width = max(1, -(-n // LABEL_PARTS))
+    parts = F.sequence(F.floor(F.col("_start") / width), F.floor((F.col("_stop") - 1) / width))
+    ranges = ranges.where("_size > 0").select(F.col("subset").alias("_label"), "_start", "_stop", F.explode(parts).alias("_part"))
+    placed = df.drop("subset").withColumn("_part", F.floor(F.col(position) / width))
+    inside = (F.col(position) >= F.col("_start")) & (F.col(position) < F.col("_stop"))
+    joined = placed.alias("p").join(ranges.alias("r"), (F.col("p._part") == F.col("r._part")) & inside, "left")
+    return joined.select(
+        *[F.col(f"p.`{c}`") for c in df.columns if c != "subset"], F.coalesce("_label", F.lit(first["subset"])).alias("subset")
     )
-    # The first range that ends after the position owns it; positions past all ranges go to the first label.
-    owner = F.get(F.filter(ranges, lambda r: r["stop"] > F.col(position)), F.lit(0))["subset"]
-    return df.withColumn("subset", F.coalesce(owner, F.lit(rows[0]["subset"])))
 
 
 def union_sections(parts: Sequence[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_prefix, seeded_digest
+from .joins import join_per_group
 
 BUCKET_HEX_DIGITS = 4
 
@@ -68,7 +69,7 @@ def mark_sample(
     )
     own = F.struct("_digest", *key)
     if by:
-        joined = prefixed.join(cut, by, "left")
+        joined = join_per_group(prefixed, cut, by)
     else:
         # One cut row in all: an equi-join on a constant, broadcast by its size.
         joined = prefixed.withColumn("_one", F.lit(0)).join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,14 +85,17 @@ def score_pairs(
         build, kept, names = scorer.build, list(keep), schema.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score = build()
+            score = None  # built for the first rows only: a task may have none
             for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                score = score or build()
                 scores, features = [], []
                 for column in (chosen, rejected):
                     s, f = score(batch.column(batch.schema.get_field_index(column)).to_pandas())
                     # Arrow, unlike pandas, tells NaN from NULL.
-                    scores.append(pa.array([float(x) for x in s], pa.float64()))
-                    features.append(pa.array([[float(x) for x in v] for v in f], pa.list_(pa.float64())))
+                    scores.append(pa.array(np.asarray(s, dtype=np.float64)))
+                    features.append(_list_column(f))
                 kept_columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays(kept_columns + scores + features, names=names)
 
@@ -105,6 +109,12 @@ def score_pairs(
     )
 
 
+def _list_column(vectors: Sequence[Sequence[float]]) -> pa.Array:
+    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows)))
+
+
 def nan_report(scored: DataFrame) -> DataFrame:
     """How many pairs had a NaN score replaced."""
     return scored.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("had_nan").alias("n_nan"))

@@ -1,23 +1,23 @@
-"""Fit many target rows against one basis table."""
+"""Fit many target rows against one basis table, both of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, fit_quality
+from ..session import materialise, scratch_path
 from . import kernels
-from .sieve import LOWEST_KEY, Problem, Sieve, Spec, Target, _vector_column
+from .sieve import EXACT, LOWEST_KEY, MERGE_SLOTS, Problem, Sieve, Spec, Target, _arrays, _pivot_task, _vector_column
 
-# A basis up to this size is broadcast; a larger one is scanned.
-BASIS_BYTES = 64 << 20
-FIT = "_id bigint, _coefficients array<struct<basis_key:bigint,coefficient:double>>, _fitted array<double>"
+GROUP = "{}"
+FIT = "_id bigint, _vec array<double>, _entries array<struct<id:bigint,coefficient:double>>, _fitted array<double>, _settled boolean"
+ENTRIES = pa.list_(pa.struct([("id", pa.int64()), ("coefficient", pa.float64())]))
 
 
 def fit_rows(
@@ -28,31 +28,55 @@ def fit_rows(
     vector: str = "f_diff",
     basis_key: str = "example_num",
     basis_vector: str = "f_diff",
-    basis_bytes: int = BASIS_BYTES,
+    pool_rows: int | None = None,
     block_rows: int = 1024,
 ) -> DataFrame:
     """Least squares of every target on the rows of ``basis``, ``nnls`` (x ≥ 0) or ``lstsq``.
 
-    Returns key, coefficients (the non-zero ones, by basis key), reconstruction, mse, r2_score, residual.
-    A basis of more than ``basis_bytes`` is never collected: ``lstsq`` then needs only the d×d matrix
-    Σ b·bᵀ (and leaves coefficients NULL), ``nnls`` finds each target's few active rows by scanning.
+    Returns key, coefficients (the non-zero ones, by basis key), reconstruction, mse, r2_score, residual: one row per
+    target, also where keys repeat or are NULL. Vectors that are NULL, of another length, or have NULL, NaN or infinite
+    components are an error.
+
+    ``lstsq`` needs at most d independent basis rows, the last in order; they are found per task and merged, and the
+    coefficients are those on them (a basic solution; the least-norm one where the basis is independent).
+    ``nnls`` fits every target in its own task on a first pool of ``pool_rows`` basis rows (4·d). A fit that leaves
+    nothing, or whose pool was the whole basis, is final; the others go on in blocks: tasks fit them, a scan of the
+    basis finds rows that would improve them, until none does. Sizes bound what a task or the driver holds, never the result.
     """
     if method not in ("nnls", "lstsq"):
         raise ValueError(f"method must be 'nnls' or 'lstsq', not {method!r}")
-    rows = targets.select(F.col(key).cast("bigint").alias("_id"), as_double(vector).alias("_vec"))
-    base = basis.select(F.col(basis_key).cast("bigint").alias("_key"), as_double(basis_vector).alias("_vec"))
-    facts = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
-    n, d = facts["n"], facts["d"] or 0
-    if n * d * 8 <= basis_bytes:
-        fitted = _fit_broadcast(rows, base, method, d)
-    elif method == "lstsq":
-        fitted = _fit_projection(rows, base, d)
+    spark = targets.sparkSession
+    row = F.monotonically_increasing_id()
+    rows = targets.select(row.alias("_id"), F.col(key).alias("_name"), as_double(vector).alias("_vec"))
+    base = basis.select(row.alias("_key"), F.col(basis_key).cast("bigint").alias("_basis_key"), as_double(basis_vector).alias("_vec"))
+    rows, base = materialise(rows, "targets"), materialise(base, "basis")
+    n, d = _checked(rows, base)
+    table = base.select(F.lit(GROUP).alias("_g"), "_key", "_vec", F.lit(1.0).alias("_spread"))
+    if method == "lstsq":
+        ids, matrix = _independent_rows(table, d)
+        parts = [_first_fits(rows, ids, matrix, True, method)]
     else:
-        fitted = _fit_scanning(rows, base, n, d, block_rows)
-    quality = fitted.join(rows, "_id").withColumn("_q", fit_quality("_vec", "_fitted"))
+        pool = base.orderBy("_key").limit(pool_rows or 4 * d).select("_key", "_vec").collect()
+        ids, matrix = np.array([r["_key"] for r in pool], np.int64), np.array([r["_vec"] for r in pool]).reshape(-1, d)
+        first = materialise(_first_fits(rows, ids, matrix, len(ids) == n, method), "fits")
+        parts = [first.where("_settled")]
+        path = _improved(spark, first.where("not _settled").select("_id", "_vec"), table, n, d, ids, matrix, block_rows)
+        if path:
+            parts.append(spark.read.schema(FIT).parquet(path))
+    fitted = parts[0]
+    for part in parts[1:]:
+        fitted = fitted.unionByName(part)
+
+    named = base.select(F.col("_key").alias("id"), "_basis_key")
+    entries = fitted.select("_id", F.explode("_entries").alias("_e")).select("_id", "_e.*").join(named, "id")
+    entry = F.struct(F.col("_basis_key").alias("basis_key"), "coefficient")
+    entries = entries.groupBy("_id").agg(F.array_sort(F.collect_list(entry)).alias("_coefficients"))
+    none = F.array().cast("array<struct<basis_key:bigint,coefficient:double>>")
+    quality = fitted.join(rows.select("_id", "_name"), "_id").join(entries, "_id", "left")
+    quality = quality.withColumn("_q", fit_quality("_vec", "_fitted"))
     return quality.select(
-        F.col("_id").alias(key),
-        F.col("_coefficients").alias("coefficients"),
+        F.col("_name").alias(key),
+        F.coalesce("_coefficients", none).alias("coefficients"),
         F.col("_fitted").alias("reconstruction"),
         "_q.mse",
         "_q.r2_score",
@@ -60,115 +84,120 @@ def fit_rows(
     )
 
 
-def _fit_broadcast(rows: DataFrame, base: DataFrame, method: str, d: int) -> DataFrame:
-    held = sorted(base.collect(), key=lambda r: r["_key"])
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (np.array([r["_key"] for r in held], dtype=np.int64), np.array([r["_vec"] for r in held]).reshape(-1, d))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, matrix = shared.value
-        inverse = np.linalg.pinv(matrix.T) if method == "lstsq" else None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if method == "lstsq":
-                x = y @ inverse.T
-            else:
-                x = np.array([kernels.nnls(matrix, row)[0] for row in y]).reshape(len(y), len(keys))
-            entries = [
-                [{"basis_key": int(keys[j]), "coefficient": float(row[j])} for j in np.flatnonzero(row)] for row in x
-            ]
-            kind = pa.list_(pa.struct([("basis_key", pa.int64()), ("coefficient", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(entries, kind), _vector_column(x @ matrix)],
-                names=["_id", "_coefficients", "_fitted"],
-            )
-
-    return rows.mapInArrow(run, FIT)
-
-
-def _fit_projection(rows: DataFrame, base: DataFrame, d: int) -> DataFrame:
-    """Reconstruction by the projection on the row space, from Σ b·bᵀ summed over tasks."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((d, d))
-        for batch in batches:
-            b = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-            gram += b.T @ b
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(d, dtype=np.int32)), _vector_column(gram)], names=["_i", "_row"]
-        )
-
-    summed = (
-        base.mapInArrow(partial, "_i int, _row array<double>")
-        .groupBy("_i")
-        .agg(vector_to_array(Summarizer.sum(array_to_vector("_row"))).alias("_row"))
-        .collect()
-    )
-    gram = np.array([r["_row"] for r in sorted(summed, key=lambda r: r["_i"])])
-    values, vectors = np.linalg.eigh(gram)
-    # The matrix squares the condition number, hence the looser cut.
-    span = vectors[:, values > values[-1] * 1e-13]
-    shared = rows.sparkSession.sparkContext.broadcast(span @ span.T)
+def _checked(rows: DataFrame, base: DataFrame) -> tuple[int, int]:
+    """Basis rows and the length of all vectors."""
+    odd = F.col("_vec").isNull() | F.exists("_vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    facts = [
+        df.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(odd).alias("odd"),
+            F.min(F.size("_vec")).alias("low"),
+            F.max(F.size("_vec")).alias("high"),
+        ).first()
+        for df in (rows, base)
+    ]
+    bad = sum(f["odd"] for f in facts)
+    if bad:
+        raise ValueError(f"{bad} vectors are NULL or have NULL, NaN or infinite components")
+    sizes = {f[c] for f in facts if f["n"] for c in ("low", "high")}
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in length")
+    return facts[1]["n"], sizes.pop() if sizes else 1
+
+
+def _independent_rows(table: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last linearly independent rows of the basis, at most d: per task, then merged in two levels."""
+    shape = "_g string, _key bigint, _vec array<double>, _spread double"
+    spans = table.sparkSession.sparkContext.broadcast({GROUP: np.zeros((0, d))})
+    task = _pivot_task(spans, d)
+    slot = F.pmod(F.xxhash64("_key"), F.lit(MERGE_SLOTS))
+    merged = table.mapInArrow(task, shape).repartition(slot).mapInArrow(task, shape).repartition(1).mapInArrow(task, shape)
+    found = merged.toArrow()
+    if not found.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, d))
+    _, keys, vecs, _ = _arrays(found.combine_chunks().to_batches()[0], d)
+    return keys, vecs
+
+
+def _fit(matrix: np.ndarray, y: np.ndarray, method: str) -> np.ndarray:
+    if len(matrix) == 0:
+        return np.zeros(0)
+    return kernels.nnls(matrix, y)[0] if method == "nnls" else np.linalg.lstsq(matrix.T, y, rcond=None)[0]
+
+
+def _batch(ids: list, vecs: np.ndarray, names: np.ndarray, x: list[np.ndarray], matrix: np.ndarray, settled: list[bool]) -> pa.RecordBatch:
+    entries = [[{"id": int(names[j]), "coefficient": float(row[j])} for j in np.flatnonzero(row)] for row in x]
+    fitted = np.array([row @ matrix for row in x]).reshape(vecs.shape)
+    arrays = [pa.array(ids, pa.int64()), _vector_column(vecs), pa.array(entries, ENTRIES), _vector_column(fitted), pa.array(settled)]
+    return pa.RecordBatch.from_arrays(arrays, names=["_id", "_vec", "_entries", "_fitted", "_settled"])
+
+
+def _first_fits(rows: DataFrame, names: np.ndarray, matrix: np.ndarray, complete: bool, method: str) -> DataFrame:
+    """Every target on the pool; settled if the pool is all there is, or if the fit leaves nothing."""
+    shared = rows.sparkSession.sparkContext.broadcast((names, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("basis_key", pa.int64()), ("coefficient", pa.float64())]))
+        names, matrix = shared.value
         for batch in batches:
-            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.nulls(batch.num_rows, kind), _vector_column(y @ shared.value)],
-                names=["_id", "_coefficients", "_fitted"],
-            )
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                vecs = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float)
+                x = [_fit(matrix, y, method) for y in vecs]
+                left = [np.linalg.norm(y - row @ matrix) <= EXACT * np.linalg.norm(y) for y, row in zip(vecs, x)]
+                yield _batch(part.column(0), vecs, names, x, matrix, [bool(complete or e) for e in left])
 
-    return rows.mapInArrow(run, FIT)
+    return rows.select("_id", "_vec").mapInArrow(run, FIT)
 
 
-def _fit_scanning(rows: DataFrame, base: DataFrame, n: int, d: int, block_rows: int) -> DataFrame:
-    """Column generation: solve on a working set, scan the basis for rows that would improve the fit, repeat.
+def _improved(
+    spark, rows: DataFrame, table: DataFrame, n: int, d: int, ids: np.ndarray, matrix: np.ndarray, block_rows: int
+) -> str | None:
+    """Targets whose fits further basis rows improve, by column generation, a block at a time; where the fits were written.
 
-    A fit that no basis row improves is optimal. Targets go through in blocks of bounded size.
+    Tasks fit and write; the driver holds the block's vectors and the few basis rows that scans found for it.
     """
-    spark = rows.sparkSession
-    group = "{}"
-    table = base.select(
-        F.lit(group).alias("_g"), "_key", "_vec", F.lit(1.0).alias("_spread"), F.lit("fit").alias("_kind")
-    )
-    facts = {group: {"n_fit": n, "n_low": 0, "fixed": np.zeros((0, d))}}
-    sieve = Sieve(table, [Spec()], facts, d, 1, block_rows)
-    empty = (np.zeros(0, np.int64), np.zeros((0, d)), np.zeros(0))
-    problem = Problem(0, group, 0, Spec(), Spec().test, np.zeros((0, d)), *empty)
-    done: list[DataFrame] = []
-    last = None
+    facts = {GROUP: {"n_fit": n, "n_low": 0, "fixed": np.zeros((0, d))}}
+    sieve = Sieve(table.withColumn("_kind", F.lit("fit")), [Spec()], facts, d, 1, block_rows)
+    problem = Problem(0, GROUP, 0, Spec(), Spec().test, np.zeros((0, d)), ids, matrix, np.ones(len(ids)))
+    path, last = None, -1
     while True:
-        after = rows if last is None else rows.where(F.col("_id") > last)
-        block = after.orderBy("_id").limit(block_rows).collect()
+        block = rows.where(F.col("_id") > last).orderBy("_id").limit(block_rows).collect()
         if not block:
-            break
+            return path
         last = block[-1]["_id"]
         problem.block = [Target(LOWEST_KEY, np.array(r["_vec"]), 1.0) for r in block]
-        open_targets = set(range(len(block)))
-        solutions: dict[int, np.ndarray] = {}
-        while open_targets:
-            matrix = np.array(list(problem.hits.values())).reshape(-1, d)
-            asked = []
-            for i in open_targets:
-                solutions[i], left = kernels.nnls(matrix, problem.block[i].vec)
-                limit = kernels.IMPROVES * float(np.linalg.norm(left)) + 1e-12
-                asked.append((problem, i, LOWEST_KEY, left, limit))
-            open_targets = {i for _, i in sieve.scan(asked)}
-        keys, matrix = list(problem.hits), np.array(list(problem.hits.values())).reshape(-1, d)
-        out = []
-        for i, r in enumerate(block):
-            x = solutions[i]  # rows found after this target was settled have no weight
-            entries = [(k, float(c)) for k, c in zip(keys, x) if c > 0]
-            out.append((r["_id"], entries, [float(v) for v in x @ matrix[: len(x)]]))
+        waiting = set(range(len(block)))
+        while waiting:
+            asked = [
+                (problem, r["position"], LOWEST_KEY, np.array(r["left"]), r["limit"])
+                for r in _in_tasks(spark, problem, sorted(waiting), block, write=False).collect()
+            ]
+            waiting = {i for _, i in sieve.scan(asked)}
+        path = path or scratch_path(spark, "fits")
+        _in_tasks(spark, problem, list(range(len(block))), block, write=True).write.mode("append").parquet(path)
         problem.hits = {}
-        done.append(spark.createDataFrame(out, FIT))
-    if not done:
-        return spark.createDataFrame([], FIT)
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+
+
+def _in_tasks(spark, problem: Problem, positions: list[int], block: list, write: bool) -> DataFrame:
+    """Fits on what is known: what each leaves and the least gain that counts, or the fits themselves (``write``)."""
+    hits = list(problem.hits)
+    names = np.concatenate([problem.tail_keys, np.array(hits, np.int64)])
+    matrix = np.vstack([problem.tail, np.array([problem.hits[k] for k in hits]).reshape(len(hits), problem.tail.shape[1])])
+    shared = spark.sparkContext.broadcast((names, matrix, [(i, block[i]["_id"], np.array(block[i]["_vec"])) for i in positions]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, rows = shared.value
+        for batch in batches:
+            mine = [rows[i] for i in batch.column(0).to_pylist()]
+            x = [_fit(matrix, y, "nnls") for _, _, y in mine]
+            vecs = np.array([y for _, _, y in mine]).reshape(len(mine), -1)
+            if write:
+                yield _batch([i for _, i, _ in mine], vecs, names, x, matrix, [True] * len(mine))
+                continue
+            left = [y - row @ matrix for y, row in zip(vecs, x)]
+            limits = [kernels.IMPROVES * float(np.linalg.norm(r)) + 1e-12 for r in left]
+            out = pd.DataFrame({"position": [i for i, _, _ in mine], "left": left, "limit": limits})
+            yield pa.RecordBatch.from_pandas(out, schema=pa.schema([("position", pa.int32()), ("left", pa.list_(pa.float64())), ("limit", pa.float64())]), preserve_index=False)
+
+    slices = min(len(positions), 2 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, len(positions), 1, slices).mapInArrow(run, FIT if write else "position int, left array<double>, limit double")

@@ -340,24 +340,43 @@ def test_half_space_on_test_embeddings(spark, medium):
 
 
 @pytest.mark.parametrize("method", ["nnls", "lstsq"])
-def test_fit_rows_small_and_large_basis_agree(spark, method):
+def test_fit_rows_whatever_is_held_at_once(spark, method):
     rng = np.random.default_rng(2)
-    basis, targets = rng.normal(size=(7, 5)), rng.normal(size=(12, 5))
+    basis, targets = rng.normal(size=(17, 5)) + np.eye(5)[0], rng.normal(size=(23, 5))
     basis[3] = basis[1] * 2
+    targets[7] = 0.0
     b, t = frame(spark, basis), frame(spark, targets)
     residual = cone_residual if method == "nnls" else span_residual
-    for size in (1 << 20, 0):
-        out = fit_rows(t, b, method, basis_bytes=size, block_rows=5).collect()
+    for options in ({}, {"pool_rows": 1, "block_rows": 5}, {"pool_rows": 6, "block_rows": 2}):
+        out = fit_rows(t, b, method, **options).collect()
         assert len(out) == len(targets)
         for r in out:
             y = targets[(r.example_num - 1) // 3]
             assert abs(r.residual**2 - residual(basis, y)) < 1e-7
             assert abs(r.mse - residual(basis, y) / 5) < 1e-7
-            assert abs(r.r2_score - (1 - residual(basis, y) / np.sum((y - y.mean()) ** 2))) < 1e-6
-            if r.coefficients is not None:
-                again = sum(c.coefficient * basis[(c.basis_key - 1) // 3] for c in r.coefficients) if r.coefficients else 0 * y
-                assert np.allclose(again, r.reconstruction)
-                assert method == "lstsq" or all(c.coefficient >= 0 for c in r.coefficients)
+            if y.any():
+                assert abs(r.r2_score - (1 - residual(basis, y) / np.sum((y - y.mean()) ** 2))) < 1e-6
+            again = sum((c.coefficient * basis[(c.basis_key - 1) // 3] for c in r.coefficients), 0 * y)
+            assert np.allclose(again, r.reconstruction)
+            assert method == "lstsq" or all(c.coefficient >= 0 for c in r.coefficients)
+
+
+@pytest.mark.parametrize("method", ["nnls", "lstsq"])
+def test_fit_rows_with_repeated_keys_and_no_basis(spark, method):
+    rng = np.random.default_rng(3)
+    data = [(1 if i < 6 else None, [float(v) for v in rng.normal(size=3)]) for i in range(8)]
+    t = spark.createDataFrame(data, "example_num bigint, f_diff array<double>")
+    b = frame(spark, rng.normal(size=(9, 3)))
+    for options in ({}, {"pool_rows": 1, "block_rows": 2}):
+        out = fit_rows(t, b, method, **options).collect()
+        assert sorted(map(str, (r.example_num for r in out))) == ["1"] * 6 + ["None"] * 2
+    empty = fit_rows(t, b.limit(0), method).collect()
+    assert len(empty) == 8 and all(r.coefficients == [] and r.reconstruction == [0.0] * 3 for r in empty)
+    assert fit_rows(t.limit(0), b, method).count() == 0
+    with pytest.raises(ValueError, match="1 vectors"):
+        fit_rows(t, b.union(spark.createDataFrame([(5, [float("nan"), 1.0, 1.0])], b.schema)), method)
+    with pytest.raises(ValueError, match="length"):
+        fit_rows(t, frame(spark, rng.normal(size=(4, 2))), method)
 
 
 def test_fit_quality_of_constant_rows(spark):
