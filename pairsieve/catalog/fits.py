@@ -343,11 +343,11 @@ def study(spark, sf):
 
 @query("section_study_all_components")
 def study_all_components(spark, sf):
-    """The study of one section with all 64 components."""
+    """The study of all sections with all 64 components."""
     registry = ScorerRegistry({"first": I.FIRST_SCORER, "second": I.SECOND_SCORER})
     examples = I.feats(spark, sf).drop("f_diff")
     report = section_study(
-        examples, I.sections(spark), registry, ["first", "second"], "reasoning", _roots(spark), StudySettings("first")
+        examples, I.sections(spark), registry, ["first", "second"], "", _roots(spark), StudySettings("first")
     )
     return flat_report(report, ["model"])
 

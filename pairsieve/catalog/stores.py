@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import seeded_uniform
+from ..functions.scores import wins
+from ..functions.tokens import conversation, fit_length, split_words
 from ..functions.vectors import l2_norm
 from ..operators import metrics as M
 from ..operators import scoring as C
 from ..operators import trainer as TR
 from ..operators.pairs import assign_positions
 from ..operators.sampling import split_train_validation
+from ..operators.templates import render_for_models, template_table
+from ..plans.study import evaluate, relabel
 from ..session import scratch_path
 from ..sources import features as FE
 from ..sources import records as RE
@@ -18,6 +22,7 @@ from . import inputs as I
 from .metrics import HIT
 from .pairs import REDUNDANT_SQL, r6
 from .registry import query
+from .texts import PAD, TEMPLATES
 
 
 @query(
@@ -246,3 +251,66 @@ def failure_report(spark, sf):
     kinds = "diff double, score_chosen double, preferred string, score_rejected double, dispreferred string"
     found = RE.read_records(spark, path, T.StructType.fromDDL(kinds))
     return found.withColumns({c: r6(c) for c in ("diff", "score_chosen", "score_rejected")})
+
+
+FITTED_SQL = """array_to_string(string_split('<|user|>' || prompt || '<|end|><|assistant|>' || {side} || '<|end|>', ' ')[1:48], ' ')"""
+
+
+@query(
+    "scoring_path",
+    f"""with {I.PROMPTS_SQL},
+    f as (select conv_id, turn, {FITTED_SQL.format(side='completion')} as c, {FITTED_SQL.format(side='prompt')} as r from prompts),
+    w as (select *, (length(c) - length(replace(c, ' ', '')) + 1)::double - (length(c) - length(replace(c, chr(10), '')))::double as a,
+                 (length(r) - length(replace(r, ' ', '')) + 1)::double - (length(r) - length(replace(r, chr(10), '')))::double as b from f)
+    select conv_id, turn, a as score_chosen, b as score_rejected, (a > b)::int as is_correct,
+           (length(c) - length(r))::double as char_diff from w""",
+)
+def scoring_path(spark, sf):
+    """Prompt and two completions all the way: conversation, template, length, scorer, clean scores, comparison."""
+    models = F.lit("first").alias("model")
+    sides = I.prompts(spark, sf).select("conv_id", "turn", models, "prompt", F.col("completion").alias("chosen"), F.col("prompt").alias("rejected"))
+    for side in ("chosen", "rejected"):
+        rendered = render_for_models(
+            sides.withColumn("conversation", conversation("prompt", side)), template_table(spark, TEMPLATES), name="text"
+        )
+        tokens, mask = fit_length("words", 48, F.lit(PAD), "right", "right")
+        fitted = rendered.withColumn("words", split_words("text")).withColumns({"t": tokens, "m": mask})
+        real = F.filter("t", lambda x, i: F.get("m", i) == 1)
+        sides = fitted.withColumn(f"{side}_text", F.array_join(real, " ")).drop("conversation", "text", "words", "t", "m")
+    scored = C.score_pairs(sides, C.PythonScorer(_word_scorer), ("chosen_text", "rejected_text"), ["conv_id", "turn"])
+    return C.with_difference(scored).select(
+        "conv_id",
+        "turn",
+        "score_chosen",
+        "score_rejected",
+        wins("score_chosen", "score_rejected", "gt").cast("int").alias("is_correct"),
+        F.get("f_diff", F.lit(0)).alias("char_diff"),
+    )
+
+
+@query(
+    "evaluation_study",
+    f"""with {I.PAIRS_SQL}, {I.SECTIONS_SQL},
+    p as (select subset, count(*) as n, avg((score_chosen > score_rejected)::int) as accuracy from pairs group by subset)
+    select 'overall' as level, 'all' as name, count(*) as n, round(avg((score_chosen > score_rejected)::int), 6) as accuracy from pairs
+    union all select 'subset', subset::varchar, n, round(accuracy, 6) from p
+    union all select 'section', section, count(*), round(sum(accuracy * example_count) / sum(example_count), 6)
+              from p join sections using (subset) group by section
+    union all select 'coverage', 'labelled', count(*), 1.0 from pairs""",
+)
+def evaluation_study(spark, sf):
+    """Stored scores that lost their labels get them again and are evaluated, without any search."""
+    labels = I.feats(spark, sf).select("example_num", "subset")
+    scored = relabel(I.pairs(spark, sf), labels)
+    found = evaluate(scored, I.sections(spark))
+
+    def level(name, df, label, n, accuracy):
+        return df.select(F.lit(name).alias("level"), label.cast("string").alias("name"), n.cast("bigint").alias("n"), r6(accuracy).alias("accuracy"))
+
+    share = F.col("n_labelled") / F.col("n_scored")
+    return (
+        level("overall", found["overall"], F.lit("all"), F.col("n_pairs"), F.col("accuracy"))
+        .unionByName(level("subset", found["subsets"], F.col("subset"), F.col("n_pairs"), F.col("accuracy")))
+        .unionByName(level("section", found["sections"], F.col("section"), F.col("n_subsets"), F.col("section_score")))
+        .unionByName(level("coverage", found["coverage"], F.lit("labelled"), F.col("n_labelled"), share))
+    )
