@@ -14,7 +14,7 @@ from ..operators.pairs import assign_positions
 from ..operators.sampling import split_train_validation
 from ..operators.templates import render_for_models, template_table
 from ..plans.study import evaluate, relabel
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import features as FE
 from ..sources import records as RE
 from ..sources import redundant_sets as RS
@@ -227,7 +227,7 @@ def pairwise_training_rows(spark, sf):
 @query("fitted_scorer")
 def fitted_scorer(spark, sf):
     """Fit on the training part, evaluate both parts; no SQL fits a logistic regression."""
-    parts = split_train_validation(I.feats(spark, sf), 0.2).cache()
+    parts = materialise(split_train_validation(I.feats(spark, sf), 0.2), "parts")
     scorer = TR.fit_pairwise(parts.where("part = 'train'"))
     return C.evaluate_parts(TR.score_difference(parts, scorer))
 

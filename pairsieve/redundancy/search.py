@@ -19,7 +19,7 @@ from ..functions.vectors import (
     truncate,
 )
 from .kernels import LARGEST_COMPONENT
-from ..session import materialise
+from ..session import discard, materialise
 from .sieve import SPREAD_FLOOR, TAIL_BYTES, Sieve, Spec
 
 
@@ -183,6 +183,7 @@ def _run(
         missed = [(p.group, p.index, True) for p in problems if not p.feasible]
         if missed:
             infeasible = infeasible.unionByName(spark.createDataFrame(missed, INFEASIBLE))
+    discard(listed)
     return (*found, infeasible)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import materialise, scratch_path
+from ..session import discard, materialise, scratch_path
 from . import kernels
 from .kernels import ConeTest, HalfSpaceTest, SpanTest
 
@@ -568,6 +568,7 @@ class Sieve:
             survivors = self._screen([p for p in others if p.feasible])
             if survivors is not None:
                 self._resolve([p for p in others if p.feasible], survivors)
+                discard(survivors)
         feasible = [p for p in problems if p.feasible]
         self._finish(feasible)
         found = self._values(feasible) if values and feasible else self.spark.createDataFrame([], self.VALUE)
@@ -719,6 +720,7 @@ class Sieve:
             again = self._screen_again(survivors, wanted, n)
             fewer = self._survivor_counts(again)
             shrunk = sum(fewer.values()) < 0.8 * n
+            discard(survivors)
             survivors, counts = again, fewer
             if not shrunk:
                 break

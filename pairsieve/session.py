@@ -50,13 +50,45 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark)}/pairsieve/{name}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder; ``clear_scratch`` deletes it."""
+    path = f"{shared_folder(spark)}/pairsieve/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files stay as long as results may read them: until ``discard`` or ``clear_scratch``.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialised tables that no later job reads."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has written to its scratch paths; results that still read them become invalid."""
+    for path in list(_made.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)

@@ -15,8 +15,8 @@ from ..operators.metrics import CHOSEN, REJECTED, misranked_pairs
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
     """Read ``.csv`` (header, every column a string), ``.json`` (array), ``.jsonl`` or ``.parquet``.
 
-    ``multiline=False`` lets Spark split a CSV file whose records hold no line breaks. Without a ``schema``
-    JSON takes one extra pass to infer it.
+    ``multiline=False`` lets Spark split a CSV file whose records hold no line breaks; otherwise each file is one task, so
+    files should be of bounded size, as ``write_csv`` makes them. Without a ``schema`` JSON takes one extra pass to infer it.
     """
     kind = PurePosixPath(path.rstrip("/")).suffix
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -40,9 +40,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
     raise ValueError(f"{path}: unrecognised file extension {kind!r}")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 200_000) -> None:
+    """Quoted CSV files of bounded size: a file whose records may hold line breaks is read by one task."""
     (
         df.write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')

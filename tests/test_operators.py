@@ -291,3 +291,46 @@ def test_python_scorer_and_registry(spark):
     assert rows[0].score_chosen == 9.0 and rows[1].score_chosen == 0.0 and rows[1].had_nan
     assert SC.nan_report(out).first().n_nan == 1
     assert SC.with_difference(out).where("example_num = 0").first().f_diff == [4.0, 0.0]
+
+
+# ---- joins with one row per group ----
+
+
+def test_many_groups_are_salted_with_the_same_result(spark, monkeypatch):
+    from pairsieve.operators import joins as J
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i}") for i in range(300)], "example_num bigint, part string")
+    groups = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(map(tuple, J.join_per_group(rows, groups, ["part"]).collect()))
+    marked = SA.mark_sample(rows, F.floor(F.col("n") / 4), by=["part"]).where("is_sampled")
+    drawn = sorted(r.example_num for r in marked.collect())
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    salted = J.join_per_group(rows, groups, ["part"])
+    assert sorted(map(tuple, salted.collect())) == want
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    marked = SA.mark_sample(rows, F.floor(F.col("n") / 4), by=["part"]).where("is_sampled")
+    assert sorted(r.example_num for r in marked.collect()) == drawn
+
+
+def test_labels_in_any_number(spark):
+    n, m = 50, 500
+    rows = spark.range(n).select(F.col("id").alias("example_num"), F.lit("lost").alias("subset"))
+    labels = spark.range(m).select(F.concat(F.lit("s"), "id").alias("subset"), (F.col("id") % 7).alias("example_count"), F.col("id").alias("ord"))
+    got = {r.example_num: r.subset for r in P.allocate_labels(rows, labels).collect()}
+    whole, place, want = sum(i % 7 for i in range(m)), 0, {}
+    for i in range(m):
+        size = int((i % 7) / whole * n)
+        want.update({place + j: f"s{i}" for j in range(size)})
+        place += size
+    assert got == {i: want.get(i, "s0") for i in range(n)}
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    from pairsieve.session import discard, materialise
+
+    kept, gone = materialise(spark.range(3), "test"), materialise(spark.range(4), "test")
+    assert gone.count() == 4
+    discard(gone, None)
+    assert not os.path.exists(gone._scratch_path) and os.path.exists(kept._scratch_path) and kept.count() == 3
