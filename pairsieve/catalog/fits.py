@@ -391,3 +391,26 @@ def introspection_parts(spark, sf):
     pairs = I.feats(spark, sf)
     redundant = pairs.where(seeded_uniform(7, "example_num") < 0.6)
     return introspect(pairs, redundant, I.FIRST_SCORER)["parts"].withColumn("accuracy", r6("accuracy"))
+
+
+@query(
+    "introspection_pairs",
+    f"""with {I.PAIRS_SQL}
+    select example_num, case when {REDUNDANT_SQL} then 'redundant' else 'non_redundant' end as part,
+           round(score_chosen - score_rejected, 6) + 0.0 as score_diff,
+           round(sqrt(list_sum(list_transform(f_diff, lambda x: x * x))), 6) as diff_norm,
+           round(sqrt(list_sum(list_transform(f_chosen, lambda x: x * x))), 6) as chosen_norm,
+           round(sqrt(list_sum(list_transform(f_rejected, lambda x: x * x))), 6) as rejected_norm
+    from pairs join (select example_num, f_chosen, f_rejected, f_diff from feats) using (example_num)""",
+)
+def introspection_pairs(spark, sf):
+    """The evaluated pairs themselves: part, score difference, both vectors and their difference."""
+    from ..functions.hashing import seeded_uniform
+    from ..functions.vectors import l2_norm
+
+    pairs = I.feats(spark, sf)
+    redundant = pairs.where(seeded_uniform(7, "example_num") < 0.6)
+    found = introspect(pairs, redundant, I.FIRST_SCORER)["pairs"]
+    norms = {f"{n}_norm": r6(l2_norm(f"f_{n}")) for n in ("diff", "chosen", "rejected")}
+    score_diff = r6(F.col("score_chosen") - F.col("score_rejected")).alias("score_diff")
+    return found.select("example_num", "part", score_diff, *[c.alias(n) for n, c in norms.items()])

@@ -25,7 +25,8 @@ def train(pairs: DataFrame, validation_share: float = 0.1, epochs: Sequence[int]
 def introspect(pairs: DataFrame, redundant: DataFrame, scorer: LinearScorer, seed: int = 42) -> dict[str, DataFrame]:
     """A stored scorer on the redundant, the non-redundant and an equally large random part.
 
-    ``shares`` has each part's share and the size-weighted overall accuracy.
+    ``shares`` has each part's share and the size-weighted overall accuracy; ``pairs`` has every pair with its part, scores,
+    vectors and whatever else ``pairs`` holds.
     """
     scored = score_difference(pairs, scorer)
     inside = redundant_part(scored, redundant).withColumn("part", F.lit("redundant"))
@@ -34,4 +35,5 @@ def introspect(pairs: DataFrame, redundant: DataFrame, scorer: LinearScorer, see
     return {
         "parts": evaluate_parts(inside.unionByName(outside).unionByName(random)),
         "shares": part_shares(inside.unionByName(outside), "part"),
+        "pairs": inside.unionByName(outside),
     }
