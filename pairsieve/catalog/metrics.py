@@ -189,6 +189,13 @@ def value_quantiles(spark, sf):
     return M.exact_quantiles(I.table(spark, sf, "lineitem"), "l_quantity").withColumn("quantile", r6("quantile"))
 
 
-@query("approximate_score_quantiles")
+@query(
+    "approximate_score_quantiles",
+    f"""with {I.MODELS_SQL}, s as (select model, list_sort(list(score_chosen)) as v, count(*) as n from models group by model),
+    p as (select model, v, n, {PROBS_SQL} as prob from s)
+    select model, prob, round(v[greatest(ceil(prob::double * n), 1)::bigint], 6) + 0.0 as quantile from p""",
+)
 def approximate_score_quantiles(spark, sf):
-    return M.approximate_quantiles(I.two_models(spark, sf), "score_chosen", ["model"])
+    """The sketch keeps 10,000 values, so groups up to that size get the value of the wanted rank itself."""
+    found = M.approximate_quantiles(I.two_models(spark, sf), "score_chosen", ["model"])
+    return found.withColumn("quantile", r6("quantile"))
