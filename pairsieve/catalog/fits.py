@@ -155,12 +155,18 @@ def greedy_sql(specs, source="feats", grp="0", by="r2") -> str:
     )
 
 
-def _found(results, *extra, value=None):
-    values = [r6(value).alias(value)] if value else []
-    return results.select(*extra, "example_num", F.col("is_redundant").cast("int").alias("is_redundant"), *values)
+# A nearly constant row has an R² far below 0, of which only the leading digits are certain.
+LOWEST_R2 = -100.0
+R2_SQL = f"round(greatest(r2, {LOWEST_R2}), 5) + 0.0 as r2_score"
 
 
-R2_SQL = "round(r2, 6) + 0.0 as r2_score"
+def _found(results, *extra, value=None):
+    values = []
+    if value == "r2_score":
+        values = [(F.round(F.greatest(F.col(value), F.lit(LOWEST_R2)), 5) + F.lit(0.0)).alias(value)]
+    elif value:
+        values = [r6(value).alias(value)]
+    return results.select(*extra, "example_num", F.col("is_redundant").cast("int").alias("is_redundant"), *values)
 
 
 @query(
