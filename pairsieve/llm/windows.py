@@ -83,11 +83,11 @@ def _shared_grams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 continue
             low = lowest_grams(word_hashes(piece.words, 0), window)[piece.starts]
             owner = piece.document[piece.starts]
-            new = np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]
+            new = _changes(low, owner)
             low, owner = low[new], owner[new]
             order = np.lexsort((owner, low))
             low, owner = low[order], owner[order]
-            new = np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]
+            new = _changes(low, owner)
             low, owner = low[new], owner[new]
             first = np.r_[True, low[1:] != low[:-1]]
             size = np.diff(np.r_[np.flatnonzero(first), len(low)])
@@ -100,6 +100,15 @@ def _shared_grams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([keys, pa.array(grams[order]), pa.array(known[order])], names=["doc_id", "gram", "known"])
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before them."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def _runs(starts: np.ndarray, window: int) -> bytes:
     """Ascending window starts as the intervals of words that they cover, merged: pairs of 32-bit numbers."""
     new = np.r_[True, starts[1:] > starts[:-1] + window]
@@ -110,12 +119,12 @@ def _runs(starts: np.ndarray, window: int) -> bytes:
 def _repeated_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """``doc_id, text_key, first, second, cuts, known`` of the windows with a shared gram.
 
-    Within the piece, windows that a smaller ``doc_id`` has too go at once: one known row per document holds them. For each
+    A copy of an earlier text goes whole, in one known row; its windows need no counting, the earlier one has them all. Within the piece, windows that a smaller ``doc_id`` has too go at once: one known row per document holds them. For each
     remaining window sequence its smallest document gets a row with both rolling hashes; others decide its fate.
     """
     names = ["doc_id", "text_key", "first", "second", "cuts", "known"]
     for batch in batches:
-        chosen = batch.filter(pa.compute.and_(batch.column(3).is_valid(), batch.column(0).is_valid()))
+        chosen = batch.filter(pa.compute.and_(batch.column(3).is_valid(), batch.column(0).is_valid()))  # rows that met the join
         for part, texts in pieces_of(chosen, 1):
             piece = Piece(texts, window)
             if not len(piece.starts):
@@ -125,43 +134,50 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             owner = piece.document[piece.starts]
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             wanted = np.zeros(len(owner), bool)
-            for i in range(len(texts)):
-                own = np.asarray(part.column(3)[i].values, np.int64).view(np.uint64)
-                wanted[bounds[i] : bounds[i + 1]] = np.isin(low[bounds[i] : bounds[i + 1]], own)
+            rows, cuts = [], []
+            for i, (text_key, grams, copied) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)))):
+                if text_key in copied:
+                    if bounds[i] < bounds[i + 1]:
+                        rows.append(i)
+                        cuts.append(np.asarray([0, piece.sizes[i]], "<i4").tobytes())
+                else:
+                    own = np.asarray(grams, np.int64).view(np.uint64)
+                    wanted[bounds[i] : bounds[i + 1]] = np.isin(low[bounds[i] : bounds[i + 1]], own)
             starts, owner = piece.starts[wanted], owner[wanted]
-            if not len(starts):
-                continue
             first = rolling(hashes, window, BASES[0])[starts]
-            second = rolling(word_hashes(piece.words, 1), window, BASES[1])[starts]
+            second = rolling(word_hashes(piece.words, 1), window, BASES[1])[starts].astype(np.uint32)
             rank = _ranks(part.column(0).to_pylist())[owner]
             order = np.lexsort((starts, owner, rank, second, first))
             starts, owner, first, second, rank = (x[order] for x in (starts, owner, first, second, rank))
-            new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
-            lowest = rank[np.flatnonzero(new)][np.cumsum(new) - 1]
+            new = _changes(first, second)
+            lowest = rank[np.flatnonzero(new)][np.cumsum(new) - 1] if len(rank) else rank
             gone = rank > lowest
             place = starts - piece.begins[owner]
 
-            rows, one, two, cuts, known = [], [], [], [], []
             order = np.lexsort((place[gone], owner[gone]))
             going, at = owner[gone][order], place[gone][order]
             for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(going)) + 1) if len(at) else ():
                 rows.append(going[own[0]])
                 cuts.append(_runs(at[own], window))
             one, two, known = [0] * len(rows), [0] * len(rows), [True] * len(rows)
-            stay = ~gone
-            starts, owner, first, second, place = (x[stay] for x in (starts, owner, first, second, place))
-            new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (owner[1:] != owner[:-1])]
-            begin = np.flatnonzero(new)
-            end = np.r_[begin[1:], len(starts)]
+
+            order = np.flatnonzero(~gone)
+            order = order[np.lexsort((place[order], second[order], first[order], owner[order]))]  # rows of a document together
+            owner, first, second, place = (x[order] for x in (owner, first, second, place))
+            begin = np.flatnonzero(_changes(owner, first, second))
+            end = np.r_[begin[1:], len(owner)]
             single = np.stack([place, place + window], 1).astype("<i4").tobytes()
             cuts.extend(single[8 * b : 8 * e] if e - b == 1 else _runs(place[b:e], window) for b, e in zip(begin, end))
             rows.extend(owner[begin])
             one.extend(first[begin].view(np.int64).tolist())
-            two.extend(second[begin].view(np.int64).tolist())
+            two.extend(second[begin].view(np.int32).tolist())
             known.extend([False] * len(begin))
+            if not rows:
+                continue
             at = pa.array(np.asarray(rows, np.int64))
-            arrays = [part.column(0).take(at), part.column(2).take(at), one, two, pa.array(cuts, pa.binary()), known]
-            yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
+            own = part.column(0).take(at), part.column(2).take(at)
+            hashes = pa.array(one, pa.int64()), pa.array(two, pa.int32())
+            yield pa.RecordBatch.from_arrays([*own, *hashes, pa.array(cuts, pa.binary()), pa.array(known)], names=names)
 
 
 def _covered(size: int, text_key: int, cuts: list | None) -> np.ndarray:
@@ -193,15 +209,21 @@ def _with_cuts(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
         grams.withColumn("own", F.when(F.col("known"), F.col("doc_id")))
         .withColumn("n", F.count(F.lit(1)).over(alike))
         .where(F.col("known") | (F.col("n") > 1))
-        .groupBy("doc_id")
-        .agg(F.collect_set("gram").alias("grams"))
+        .select("doc_id", "gram", F.lit(None).cast("long").alias("copied"))
     )
+    # Which texts are copies of an earlier one as they stand? Two hashes decide; the smallest key of each is the earlier.
+    texts = source.where(F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("other_key"))
+    originals = texts.groupBy("text_key", "other_key").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last"))
+    originals = originals.where("original < last").drop("last")
+    copies = texts.join(originals, ["text_key", "other_key"]).where("doc_id > original")
+    copies = copies.select("doc_id", F.lit(None).cast("long").alias("gram"), F.col("text_key").alias("copied"))
+    facts = shared.union(copies).groupBy("doc_id").agg(F.collect_set("gram").alias("grams"), F.collect_set("copied").alias("copied"))
 
     # 2. The windows with such a gram, by both hashes: those that a smaller document has go.
-    looked = source.join(shared, "doc_id", "left").select("doc_id", "text", "text_key", "grams")
+    looked = source.join(facts, "doc_id", "left").select("doc_id", "text", "text_key", "grams", "copied")
     windows = looked.mapInArrow(
         lambda batches: _repeated_windows(batches, window),
-        f"doc_id {kind}, text_key long, first long, second long, cuts binary, known boolean",
+        f"doc_id {kind}, text_key long, first long, second int, cuts binary, known boolean",
     )
     same = Window.partitionBy("first", "second", "own")
     cuts = (
@@ -226,9 +248,10 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", wi
     Each window has Rabin-Karp hashes over word hashes. So that not every window has to travel, each is first represented by
     the lowest of the hashes of the shorter grams inside it; equal windows have equal lowest grams, and about a fifth as
     many distinct ones are counted. Windows whose gram occurs in one document only are no repeats. The others are
-    shuffled by two 64-bit rolling hashes (equal hashes count as equal words), and the smallest key of each is found.
+    shuffled by two rolling hashes, 96 bits in all (equal hashes count as equal words), and the smallest key of each is found.
     Before either shuffle a task keeps one row per hash for a piece of documents and settles the others at once, so a
-    passage that a third of all rows share costs a row per piece, not per document. Intervals then meet the texts by key.
+    passage that a third of all rows share costs a row per piece, not per document. A text that equals an earlier one as it
+    stands goes whole, by a 128-bit hash; its windows are not counted again. Intervals then meet the texts by key.
 
     NULL and empty texts have no words. Rows with a NULL key lose nothing and take nothing from others. Rows with equal keys
     take nothing from each other. An empty table gives an empty result; other columns are not read.
