@@ -6,7 +6,7 @@ interval, so SQL can repeat the greedy search row by row and must agree exactly.
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, truncate
+from ..functions.vectors import truncate
 from ..operators import metrics as M
 from ..operators.pairs import attach_section
 from ..operators.scoring import LinearScorer, ScorerRegistry, score_pairs

@@ -10,7 +10,6 @@ from ..functions.vectors import l2_norm
 from ..operators import metrics as M
 from ..operators import scoring as C
 from ..operators import trainer as TR
-from ..operators.pairs import assign_positions
 from ..operators.sampling import split_train_validation
 from ..operators.templates import render_for_models, template_table
 from ..plans.study import evaluate, relabel
