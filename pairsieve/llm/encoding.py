@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import ahocorasick
 import pyarrow as pa
@@ -17,8 +18,8 @@ class PrefixTableEncoder:
 
     For merge-type vocabularies a sequence of pieces is the encoding of its text exactly if every two neighbours are: so
     each prefix has one last token only, the one piece ending there that is compatible with the last token of what stands
-    before it. An Aho-Corasick automaton lists the pieces that end at each place; the pair test merges the two pieces'
-    characters and looks whether the same two come out. The ids are then read from the table backwards.
+    before it. An Aho-Corasick automaton lists the pieces that end at each place; the pair test undoes the two pieces' merges
+    and looks for one across the middle that would have come first. The ids are then read from the table backwards.
     """
 
     def __init__(self, proto: bytes):
@@ -30,13 +31,15 @@ class PrefixTableEncoder:
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.compatible = Memo(self._compatible, 1_000_000)
-        self.chunk = Memo(self._encode_chunk, 350_000)
+        self.chunk = Memo(self._encode_chunk, 600_000)
 
     def _compatible(self, pair: int) -> bool:
         left, right = divmod(pair, self.size + 1)
         a = self.text_of[left] if left < self.size else ""  # size: nothing, or a character outside the vocabulary
         b = self.text_of[right]
-        return self.model.merged(a + b) == ([a, b] if a else [b])
+        if not a:
+            return len(b) == 1 or self.model.halves(b) is not None
+        return self.model.neighbours(a, b)
 
     def _encode_part(self, part: str) -> tuple[int, ...]:
         """The ids of a string of which no character, or the only one, is outside the vocabulary."""
@@ -78,18 +81,8 @@ class PrefixTableEncoder:
 
     def encode(self, text: str) -> tuple[list[int], list[str]]:
         """The ids, and the same in decimal, joined by spaces within each chunk."""
-        ids: list[int] = []
-        said: list[str] = []
-        chunk = self.chunk
-        found = chunk.young.get
-        for c in self.model.chunks(text):
-            hit = found(c)
-            if hit is None:
-                hit = chunk(c)
-                found = chunk.young.get
-            ids.extend(hit[0])
-            said.append(hit[1])
-        return ids, said
+        hits = self.chunk.many(self.model.chunks(text))
+        return list(itertools.chain.from_iterable(h[0] for h in hits)), [h[1] for h in hits]
 
 
 def encode_pieces(df: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", end_id: bool = True) -> DataFrame:

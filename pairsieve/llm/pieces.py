@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import itertools
+import math
 import re
 from collections.abc import Callable
 from typing import Any
@@ -46,6 +47,7 @@ class PieceModel:
         self.id_of: dict[str, int] = {}
         score: dict[str, float] = {}
         self.byte_ids: list[int] = [0] * 256
+        self._halves: dict[str, tuple] = {}
         n_bytes = 0
         for i in range(n):
             piece = self.library.id_to_piece(i)
@@ -103,6 +105,49 @@ class PieceModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that the last merge of a piece of several characters joins; None if merging makes something else."""
+        found = self._halves.get(piece)
+        if found is None:
+            symbols, before = list(piece), None
+            while len(symbols) > 1:
+                ranks = [self.rank.get(a + b, math.inf) for a, b in itertools.pairwise(symbols)]
+                at = min(range(len(ranks)), key=ranks.__getitem__)
+                if ranks[at] == math.inf:
+                    break
+                before = symbols[at], symbols[at + 1]
+                symbols[at : at + 2] = [before[0] + before[1]]
+            found = self._halves[piece] = before if len(symbols) == 1 and before else ()
+        return found or None
+
+    def neighbours(self, left: str, right: str) -> bool:
+        """Whether the text of two pieces is encoded as these two.
+
+        Their merges are undone, the latest first, down to the characters on either side. If at any point a merge across the
+        middle would have come before the one undone last (or with it, from the left), the two do not stay apart.
+        """
+        if not left.strip(SPACE) or not right.strip(SPACE):  # runs of spaces share one rank, which the undoing needs to differ
+            return self.merged(left + right) == [left, right]
+        rank, limit = self.rank, math.inf
+        late = (rank[left] if len(left) > 1 else -1), (rank[right] if len(right) > 1 else -1)
+        while True:
+            if rank.get(left + right, math.inf) < limit:
+                return False
+            if late == (-1, -1):
+                return True
+            if late[0] > late[1]:
+                parts = self.halves(left)
+                if parts is None:
+                    return False
+                limit, left = late[0], parts[1]
+                late = (rank[left] if len(left) > 1 else -1), late[1]
+            else:
+                parts = self.halves(right)
+                if parts is None:
+                    return False
+                limit, right = late[1] + 1, parts[0]
+                late = late[0], (rank[right] if len(right) > 1 else -1)
+
     def count_merges(self, text: str) -> int:
         """How many merges the string takes: neighbours wait in a heap by merge order, symbols form a linked list.
 

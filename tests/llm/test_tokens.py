@@ -35,6 +35,15 @@ def test_long_runs(text):
     assert COUNTER.count(text) == len(LIBRARY.encode(text))
 
 
+def test_pair_test_agrees_with_merging():
+    model, rng = ENCODER.model, random.Random(9)
+    pieces = sorted(model.id_of)
+    short = [p for p in pieces if len(p) < 4]
+    for _ in range(30_000):
+        a, b = rng.choice(short if rng.random() < 0.5 else pieces), rng.choice(short if rng.random() < 0.5 else pieces)
+        assert model.neighbours(a, b) == (model.merged(a + b) == [a, b]), (a, b)
+
+
 def test_memo_is_bounded():
     memo = counting.Memo(len, 10)
     assert [memo("x" * i) for i in range(100)] == list(range(100))
