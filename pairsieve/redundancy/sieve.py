@@ -52,7 +52,7 @@ FLUSH_ROWS = 50_000
 SMALL_TABLE = 100_000
 SCREEN_ROUNDS = 12
 # Rows of a block that one task decides one after another, while other tasks judge the rest.
-RUN_ROWS = 16
+RUN_ROWS = 32
 # A unit row that its fit misses by less is fitted exactly: no further row can improve it.
 EXACT = 1e-9
 LOWEST_KEY = -(1 << 63)
