@@ -51,16 +51,7 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         if not (self.by_word and PLAIN.fullmatch(text)) or any(s in text for s in self.special):
             return self._whole(text)
-        word = self.word
-        found = word.young.get
-        out = []
-        for w in SPLIT.findall(text):
-            hit = found(w)
-            if hit is None:
-                hit = word(w)
-                found = word.young.get
-            out.append(hit)
-        return b"".join(out)
+        return b"".join(self.word.many(SPLIT.findall(text)))
 
 
 def pack(
