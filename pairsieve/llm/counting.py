@@ -14,7 +14,7 @@ class TokenCounter:
 
     def __init__(self, proto: bytes):
         self.model = PieceModel(proto)
-        self.chunk = Memo(self._count_chunk, 500_000)
+        self.chunk = Memo(self._count_chunk, 800_000)
 
     def _count_chunk(self, chunk: str) -> int:
         parts = self.model.parts(chunk)
@@ -26,16 +26,7 @@ class TokenCounter:
         return len(chunk) + unknown - self.model.count_merges(chunk)
 
     def count(self, text: str) -> int:
-        chunk = self.chunk
-        found = chunk.young.get
-        total = 0
-        for c in self.model.chunks(text):
-            n = found(c)
-            if n is None:
-                n = chunk(c)
-                found = chunk.young.get
-            total += n
-        return total
+        return sum(self.chunk.many(self.model.chunks(text)))
 
 
 def token_counts(df: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
