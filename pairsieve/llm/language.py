@@ -113,63 +113,71 @@ def fit_languages(
 ) -> LanguageModel:
     """A model from the rows of ``df`` whose ``lang`` is not NULL and whose text has letters.
 
-    Document frequencies come from all of them: each task sends one sum per bucket. Centroids come from about ``sample`` rows
-    per language, those with the smallest text hashes (so the choice does not depend on keys or order). Each language is
-    clustered in a task of its own, over its sample. A language accepts what is at least ``slack`` times as like a
-    centroid as all but the share ``quantile`` of its sample. What reaches the driver is ``BUCKETS`` sums and
-    ``centroids`` vectors per language, whatever the size of the table.
+    Document frequencies come from all of them: each task sends one sum per bucket. Centroids come from the ``sample``
+    distinct texts of each language with the smallest hashes, or all if there are fewer (so the choice does not depend on keys,
+    order or copies, and every language whose texts have letters has centroids). Each language is clustered in a task of its
+    own, over its sample. A language accepts what is at least ``slack`` times as like a centroid as all but the share ``quantile`` of
+    its sample. What reaches the driver is ``BUCKETS`` sums, a few more hashes than ``sample`` and ``centroids`` vectors per
+    language, whatever the size of the table.
     """
     spark = df.sparkSession
     source = df.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"))
     source = source.where(F.col("lang").isNotNull())
-    sizes = {r.lang: r.n for r in source.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return LanguageModel()
-    shares = {name: min(1.0, sample / n) for name, n in sizes.items()}
-    place = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = F.xxhash64(F.lit(11), "text")
 
     def count(batches):
-        names = ["lang", "buckets", "counts"]
         documents, sums = 0, np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part, texts in pieces_of(batch, 0):
-                langs, places = part.column(1).to_pylist(), part.column(2).to_pylist()
-                chosen = [], [], []
-                for t, name, at in zip(texts, langs, places):
+                seen = {}
+                for t, name, at in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
                     counts = gram_counts(t)
-                    if counts is None:
-                        continue
-                    documents += 1
-                    there = np.flatnonzero(counts)
-                    sums[there] += 1
-                    if at < shares[name]:
-                        for column, x in zip(chosen, (name, there.astype(np.int32), counts[there].astype(np.int64))):
-                            column.append(x)
-                if chosen[0]:
-                    kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(chosen, kinds)], names=names)
-        arrays = [pa.array([None], pa.string()), pa.array([range(BUCKETS + 1)], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array([[*sums.tolist(), documents]], pa.list_(pa.int64()))], names=names)
-
-    counted = source.select("text", "lang", place.alias("place")).mapInArrow(count, "lang string, buckets array<int>, counts array<long>")
-    counted = materialise(counted, "grams")
-    pairs = F.explode(F.arrays_zip("buckets", "counts")).alias("p")
+                    if counts is not None:
+                        documents += 1
+                        sums[np.flatnonzero(counts)] += 1
+                        seen[name, at] = None
+                if seen:
+                    yield _batch([n for n, _ in seen], [at for _, at in seen], [None] * len(seen))
+        yield _batch([None], [None], [[*sums.tolist(), documents]])
+
+    source = source.withColumn("place", place)
+    counted = materialise(source.mapInArrow(count, "lang string, place long, counts array<long>"), "counts")
     frequency = np.zeros(BUCKETS + 1)
-    summed = counted.where("lang is null").select(pairs).groupBy("p.buckets").agg(F.sum("p.counts").alias("n"))
+    summed = counted.where("lang is null").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
     for r in summed.collect():
-        frequency[r.buckets] = r.n
+        frequency[r.bucket] = r.n
     idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
+    limits = smallest_places(counted.where("lang is not null").select("lang", "place").distinct(), sample)
+    if not limits:
+        return LanguageModel()
+
+    def grams(batches):
+        done = set()
+        for batch in batches:
+            for part, texts in pieces_of(batch, 0):
+                rows = []
+                for t, name, at in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    if (name, at) not in done and (counts := gram_counts(t)) is not None:
+                        done.add((name, at))
+                        rows.append((name, at, np.stack([np.flatnonzero(counts), counts[np.flatnonzero(counts)]]).ravel()))
+                if rows:
+                    yield _batch(*map(list, zip(*rows)))
+
+    bounds = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, limit long"))
+    few = source.join(bounds, "lang").where("place <= limit").select("text", "lang", "place")
+    few = materialise(few.mapInArrow(grams, "lang string, place long, counts array<long>"), "grams").dropDuplicates(["lang", "place"])
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros((len(group), BUCKETS), np.float32)
-        for i, (there, n) in enumerate(zip(group["buckets"], group["counts"])):
+        for i, both in enumerate(group.sort_values("place")["counts"]):
+            there, n = np.asarray(both).reshape(2, -1)
             counts[i, there] = n
         rows = vectors(counts, idf)
         centres = clusters(rows, centroids)
         least = slack * np.quantile((rows @ centres.T).max(1), quantile)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "least": least, "centre": [c.astype(float) for c in centres]})
 
-    fitted = counted.where("lang is not null").groupBy("lang").applyInPandas(cluster, "lang string, least double, centre array<double>")
+    fitted = few.groupBy("lang").applyInPandas(cluster, "lang string, least double, centre array<double>")
     found = sorted(fitted.collect(), key=lambda r: r.lang)
     names = sorted({r.lang for r in found})
     return LanguageModel(
@@ -181,6 +189,34 @@ def fit_languages(
     )
 
 
+def _batch(langs: list, places: list, counts: list) -> pa.RecordBatch:
+    arrays = [pa.array(langs, pa.string()), pa.array(places, pa.int64()), pa.array(counts, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "place", "counts"])
+
+
+def smallest_places(distinct: DataFrame, sample: int) -> dict[str, int]:
+    """The ``sample``-th smallest ``place`` (or the largest) of each ``lang``, from distinct uniform rows ``lang, place``.
+
+    Places below a bound that leaves a few more than ``sample`` reach the driver; where it left too few it is doubled.
+    """
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limits, shares = {}, {name: (sample + 8 * sample**0.5 + 32) / n for name, n in sizes.items()}
+    while shares:
+        bounds = [(name, min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))) for name, share in shares.items()]
+        bounds = F.broadcast(distinct.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+        found: dict[str, list[int]] = {}
+        for r in distinct.join(bounds, "lang").where("place <= bound").select("lang", "place").collect():
+            found.setdefault(r.lang, []).append(r.place)
+        for name in list(shares):
+            places = sorted(found.get(name, []))
+            if len(places) >= min(sample, sizes[name]):
+                limits[name] = places[: sample][-1]
+                del shares[name]
+            else:
+                shares[name] *= 2
+    return limits
+
+
 def predict_languages(df: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every row: a scan.
 

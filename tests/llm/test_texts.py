@@ -44,6 +44,19 @@ def test_far_texts_are_rejected(spark):
     assert {r.doc_id for r in language.keep_accepted(df).collect()} == set(got) - {1000, 1002}
 
 
+def test_every_language_has_exactly_the_sample(spark):
+    """Many copies of few texts, and one text copied over half of the rows."""
+    few = [(f"{name} wort {name} {i % 2}", f"l{name}") for name in "abcdefghijklmnopqrst" for i in range(200)]
+    hot = [("same text" if i % 2 else f"text {chr(97 + i // 26)}{chr(97 + i % 26)}", "hot") for i in range(600)]
+    df = spark.createDataFrame(few + hot, "text string, lang string")
+    assert language.fit_languages(df, sample=1).names == ["hot", *[f"l{c}" for c in "abcdefghijklmnopqrst"]]
+    hot_only = language.fit_languages(df.where("lang = 'hot'"), sample=7, centroids=50)
+    assert len(hot_only.centroids) == 7
+    rows = [("a", i * i - 500) for i in range(40)] + [("b", 3)]
+    places = spark.createDataFrame(rows, "lang string, place long")
+    assert language.smallest_places(places, 5) == {"a": -484, "b": 3}
+
+
 def test_blocks_of_letters_do_not_change_counts(monkeypatch):
     text = "Some wörds, and 12 MORE  words.\n" * 40
     whole = language.gram_counts(text)
