@@ -18,6 +18,8 @@ from .rows import keyed_text, map_texts, pieces_of, quoted
 UNKNOWN = "und"
 #: Buckets into which n-grams of one to three letters are hashed (a power of two), and letters counted at once.
 BUCKETS, BLOCK = 1 << 12, 1 << 19
+#: Lengths at which likeness is judged go up to 4 to this power, likenesses in this many steps.
+LONGEST, STEPS = 8, 4000
 _FACTORS = np.asarray([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -48,13 +50,15 @@ def gram_counts(text: str) -> np.ndarray | None:
 
 @dataclass
 class LanguageModel:
-    """Centroids of normalised TF-IDF vectors, several per language, and the least likeness a language accepts."""
+    """Centroids of normalised TF-IDF vectors, several per language, and the least likeness a language accepts at a length."""
 
     names: list[str] = field(default_factory=list)
     idf: np.ndarray = field(default_factory=lambda: np.ones(BUCKETS, np.float32))
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS), np.float32))
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    least: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    #: By language: logarithms of numbers of grams, ascending, and the least likeness at each.
+    sizes: list[np.ndarray] = field(default_factory=list)
+    least: list[np.ndarray] = field(default_factory=list)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, likeness (0 to 1) and whether it is rejected, for each text."""
@@ -67,13 +71,14 @@ class LanguageModel:
             if not self.names:
                 rejected[begin + np.asarray(known)] = False
                 continue
-            alike = vectors(np.asarray([counts[i] for i in known]), self.idf) @ self.centroids.T
+            grams = np.asarray([counts[i] for i in known])
+            alike = vectors(grams, self.idf) @ self.centroids.T
             best = alike.argmax(1)
-            for i, k, score in zip(known, best, alike[np.arange(len(known)), best]):
+            for i, k, score, size in zip(known, best, alike[np.arange(len(known)), best], np.log2(grams.sum(1))):
                 owner = self.owner[k]
                 names[begin + i] = self.names[owner]
                 scores[begin + i] = min(1.0, max(0.0, float(score)))
-                rejected[begin + i] = score < self.least[owner]
+                rejected[begin + i] = score < np.interp(size, self.sizes[owner], self.least[owner])
         return names, scores, rejected
 
 
@@ -109,6 +114,7 @@ def fit_languages(
     sample: int = 1000,
     centroids: int = 4,
     quantile: float = 0.001,
+    most: float = 0.005,
     slack: float = 0.4,
 ) -> LanguageModel:
     """A model from the rows of ``df`` whose ``lang`` is not NULL and whose text has letters.
@@ -116,9 +122,9 @@ def fit_languages(
     Document frequencies come from all of them: each task sends one sum per bucket. Centroids come from the ``sample``
     distinct texts of each language with the smallest hashes, or all if there are fewer (so the choice does not depend on keys,
     order or copies, and every language whose texts have letters has centroids). Each language is clustered in a task of its
-    own, over its sample. A language accepts what is at least ``slack`` times as like a centroid as all but the share ``quantile`` of
-    its sample. What reaches the driver is ``BUCKETS`` sums, a few more hashes than ``sample`` and ``centroids`` vectors per
-    language, whatever the size of the table.
+    own, over its sample. What a language accepts is calibrated on all its rows (``calibrate``). What reaches the driver is
+    ``BUCKETS`` sums, a few more hashes than ``sample``, ``centroids`` vectors and at most ``(LONGEST + 1) * (STEPS + 1)`` counts
+    per language, whatever the size of the table.
     """
     spark = df.sparkSession
     source = df.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"))
@@ -172,21 +178,19 @@ def fit_languages(
         for i, both in enumerate(group.sort_values("place")["counts"]):
             there, n = np.asarray(both).reshape(2, -1)
             counts[i, there] = n
-        rows = vectors(counts, idf)
-        centres = clusters(rows, centroids)
-        least = slack * np.quantile((rows @ centres.T).max(1), quantile)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "least": least, "centre": [c.astype(float) for c in centres]})
+        centres = clusters(vectors(counts, idf), centroids)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(float) for c in centres]})
 
-    fitted = few.groupBy("lang").applyInPandas(cluster, "lang string, least double, centre array<double>")
+    fitted = few.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>")
     found = sorted(fitted.collect(), key=lambda r: r.lang)
     names = sorted({r.lang for r in found})
-    return LanguageModel(
+    model = LanguageModel(
         names,
         idf,
         np.asarray([r.centre for r in found], np.float32).reshape(-1, BUCKETS),
         np.asarray([names.index(r.lang) for r in found], np.int64),
-        np.asarray([next(r.least for r in found if r.lang == n) for n in names], np.float32),
     )
+    return calibrate(source.select("text", "lang"), model, quantile, most, slack)
 
 
 def _batch(langs: list, places: list, counts: list) -> pa.RecordBatch:
@@ -217,11 +221,82 @@ def smallest_places(distinct: DataFrame, sample: int) -> dict[str, int]:
     return limits
 
 
+def size_class(counts: np.ndarray) -> np.ndarray:
+    """About the power of 4 that a text of as many grams has as its number of characters, from 0 to ``LONGEST``."""
+    return np.clip(np.rint(np.log2(counts.sum(1) / 3.4) / 2), 0, LONGEST).astype(int)
+
+
+def noise(k: int, n: int = 32) -> list[str]:
+    """Texts of ``4 ** k`` random characters: half of Latin letters and spaces, half as in base64."""
+    random, letters = np.random.default_rng(k), "abcdefghijklmnopqrstuvwxyz"
+    kinds = (np.asarray([*letters, *"    "]), np.asarray([*letters, *letters.upper(), *"0123456789+/"]))
+    return ["".join(random.choice(kinds[i % 2], 4**k)) for i in range(n)]
+
+
+def calibrate(source: DataFrame, model: LanguageModel, quantile: float, most: float, slack: float) -> LanguageModel:
+    """Sets the least likeness by language and length, from all rows ``text, lang`` and their first 4, 16, 64 … characters.
+
+    A short text is less like its language than a long one, and so is noise; both are judged at their own length. The
+    limit lies a tenth above the likeness of noise, but not below the ``quantile`` of the labelled texts of that
+    length and not above their quantile ``most``. Quantiles of fewer rows than they need are lowered, down to ``slack`` times.
+    A scan: tasks send counts by language, length and likeness in steps of 1 / ``STEPS``.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        model, sums, waiting = shared.value, {}, []
+
+        def judge():
+            counts = np.asarray([c for _, c in waiting])
+            alike, ks, sizes = vectors(counts, model.idf) @ model.centroids.T, size_class(counts), np.log2(counts.sum(1))
+            for (name, _), row, k, size in zip(waiting, alike, ks, sizes):
+                step = int(np.clip(row[model.owner == model.names.index(name)].max(), 0, 1) * STEPS)
+                n, total = sums.get((name, k, step), (0, 0.0))
+                sums[name, k, step] = n + 1, total + size
+            waiting.clear()
+
+        for batch in batches:
+            for part, texts in pieces_of(batch, 0):
+                for t, name in zip(texts, part.column(1).to_pylist()):
+                    for cut in [4**k for k in range(1, LONGEST + 1) if 4**k < len(t)] + [len(t)]:
+                        counts = gram_counts(t[:cut])
+                        if counts is not None:
+                            waiting.append((name, counts))
+                    if len(waiting) >= 512:
+                        judge()
+        if waiting:
+            judge()
+        kinds = {"lang": pa.string(), "k": pa.int32(), "step": pa.int32(), "n": pa.int64(), "size": pa.float64()}
+        rows = [(name, k, step, n, total) for (name, k, step), (n, total) in sums.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    counted = source.mapInArrow(work, "lang string, k int, step int, n long, size double")
+    seen: dict[tuple[str, int], list] = {}
+    for r in counted.groupBy("lang", "k", "step").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect():
+        seen.setdefault((r.lang, r.k), []).append((r.step, r.n, r["size"]))
+
+    grams = {k: np.asarray([c for t in noise(k) if (c := gram_counts(t)) is not None]) for k in {k for _, k in seen}}
+    heard = {k: (vectors(c, model.idf) @ model.centroids.T).max(0) if len(c) else np.zeros(len(model.owner)) for k, c in grams.items()}
+    for i, name in enumerate(model.names):
+        points = []
+        for k in sorted(k for n, k in seen if n == name):
+            steps, n, total = map(np.asarray, zip(*sorted(seen[name, k])))
+            whole = n.sum()
+            low, high = (
+                steps[np.searchsorted(np.cumsum(n), q * whole)] / STEPS * slack ** (1 - min(1.0, q * whole)) for q in (quantile, most)
+            )
+            points.append((total.sum() / whole, max(low, min(high, 1.1 * heard[k][model.owner == i].max()))))
+        model.sizes.append(np.asarray([p[0] for p in points]))
+        model.least.append(np.asarray([p[1] for p in points]))
+    return model
+
+
 def predict_languages(df: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` of every row: a scan.
 
     ``lang_pred`` is the language of the most similar centroid (of equals, the first by name) and ``score`` the cosine; a text
-    less like it than its language accepts is ``rejected``. NULL texts and texts without a letter are ``und``, score 0,
+    less like it than its language accepts at that length is ``rejected``. NULL texts and texts without a letter are ``und``, score 0,
     rejected. A model without languages says ``und`` and rejects nothing that has a letter. Repeated rows are judged one by
     one; an empty table gives an empty result; other columns are not read.
     """

@@ -44,6 +44,30 @@ def test_far_texts_are_rejected(spark):
     assert {r.doc_id for r in language.keep_accepted(df).collect()} == set(got) - {1000, 1002}
 
 
+NOT_TRAINED = {
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. ",
+    "turkish": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler. ",
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. ",
+    "code": "for i in range(len(self.rows)):\n    if x >= self.limit:\n        return [str(y) for y in self.rows[i:]]\n",
+}
+
+
+def test_latin_noise_is_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
+    rows = df.select("doc_id", "text", language.held_out(df.doc_id).alias("held")).collect()
+    model = language.fit_languages(df.where(~language.held_out(df.doc_id)), sample=200)
+    draw, letters = random.Random(1), "abcdefghijklmnopqrstuvwxyz"
+    for n in (400, 1000, 3000):
+        noise = ["".join(draw.choices(letters + "     ", k=n)) for _ in range(20)]
+        noise += ["".join(draw.choices(letters + letters.upper() + "0123456789+/", k=n)) for _ in range(20)]
+        assert np.mean(model.predict(noise)[2]) >= 0.95, n
+    for name, text in NOT_TRAINED.items():
+        assert model.predict([(text * 50)[:1000]])[2].all(), name
+    for n in (30, 100, 300, 1000):
+        clean = [r.text[:n] for r in rows if r.held and len(r.text or "") >= n]
+        assert len(clean) > 500 and np.mean(model.predict(clean)[2]) < 0.01, n
+
+
 def test_every_language_has_exactly_the_sample(spark):
     """Many copies of few texts, and one text copied over half of the rows."""
     few = [(f"{name} wort {name} {i % 2}", f"l{name}") for name in "abcdefghijklmnopqrst" for i in range(200)]
