@@ -222,10 +222,20 @@ def greedy_by_section_two_components(spark, sf):
 )
 def redundancy_summary(spark, sf):
     """Every tenth difference is zero: redundant, and no part of any basis."""
+    return _summary(spark, sf, 2)
+
+
+@query("redundancy_summary_all_components")
+def redundancy_summary_all_components(spark, sf):
+    """The summary of the search in all 64 components; tested against the sequential loop."""
+    return _summary(spark, sf, None)
+
+
+def _summary(spark, sf, components):
     specs = [Spec("nnls"), Spec("lstsq")]
     zero = F.array_repeat(F.lit(0.0), I.DIM)
     f = I.feats(spark, sf).withColumn("f_diff", F.when(F.col("example_num") % 10 == 0, zero).otherwise(F.col("f_diff")))
-    summary = M.redundancy_summary(sweep_redundancy(f, specs, components=2), ["solver"])
+    summary = M.redundancy_summary(sweep_redundancy(f, specs, components=components), ["solver"])
     return summary.withColumn("redundant_pct", r6("redundant_pct"))
 
 
@@ -235,8 +245,18 @@ def redundancy_summary(spark, sf):
     select method, count(*) as n_rows, round(count(*) / sum(count(*)) over () * 100, 6) as usage_pct from m group by method""",
 )
 def method_usage(spark, sf):
+    return _usage(spark, sf, 2)
+
+
+@query("method_usage_all_components")
+def method_usage_all_components(spark, sf):
+    """The rows that the search in all 64 components decided, by solver."""
+    return _usage(spark, sf, None)
+
+
+def _usage(spark, sf, components):
     specs = [Spec("nnls"), Spec("lstsq")]
-    usage = M.method_usage(sweep_redundancy(I.feats(spark, sf), specs, components=2))
+    usage = M.method_usage(sweep_redundancy(I.feats(spark, sf), specs, components=components))
     return usage.withColumn("usage_pct", r6("usage_pct"))
 
 

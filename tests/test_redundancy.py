@@ -385,3 +385,41 @@ def test_fit_quality_of_constant_rows(spark):
     )
     got = [r[0] for r in df.select(fit_quality("y", "f").r2_score).collect()]
     assert got[0] == 0.0 and got[1] == 1.0 and abs(got[2] - 0.5) < 1e-12
+
+
+def test_summaries_at_full_width(spark, small):
+    from sequential import span_residual
+
+    from pairsieve.catalog import QUERIES
+
+    def cone_residual(basis, y):
+        """Lawson and Hanson's active set; the supports cannot be tried one by one in 64 dimensions."""
+        x, used = np.zeros(len(basis)), np.zeros(len(basis), bool)
+        while True:
+            slope = basis @ (y - basis.T @ x)
+            slope[used] = -np.inf
+            if slope.max(initial=-np.inf) <= 1e-10:
+                left = y - basis.T @ x
+                return float(left @ left)
+            used[slope.argmax()] = True
+            while True:
+                z = np.zeros(len(basis))
+                z[used] = np.linalg.lstsq(basis[used].T, y, rcond=None)[0]
+                bad = used & (z <= 1e-12)
+                if not bad.any():
+                    x = z
+                    break
+                x = x + (x[bad] / np.maximum(x[bad] - z[bad], 1e-300)).min() * (z - x)
+                used &= x > 1e-12
+
+    feats = sorted((r.example_num, list(r.f_diff)) for r in I.feats(spark, small).collect())
+    rows = np.asarray([v if k % 10 else [0.0] * len(v) for k, v in feats])
+    zeros = sum(k % 10 == 0 for k, _ in feats)
+    got = {r.solver: r for r in QUERIES["redundancy_summary_all_components"](spark, small).collect()}
+    for solver, residual in (("nnls", cone_residual), ("lstsq", span_residual)):
+        redundant = len(greedy(rows[rows.any(1)], solver, residual=residual)) + zeros
+        r = got[solver]
+        assert (r.n_examples, r.n_redundant, r.n_non_redundant) == (len(rows), redundant, len(rows) - redundant)
+        assert (r.n_zero_redundant, r.n_non_zero_redundant) == (zeros, redundant - zeros)
+    used = {r.method: (r.n_rows, r.usage_pct) for r in QUERIES["method_usage_all_components"](spark, small).collect()}
+    assert used == {"nnls": (len(rows), 50.0), "lstsq": (len(rows), 50.0)}
