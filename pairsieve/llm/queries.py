@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import counting, credentials, encoding, exact, language, packing, simhash, sketches, urls, windows
+from . import counting, credentials, encoding, exact, language, packing, rules, simhash, sketches, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +23,8 @@ URL_GLOBS = tuple(
     for pattern in (f"*{word}*", f"*{word}*/**")
 )
 
+ROUNDS = 20
+
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -67,6 +70,12 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.filter_urls(spark.read.parquet(f"{sf}/pages.parquet"), URL_RULES, URL_GLOBS)
 
 
+def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    judged = rules.judge(documents(spark, sf), rounds=ROUNDS)
+    base = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return judged.select(*base, F.round("quality", 4).alias("quality"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,10 +89,66 @@ QUERIES = {
         op8_substring_dedup,
         op9_secrets,
         op10_urls,
+        op11_quality,
     )
 }
 
+def quality_sql(rounds: int) -> str:
+    """``op11_quality``: the counts, the votes, and the rounds of expectation-maximisation one after another."""
+    each = list(enumerate(rules.RULES))
+    votes = ", ".join(f"case when {r.good} then 1 when {r.bad} then -1 else 0 end as v{i}" for i, r in each)
+    names = ", ".join(f"v{i}" for i, _ in each)
+    odds = "ln(good / (1 - good))" + "".join(
+        f" + case v{i} when 1 then ln(a{i} / (1 - b{i})) when -1 then ln((1 - a{i}) / b{i}) else 0 end" for i, _ in each
+    )
+    belief = rules.TIMES
+    begin = f"{rules.GOOD}::double as good, " + ", ".join(f"{rules.ON_GOOD}::double as a{i}, {rules.ON_BAD}::double as b{i}" for i, _ in each)
+    shares = ", ".join(
+        f"(coalesce(sum(p) filter (v{i} = 1), 0) + {rules.ON_GOOD * belief}) / (coalesce(sum(p) filter (v{i} <> 0), 0) + {belief}) as a{i}, "
+        f"(coalesce(sum(n - p) filter (v{i} = -1), 0) + {rules.ON_BAD * belief}) / (coalesce(sum(n - p) filter (v{i} <> 0), 0) + {belief}) as b{i}"
+        for i, _ in each
+    )
+    steps = "".join(
+        f""",
+        m{k} as materialized (
+            select (sum(p) + {rules.GOOD * belief}) / (sum(n) + {belief}) as good, {shares}
+            from (select *, n / (1 + exp(-({odds}))) as p from patterns, m{k - 1}))"""
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+        with d as (
+            select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+            from documents),
+        starts as (
+            select doc_id, i, array_to_string(ws[i:i + 2], ' ') as seq
+            from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+        again as (select doc_id, i from starts qualify count(*) over (partition by doc_id, seq) > 1),
+        covered as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 3)) as j from again) group by doc_id),
+        counts as materialized (
+            select doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+                   len(lines) as n_lines, len(list_filter(ws, lambda x: regexp_matches(x, '{rules.WORD_LIKE}'))) as n_word_like,
+                   len(list_filter(lines, lambda x: regexp_matches(x, '{rules.LINE_END.replace("'", "''")}'))) as n_ended_lines,
+                   length(regexp_replace(text, '[^!?]+', '', 'g')) as n_marks,
+                   length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) as n_letters,
+                   length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as n_upper
+            from d left join covered using (doc_id)),
+        voted as materialized (select *, {votes} from counts),
+        patterns as materialized (select {names}, count(*)::double as n from voted group by all),
+        m0 as materialized (select {begin}){steps},
+        judged as (
+            select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 1 / (1 + exp(-({odds}))) as p
+            from voted, m{rounds})
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and p >= 0.5 as kept, round(p, 4) as quality
+        from judged
+    """
+
+
 SQL = {
+    "op11_quality": quality_sql(ROUNDS),
     "op2_exact_dedup": """
         with d as (
             select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
