@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, credentials, encoding, exact, language, packing, rules, simhash, sketches, urls, windows
+from . import centroids, counting, credentials, encoding, exact, language, packing, rules, simhash, sketches, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(*base, F.round("quality", 4).alias("quality"))
 
 
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +94,7 @@ QUERIES = {
         op9_secrets,
         op10_urls,
         op11_quality,
+        op12_centroids,
     )
 }
 
@@ -147,7 +152,44 @@ def quality_sql(rounds: int) -> str:
     """
 
 
+def centroids_sql(k: int = 8, rounds: int = 10) -> str:
+    """``op12_centroids``: vectors as rows of components, and the rounds one after another."""
+    steps = "".join(
+        f""",
+        a{r} as materialized (
+            select v, arg_min(c, (distance, c)) as c, min(distance) as distance
+            from (select v, c, sum((vectors.x - m.x) * (vectors.x - m.x)) as distance
+                  from vectors join m{r} m using (i) group by v, c) group by v),
+        m{r + 1} as materialized (
+            select m.c, m.i, coalesce(new.x, m.x) as x from m{r} m left join (
+                select c, i, floor_div(sum(vectors.x), count(*)) as x
+                from vectors join a{r} using (v) group by c, i) new on m.c = new.c and m.i = new.i)"""
+        for r in range(rounds)
+    )
+    floor_div = lambda a, b: f"(({a}) - ((({a}) % ({b}) + ({b})) % ({b}))) // ({b})"
+    steps = steps.replace("floor_div(sum(vectors.x), count(*))", f"({floor_div('sum(vectors.x)', 'count(*)')})::bigint")
+    return f"""
+        with kept as materialized (
+            select row_number() over () as v, vec_id, embedding from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        vectors as materialized (
+            select v, i, floor(1024 * embedding[i]::double)::bigint as x from kept, range(1, 65) t(i)),
+        begin as (select v, row_number() over (order by sha256('3:' || vec_id), embedding) - 1 as c from kept),
+        m0 as materialized (select c, i, x from begin join vectors using (v) where c < {k}){steps},
+        last as materialized (
+            select v, arg_min(c, (distance, c)) as c, min(distance) as distance
+            from (select v, c, sum((vectors.x - m.x) * (vectors.x - m.x)) as distance
+                  from vectors join m{rounds} m using (i) group by v, c) group by v),
+        said as (select c, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from m{rounds} group by c)
+        select vec_id, c::integer as cluster, distance::bigint as distance,
+               (sum(distance) over (partition by c))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+               centroid_sha256
+        from last join kept using (v) join said using (c)
+    """
+
+
 SQL = {
+    "op12_centroids": centroids_sql(),
     "op11_quality": quality_sql(ROUNDS),
     "op2_exact_dedup": """
         with d as (
