@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, counting, credentials, encoding, exact, language, packing, rules, simhash, sketches, urls, windows
+from . import alignment, centroids, counting, credentials, encoding, exact, language, packing, rules, simhash, sketches, urls, windows
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,10 @@ def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(documents(spark, sf), BYTES, PIECES)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +99,7 @@ QUERIES = {
         op10_urls,
         op11_quality,
         op12_centroids,
+        op13_alignment,
     )
 }
 

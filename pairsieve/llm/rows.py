@@ -26,12 +26,12 @@ def keyed_text(df: DataFrame, key: str, text: str, **more: Column) -> DataFrame:
     )
 
 
-def pieces_of(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces_of(batch: pa.RecordBatch, text: int, most: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The batch in pieces of bounded text, each with its texts as Python strings."""
     lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
-        if total and total + (n or 0) > PIECE_CHARS:
+        if total and total + (n or 0) > most:
             part = batch.slice(begin, i - begin)
             yield part, part.column(text).to_pylist()
             begin, total = i, 0
