@@ -8,14 +8,14 @@ from pairsieve.llm.queries import QUERIES, SQL, documents
 from pairsieve.session import materialise
 
 
-def test_ten_operators_are_named():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+def test_every_operator_is_named():
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_and_sql_agree(spark, small, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     df = QUERIES[name](spark, small)
     asked = con.execute(SQL[name])
