@@ -4,74 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from pairsieve.session import materialise
 
+from .bytelevel import ByteTokens
 from .pieces import SPACE, built
 from .rows import keyed_text, pieces_of
 
 #: A piece of documents that is aligned at once ends after about so many characters.
 PIECE_CHARS = 2_000_000
-#: Words as a byte-level file with its default split makes them.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Groups with more links than this are counted by their distinct ids.
 LARGE_GROUP = 4096
 
 
-def byte_of() -> dict[str, int]:
-    """The character that stands for each byte in byte-level files: itself where it can be seen, else the next after 255."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in seen]
-    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-class ByteTokens:
-    """Tokens of a byte-level merge file, and the bytes of each. Special tokens' strings in a text are ordinary text.
-
-    Where the file merges by ascending id, ids come from the same merges by rank, which is several times as fast as the
-    file's own library; for any other file, and where a text is refused, the library is asked.
-    """
-
-    def __init__(self, data: bytes):
-        spec = json.loads(data)
-        self.library = Tokenizer.from_str(data.decode())
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
-        special = {t["id"] for t in spec.get("added_tokens", [])}
-        as_byte = byte_of()
-        vocabulary = {token: i for token, i in spec["model"]["vocab"].items() if i not in special}
-        self.bytes = [b""] * self.library.get_vocab_size()
-        for token, i in vocabulary.items():
-            self.bytes[i] = bytes(as_byte[c] for c in token)
-        made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
-        split = spec.get("pre_tokenizer") or {}
-        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        self.fast = None
-        if plain and spec.get("normalizer") is None and made == sorted(made):
-            ranks = {b: i for i, b in enumerate(self.bytes) if b}
-            self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> list[int]:
-        if self.fast is not None:
-            try:
-                return self.fast.encode_ordinary(text)
-            except ValueError:
-                pass
-        return self.library.encode(text, add_special_tokens=False).ids
-
-
 class PieceTokens:
     """Tokens of a SentencePiece model, and the bytes of each."""
 
@@ -85,6 +38,9 @@ class PieceTokens:
     def encode(self, text: str) -> list[int]:
         return self.library.encode_as_ids(text)
 
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids))
+
 
 # --- Groups ------------------------------------------------------------------------------------------------------------
 
@@ -175,7 +131,7 @@ class Aligner:
     """Both tokenizers with what is looked up by id."""
 
     def __init__(self, first: bytes, second: bytes):
-        self.sides = (ByteTokens(first), PieceTokens(second))
+        self.sides = (ByteTokens(first, special_is_text=True), PieceTokens(second))
         self.lengths = [np.asarray([len(x) for x in side.bytes], np.int64) for side in self.sides]
         self.width = len(self.lengths[1])
         self.words = [f"{i}{mark}" for i in range(max(map(len, self.lengths))) for mark in ",|;"]
@@ -186,7 +142,7 @@ class Aligner:
             return [], []
         ids = self.sides[0].encode(" " + text), self.sides[1].encode(text)
         wanted = (" " + text).encode()
-        same = all(b"".join(map(side.bytes.__getitem__, own)) == wanted for side, own in zip(self.sides, ids))
+        same = all(side.joined(own) == wanted for side, own in zip(self.sides, ids))
         return ids if same else ([], [])
 
     def piece(self, texts: list[str]) -> dict:
@@ -207,8 +163,12 @@ class Aligner:
         doc = owner[group]
         n_links = np.bincount(doc, weights=times, minlength=len(texts)).astype(np.int64)
 
-        order = np.lexsort((pair, doc))
-        doc, pair, times = doc[order], pair[order], times[order]
+        if times.max(initial=1) > 1:
+            order = np.lexsort((pair, doc))
+            doc, pair, times = doc[order], pair[order], times[order]
+        else:  # one sort of both in one number; ids of two vocabularies take 40 bits at most, documents of a piece the rest
+            both = np.sort(doc << 40 | pair)
+            doc, pair = both >> 40, both & ((1 << 40) - 1)
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
         first = np.flatnonzero(new)

@@ -2,56 +2,21 @@
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from pairsieve.session import materialise
 
+from .bytelevel import ByteTokens
 from .pieces import built
-from .rows import Memo, keyed_text, pieces_of
+from .rows import keyed_text, pieces_of
 
-#: Characters about whose classes the standard library and the tokenizer agree, and the tokenizer's split over them.
-PLAIN = re.compile(r"[\n\t\r -~À-ÖØ-öø-ÿ]*")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
-
-
-class WordIds:
-    """Ids of whole texts by a ``tokenizers`` file.
-
-    With a plain byte-level split, texts of plain characters are split here and each distinct word goes to the tokenizer
-    once; every other text goes to the tokenizer whole.
-    """
-
-    def __init__(self, data: bytes):
-        self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        spec = json.loads(data)
-        split = spec.get("pre_tokenizer") or {}
-        self.by_word = (
-            spec.get("normalizer") is None
-            and split.get("type") == "ByteLevel"
-            and split.get("use_regex", True)
-            and not split.get("add_prefix_space")
-        )
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.word = Memo(self._whole, 400_000)
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if not (self.by_word and PLAIN.fullmatch(text)) or any(s in text for s in self.special):
-            return self._whole(text)
-        return b"".join(self.word.many(SPLIT.findall(text)))
+#: Texts whose ids are held and sent on at once end after about so many characters.
+PIECE_CHARS = 1_000_000
 
 
 def pack(
@@ -87,15 +52,14 @@ def _cut(
     source = keyed_text(df, key, text)
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    size = 2 if Tokenizer.from_str(data.value.decode()).get_vocab_size() <= 1 << 16 else 4
+    size = 2 if len(ByteTokens(data.value, False).bytes) <= 1 << 16 else 4
 
     def tokenize(batches):
-        words = built("words", data.value, WordIds)
-        end = np.asarray([end_id], f"<u{size}").tobytes()
+        coder = built("tokens", data.value, lambda file: ByteTokens(file, special_is_text=False))
         before = 0  # tokens that this task has met so far
         for batch in batches:
-            for part, texts in pieces_of(batch, 1):
-                ids = [words.ids(t) + end for t in texts]
+            for part, texts in pieces_of(batch, 1, PIECE_CHARS):
+                ids = [np.asarray([*coder.encode(t), end_id], f"<u{size}").tobytes() for t in texts]
                 counts = np.asarray([len(x) // size for x in ids], np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pairsieve.llm import alignment as A
+from pairsieve.llm.bytelevel import byte_of
 
 from .conftest import rows_of
 
@@ -26,7 +27,7 @@ def libraries():
 def plain(rows, libraries):
     """By row ``(id, text)``: all columns, from sets of ends and a counter."""
     t, sp = libraries
-    as_byte = A.byte_of()
+    as_byte = byte_of()
     of_a = {i: bytes(as_byte[c] for c in token) for token, i in t.get_vocab(False).items() if not token.startswith("<|end")}
     of_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, sp.id_to_piece(i)) for i in range(len(sp)))]
     documents, held = [], collections.Counter()
