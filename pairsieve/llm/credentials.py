@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .rows import keyed_text, map_texts, pieces_of
+from .rows import column_of, keyed_text, map_texts, pieces_of
 
 
 class Rule(NamedTuple):
@@ -274,10 +274,11 @@ def secret_digests(df: DataFrame, rules: Sequence[Rule] = RULES, *, key: str = "
 def redact(df: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", marker: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every secret span of ``text`` replaced by ``marker``; overlapping spans by one.
 
-    A NULL text stays NULL; texts without secrets are unchanged. No shuffle.
+    A NULL text stays NULL; texts without secrets, empty ones among them, are unchanged. Repeated rows and NULL keys are
+    treated row by row; an empty table gives an empty one. No shuffle.
     """
     rules = list(rules)
-    at = df.columns.index(text)
+    at = column_of(df, text)
 
     def run(batches):
         for batch in batches:

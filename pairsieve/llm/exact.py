@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.session import materialise
 
-from .rows import quoted
+from .rows import free_name, quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,14 +76,17 @@ def _groups(rows: DataFrame, frequent: int, tracked: int) -> DataFrame:
 def drop_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", frequent: int = 1024, tracked: int = 8192) -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; which ones as in ``duplicate_groups``.
 
-    Texts are shuffled once, by key and digest, to meet the list of kept keys. Of rows that repeat key and text, any one
-    stays. Column names may be anything: helper columns get names that ``df`` does not have.
+    Texts are shuffled once: a row carries its digest and key as one string, by which it meets the list of kept ones, and rows
+    equal in it, which are then in one place, become one. Of rows that repeat key and text any one stays. NULL text
+    counts as empty and stays NULL. Column names may be anything: the one helper column gets a name that ``df`` does not have.
     """
     groups = duplicate_groups(df, key=key, text=text, frequent=frequent, tracked=tracked)
-    mark = "text_sha256"
-    while mark in df.columns:
-        mark += "_"
-    kept = groups.where("kept").select(F.col("doc_id").alias("__kept_key"), F.col("text_sha256").alias("__kept_digest"))
-    marked = df.withColumn(mark, digest(F.col(quoted(text))))
-    on = F.col(quoted(key)).eqNullSafe(F.col("__kept_key")) & (F.col(quoted(mark)) == F.col("__kept_digest"))
-    return marked.join(kept, on, "left_semi").dropDuplicates([key, mark]).drop(mark)
+    mark = free_name(df, "row_mark")
+    kept = groups.where("kept").select(_mark(F.col("text_sha256"), F.col("doc_id")).alias(mark))
+    marked = df.withColumn(mark, _mark(digest(F.col(quoted(text))), F.col(quoted(key))))
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+
+
+def _mark(digest: Column, key: Column) -> Column:
+    """Digest and key as one string that is never NULL; a NULL key differs from any other."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit("")))

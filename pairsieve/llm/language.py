@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairsieve.session import materialise
 
-from .rows import keyed_text, map_texts, pieces_of, quoted
+from .rows import column_of, keyed_text, map_texts, pieces_of, quoted
 
 UNKNOWN = "und"
 #: Buckets into which n-grams of one to three letters are hashed (a power of two), and letters counted at once.
@@ -319,10 +319,14 @@ def identify(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: st
 
 
 def keep_accepted(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", **fit) -> DataFrame:
-    """The rows of ``df``, with all columns, that the model fitted on its labelled rows accepts. No shuffle of rows."""
+    """The rows of ``df``, with all columns, that the model fitted on its labelled rows accepts. No shuffle of rows.
+
+    NULL texts, empty ones and those without a letter go. Without any labelled row nothing else does. Rows are judged one by one,
+    so repeated rows share their fate; rows with a NULL key are judged but not learned from. An empty table gives an empty one.
+    """
     learn = F.col(quoted(key)).isNotNull() & ~held_out(F.col(quoted(key)))
     model = df.sparkSession.sparkContext.broadcast(fit_languages(df.where(learn), text=text, lang=lang, **fit))
-    at = df.columns.index(text)
+    at = column_of(df, text)
 
     def run(batches):
         for batch in batches:

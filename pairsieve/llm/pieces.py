@@ -25,11 +25,10 @@ _built: dict[tuple[str, str], Any] = {}
 
 
 def built(kind: str, data: bytes, make: Callable[[bytes], Any]) -> Any:
-    """``make(data)``, kept in this Python process for later tasks."""
+    """``make(data)``, kept in this Python process for later tasks, until something else is built: nothing stays of stages that ended."""
     key = (kind, hashlib.sha256(data).hexdigest())
     if key not in _built:
-        while len(_built) >= 8:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         _built[key] = make(data)
     return _built[key]
 

@@ -17,6 +17,21 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def column_of(df: DataFrame, name: str) -> int:
+    """The place of a column, found as Spark finds it: by its exact name, else without regard to case where the session does."""
+    if name in df.columns or df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true":
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores added until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def keyed_text(df: DataFrame, key: str, text: str, **more: Column) -> DataFrame:
     """Only ``key`` as ``doc_id`` and ``text`` (NULL read as empty): other columns, whatever their names, stay out of the job."""
     return df.select(

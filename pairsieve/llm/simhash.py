@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pairsieve.session import materialise
 
 from .components import connected_components
-from .rows import keyed_text, map_texts, quoted
+from .rows import free_name, keyed_text, map_texts, quoted
 
 SEED = 42
 A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Tells the variants under different masks apart.
 TAG = 0x9E3779B97F4A7C15
+#: Variants that a task emits at most.
+EMITTED = 4_000_000
 #: Hashes that are counted at once.
 BLOCK = 1 << 16
 
@@ -99,7 +101,10 @@ def _emit(prints: DataFrame, sets: list[tuple[int, int, np.ndarray]], near: np.n
                         columns.append(np.tile(near, len(own)))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return prints.select("print").mapInArrow(run, "variant long, print long" + ", near boolean" * (near is not None))
+    # So many tasks that none emits more than EMITTED rows, however few files the prints lie in.
+    tasks = -(-prints.count() * sum(len(f) for _, _, f in sets) // EMITTED)
+    spread = prints.select("print").repartition(tasks) if tasks > 1 else prints.select("print")
+    return spread.mapInArrow(run, "variant long, print long" + ", near boolean" * (near is not None))
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -193,15 +198,12 @@ def drop_near_duplicates(
     """One row of each component of ``near_duplicates``, with all columns of ``df``: the one with the smallest key.
 
     A row is known by its key and a hash of its text; NULL keys come last, of equal keys the smaller hash stays, and of rows
-    equal in both any one.
+    equal in both any one. NULL text counts as empty and stays NULL. Texts are shuffled once, by a string of both.
     """
-    names = {c.lower() for c in df.columns}
-    mark = "text_key"
-    while mark in names:
-        mark += "_"
-    marked = df.withColumn(mark, F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))))
-    kind = marked.schema[key].dataType.simpleString()
-    source = keyed_text(marked, key, text, text_key=F.col(mark))
+    mark = free_name(df, "row_mark")
+    hashed = F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit("")))
+    source = keyed_text(df, key, text, text_key=hashed)
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def work(part, texts):
         prints = np.asarray([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
@@ -210,6 +212,10 @@ def drop_near_duplicates(
     rows = materialise(map_texts(source, work, f"doc_id {kind}, text_key long, print long"), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     winners = _components(rows, distance).groupBy("root").agg(best.alias("best"))
-    kept = winners.select(F.col("best.doc_id").alias("__kept_key"), F.col("best.text_key").alias("__kept_text"))
-    on = F.col(quoted(key)).eqNullSafe(F.col("__kept_key")) & (F.col(mark) == F.col("__kept_text"))
-    return marked.join(kept, on, "left_semi").dropDuplicates([key, mark]).drop(mark)
+    kept = winners.select(_mark(F.col("best.text_key"), F.col("best.doc_id")).alias(mark))
+    marked = df.withColumn(mark, _mark(hashed, F.col(quoted(key))))
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+
+
+def _mark(text_key: Column, key: Column) -> Column:
+    return F.concat(text_key.cast("string"), F.coalesce(F.concat(F.lit(":"), key.cast("string")), F.lit("")))

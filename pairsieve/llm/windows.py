@@ -16,6 +16,8 @@ from .rows import keyed_text, pieces_of
 
 #: Words are runs of anything but space and the control characters 9 to 13.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: A piece of documents whose repeats are settled at once ends after about so many characters.
+PIECE_CHARS = 4_000_000
 #: Odd multipliers of the two rolling hashes.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -73,11 +75,11 @@ def _ranks(keys: list) -> np.ndarray:
     return np.asarray([order[k] for k in keys], np.int64)
 
 
-def _shared_grams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _shared_grams(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
     """``doc_id, gram, known``: the lowest grams of every document. A gram that several documents of the piece have is known
     to be shared: each of them gets a row that says so, and one row stands for all of them elsewhere."""
     for batch in batches:
-        for part, texts in pieces_of(batch, 1):
+        for part, texts in pieces_of(batch, 1, most):
             piece = Piece(texts, window)
             if not len(piece.starts):
                 continue
@@ -116,7 +118,7 @@ def _runs(starts: np.ndarray, window: int) -> bytes:
     return np.stack([starts[new], starts[last] + window], 1).astype("<i4").tobytes()
 
 
-def _repeated_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _repeated_windows(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
     """``doc_id, text_key, first, second, cuts, known`` of the windows with a shared gram.
 
     A copy of an earlier text goes whole, in one known row; its windows need no counting, the earlier one has them all. Within the piece, windows that a smaller ``doc_id`` has too go at once: one known row per document holds them. For each
@@ -125,7 +127,7 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
     names = ["doc_id", "text_key", "first", "second", "cuts", "known"]
     for batch in batches:
         chosen = batch.filter(pa.compute.and_(batch.column(3).is_valid(), batch.column(0).is_valid()))  # rows that met the join
-        for part, texts in pieces_of(chosen, 1):
+        for part, texts in pieces_of(chosen, 1, most):
             piece = Piece(texts, window)
             if not len(piece.starts):
                 continue
@@ -190,7 +192,7 @@ def _covered(size: int, text_key: int, cuts: list | None) -> np.ndarray:
     return np.cumsum(change)[:size] > 0
 
 
-def _with_cuts(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
+def _with_cuts(df: DataFrame, key: str, text: str, window: int, most: int) -> DataFrame:
     """``doc_id, text, text_key, cuts``: each row with the intervals of words that go."""
     if window < 2:
         raise ValueError("a window has two words at least")
@@ -202,7 +204,7 @@ def _with_cuts(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
     grams = (
         source.where(F.col("doc_id").isNotNull())
         .select("doc_id", "text")
-        .mapInArrow(lambda batches: _shared_grams(batches, window), f"doc_id {kind}, gram long, known boolean")
+        .mapInArrow(lambda batches: _shared_grams(batches, window, most), f"doc_id {kind}, gram long, known boolean")
     )
     alike = Window.partitionBy("gram", "own")
     shared = (
@@ -222,7 +224,7 @@ def _with_cuts(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
     # 2. The windows with such a gram, by both hashes: those that a smaller document has go.
     looked = source.join(facts, "doc_id", "left").select("doc_id", "text", "text_key", "grams", "copied")
     windows = looked.mapInArrow(
-        lambda batches: _repeated_windows(batches, window),
+        lambda batches: _repeated_windows(batches, window, most),
         f"doc_id {kind}, text_key long, first long, second int, cuts binary, known boolean",
     )
     same = Window.partitionBy("first", "second", "own")
@@ -238,7 +240,7 @@ def _with_cuts(df: DataFrame, key: str, text: str, window: int) -> DataFrame:
     return source.join(cuts, "doc_id", "left").select("doc_id", "text", "text_key", "cuts")
 
 
-def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
+def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 13, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``doc_id, n_words, n_removed, text`` of every row: its words but those that a repeated window covers.
 
     A window is ``window`` consecutive words of one row. It is repeated if the same words in sequence also start in a row
@@ -264,12 +266,12 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", wi
                 names=["doc_id", "n_words", "n_removed", "text"],
             )
 
-    joined = _with_cuts(df, key, text, window)
+    joined = _with_cuts(df, key, text, window, piece_chars)
     kind = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, text string")
 
 
-def remove_repeats_digests(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 13) -> DataFrame:
+def remove_repeats_digests(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 13, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """Like ``remove_repeats`` with ``kept_sha256``, the lowercase hex SHA-256 of the text that stays, in place of it."""
 
     def digests(batches):
@@ -280,7 +282,7 @@ def remove_repeats_digests(df: DataFrame, *, key: str = "doc_id", text: str = "t
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    joined = _with_cuts(df, key, text, window)
+    joined = _with_cuts(df, key, text, window, piece_chars)
     kind = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(digests, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 

@@ -147,12 +147,22 @@ def test_random_words(spark, window):
     assert by_key(map(tuple, got)) == by_key(repeats(rows, window))
 
 
-def test_pieces_do_not_change_the_result(spark, medium, monkeypatch):
+@pytest.mark.parametrize("piece", [1, 3_000, 10**9])
+def test_pieces_do_not_change_the_result(spark, medium, piece):
+    """A row a piece, a few rows a piece, all rows of a batch in one."""
     df = spark.read.parquet(f"{medium}/documents.parquet").limit(200)
     rows = rows_of(df)
-    assert by_key(map(tuple, WI.remove_repeats_digests(df).collect())) == by_key(repeats(rows))
-    text = {r.doc_id: r.text for r in WI.remove_repeats(df).collect()}
-    assert all(len(text[r[0]].split()) == r[1] - r[2] for r in repeats(rows))
+    assert by_key(map(tuple, WI.remove_repeats_digests(df, piece_chars=piece).collect())) == by_key(repeats(rows))
+
+
+@pytest.mark.parametrize("drop", [EX.drop_duplicates, SH.drop_near_duplicates])
+def test_columns_named_like_helpers_stay(spark, drop):
+    names = "DOC_ID bigint, TEXT string, TEXT_SHA256 string, __kept_key string, row_mark int, Row_Mark_ int, text_key int"
+    df = spark.createDataFrame([(i, t, "x", "y", 1, 2, 3) for i, t in enumerate(["same words here", "same words here", None, ""])], names)
+    kept = drop(df)
+    assert kept.columns == df.columns
+    assert sorted(r[0] for r in kept.collect()) == ([1, 3] if drop is EX.drop_duplicates else [0, 2])
+    assert all(tuple(r)[2:] == ("x", "y", 1, 2, 3) for r in kept.collect())
 
 
 def test_gram_sizes():

@@ -232,3 +232,9 @@ def test_automaton_against_regular_expressions():
         expression = re.escape(pattern).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
         for row, text in enumerate(texts):
             assert found[row, column] == bool(re.fullmatch(expression, text)), (pattern, text)
+
+
+def test_names_in_other_case(spark):
+    df = spark.createDataFrame([(1, "password = abcdefghijkl0123", "en")], "DOC_ID bigint, TEXT string, Lang string")
+    assert credentials.redact(df).first().TEXT == "[SECRET]"
+    assert language.keep_accepted(df).columns == df.columns
