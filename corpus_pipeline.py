@@ -11,28 +11,37 @@ from pairsieve.session import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest-centroid model, fitted on the labelled ones, accepts; those without a letter go."""
+    """Documents that the nearest-centroid model, fitted on the labelled ones, accepts.
+
+    NULL, empty and letterless texts go; repeated rows share their fate.
+    """
     return language.keep_accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (up to A-Z case) the one with the largest id."""
+    """Of documents with equal texts (up to A-Z case) the one with the largest id.
+
+    NULL and empty texts are equal; a NULL id is the smallest; of rows that repeat id and text one stays.
+    """
     return exact.drop_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints (3-word shingles) link within 3 bits the one with the smallest id."""
+    """Of documents whose fingerprints (3-word shingles) link within 3 bits the one with the smallest id.
+
+    NULL and empty texts have fingerprint zero and link like others; a NULL id comes last; of rows that repeat id and text one stays.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a marker and ``n_chars`` that of the new text."""
+    """Every document, its secrets replaced by a marker and ``n_chars`` that of the new text; a NULL text keeps its ``n_chars``."""
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return credentials.redact(docs).withColumn("n_chars", length)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1,024 tokens."""
+    """Pieces of documents in sequences of 1,024 tokens; NULL and empty texts give the end id, repeated rows a piece each."""
     return packing.pack(docs, BYTES)
 
 
