@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, fit_quality
-from ..session import materialise, scratch_path
-from . import kernels
-from .sieve import EXACT, LOWEST_KEY, MERGE_SLOTS, Problem, Sieve, Spec, Target, _arrays, _pivot_task, _vector_column
+from ..session import materialise
+from . import kernels, pricing
+from .sieve import EXACT, LOWEST_KEY, MERGE_SLOTS, _arrays, _pivot_task, _vector_column
 
 GROUP = "{}"
 FIT = "_id bigint, _vec array<double>, _entries array<struct<id:bigint,coefficient:double>>, _fitted array<double>, _settled boolean"
@@ -29,7 +28,6 @@ def fit_rows(
     basis_key: str = "example_num",
     basis_vector: str = "f_diff",
     pool_rows: int | None = None,
-    block_rows: int = 1024,
 ) -> DataFrame:
     """Least squares of every target on the rows of ``basis``, ``nnls`` (x ≥ 0) or ``lstsq``.
 
@@ -40,12 +38,11 @@ def fit_rows(
     ``lstsq`` needs at most d independent basis rows, the last in order; they are found per task and merged, and the
     coefficients are those on them (a basic solution; the least-norm one where the basis is independent).
     ``nnls`` fits every target in its own task on a first pool of ``pool_rows`` basis rows (4·d). A fit that leaves
-    nothing, or whose pool was the whole basis, is final; the others go on in blocks: tasks fit them, a scan of the
-    basis finds rows that would improve them, until none does. Sizes bound what a task or the driver holds, never the result.
+    nothing, or whose pool was the whole basis, is final; the others go on together in rounds (``pricing``): tasks fit them, a
+    join finds basis rows that would improve them, until none does. The pool decides the cost, never the result.
     """
     if method not in ("nnls", "lstsq"):
         raise ValueError(f"method must be 'nnls' or 'lstsq', not {method!r}")
-    spark = targets.sparkSession
     row = F.monotonically_increasing_id()
     rows = targets.select(row.alias("_id"), F.col(key).alias("_name"), as_double(vector).alias("_vec"))
     base = basis.select(row.alias("_key"), F.col(basis_key).cast("bigint").alias("_basis_key"), as_double(basis_vector).alias("_vec"))
@@ -60,9 +57,8 @@ def fit_rows(
         ids, matrix = np.array([r["_key"] for r in pool], np.int64), np.array([r["_vec"] for r in pool]).reshape(-1, d)
         first = materialise(_first_fits(rows, ids, matrix, len(ids) == n, method), "fits")
         parts = [first.where("_settled")]
-        path = _improved(spark, first.where("not _settled").select("_id", "_vec"), table, n, d, ids, matrix, block_rows)
-        if path:
-            parts.append(spark.read.schema(FIT).parquet(path))
+        if n > len(ids):
+            parts.append(materialise(_improved(first.where("not _settled"), table, n, d, ids, matrix), "fits"))
     fitted = parts[0]
     for part in parts[1:]:
         fitted = fitted.unionByName(part)
@@ -149,55 +145,31 @@ def _first_fits(rows: DataFrame, names: np.ndarray, matrix: np.ndarray, complete
     return rows.select("_id", "_vec").mapInArrow(run, FIT)
 
 
-def _improved(
-    spark, rows: DataFrame, table: DataFrame, n: int, d: int, ids: np.ndarray, matrix: np.ndarray, block_rows: int
-) -> str | None:
-    """Targets whose fits further basis rows improve, by column generation, a block at a time; where the fits were written.
+def _improved(rows: DataFrame, table: DataFrame, n: int, d: int, ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """Fits of the targets that further basis rows improve: column generation in the tables, then the fits themselves in tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
-    Tasks fit and write; the driver holds the block's vectors and the few basis rows that scans found for it.
-    """
-    facts = {GROUP: {"n_fit": n, "n_low": 0, "fixed": np.zeros((0, d))}}
-    sieve = Sieve(table.withColumn("_kind", F.lit("fit")), [Spec()], facts, d, 1, block_rows)
-    problem = Problem(0, GROUP, 0, Spec(), Spec().test, np.zeros((0, d)), ids, matrix, np.ones(len(ids)))
-    path, last = None, -1
-    while True:
-        block = rows.where(F.col("_id") > last).orderBy("_id").limit(block_rows).collect()
-        if not block:
-            return path
-        last = block[-1]["_id"]
-        problem.block = [Target(LOWEST_KEY, np.array(r["_vec"]), 1.0) for r in block]
-        waiting = set(range(len(block)))
-        while waiting:
-            asked = [
-                (problem, r["position"], LOWEST_KEY, np.array(r["left"]), r["limit"])
-                for r in _in_tasks(spark, problem, sorted(waiting), block, write=False).collect()
-            ]
-            waiting = {i for _, i in sieve.scan(asked)}
-        path = path or scratch_path(spark, "fits")
-        _in_tasks(spark, problem, list(range(len(block))), block, write=True).write.mode("append").parquet(path)
-        problem.hits = {}
-
-
-def _in_tasks(spark, problem: Problem, positions: list[int], block: list, write: bool) -> DataFrame:
-    """Fits on what is known: what each leaves and the least gain that counts, or the fits themselves (``write``)."""
-    hits = list(problem.hits)
-    names = np.concatenate([problem.tail_keys, np.array(hits, np.int64)])
-    matrix = np.vstack([problem.tail, np.array([problem.hits[k] for k in hits]).reshape(len(hits), problem.tail.shape[1])])
-    shared = spark.sparkContext.broadcast((names, matrix, [(i, block[i]["_id"], np.array(block[i]["_vec"])) for i in positions]))
+    def judge(number, key, vec, spread, extra):
+        basis = np.vstack([shared.value[1], extra])
+        left = vec - _fit(basis, vec, "nnls") @ basis
+        size = float(np.linalg.norm(left))
+        return size, left, kernels.IMPROVES * size + 1e-12
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix, rows = shared.value
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
         for batch in batches:
-            mine = [rows[i] for i in batch.column(0).to_pylist()]
-            x = [_fit(matrix, y, "nnls") for _, _, y in mine]
-            vecs = np.array([y for _, _, y in mine]).reshape(len(mine), -1)
-            if write:
-                yield _batch([i for _, i, _ in mine], vecs, names, x, matrix, [True] * len(mine))
-                continue
-            left = [y - row @ matrix for y, row in zip(vecs, x)]
-            limits = [kernels.IMPROVES * float(np.linalg.norm(r)) + 1e-12 for r in left]
-            out = pd.DataFrame({"position": [i for i, _, _ in mine], "left": left, "limit": limits})
-            yield pa.RecordBatch.from_pandas(out, schema=pa.schema([("position", pa.int32()), ("left", pa.list_(pa.float64())), ("limit", pa.float64())]), preserve_index=False)
-
-    slices = min(len(positions), 2 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, len(positions), 1, slices).mapInArrow(run, FIT if write else "position int, left array<double>, limit double")
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                vecs = pricing.vectors(part.column(1), d)
+                for i, extra in enumerate(part.column(2).to_pylist()):
+                    basis = np.vstack([matrix, np.array([e["vec"] for e in extra]).reshape(len(extra), d)])
+                    own = np.concatenate([names, np.array([e["key"] for e in extra], np.int64)])
+                    x = [_fit(basis, vecs[i], "nnls")]
+                    yield _batch(part.column(0).slice(i, 1), vecs[i : i + 1], own, x, basis, [True])
+
+    targets = rows.select(
+        F.lit(0).alias("_p"), F.lit(GROUP).alias("_g"), "_id", F.lit(LOWEST_KEY).alias("_key"), "_vec", F.lit(1.0).alias("_spread")
+    )
+    units = table.select("_g", "_key", "_vec", F.lit(None).cast("array<int>").alias("_kept_by"))
+    improved = pricing.improve(targets, units, {GROUP: n}, judge, {0: ids}, d)
+    return improved.select("_id", "_vec", "_extra").mapInArrow(write, FIT)

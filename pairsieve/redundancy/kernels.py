@@ -13,8 +13,8 @@ RANK_TOL = 1e-10
 GRADIENT_TOL = 1e-11
 # A basis row improves a fit when its inner product with the residual exceeds this share of the residual.
 IMPROVES = 1e-8
-# Basis rows that enter a non-negative fit together.
-AT_ONCE = 8
+# Basis rows that enter a non-negative fit together, and steps per basis row after which it is given up as an error.
+AT_ONCE, STEPS = 8, 30
 
 
 # ---------------------------------------------------------------- least squares
@@ -70,7 +70,7 @@ def nnls(basis: np.ndarray, y: np.ndarray, usable: np.ndarray | None = None) ->
             p, gram = p[stays], gram[np.ix_(stays, stays)]
 
     at_once, reached = AT_ONCE, 0.0
-    for _ in range(3 * k + 50):
+    for _ in range(STEPS * (k + 20)):
         p = np.flatnonzero(support)
         w = basis @ (y - x[p] @ basis[p])
         w[support | ~allowed] = -np.inf
@@ -88,6 +88,8 @@ def nnls(basis: np.ndarray, y: np.ndarray, usable: np.ndarray | None = None) ->
         elif not support[entering[0]]:
             allowed[entering[0]] = False  # numerically dependent on the support
         reached = max(gain, reached)
+    else:
+        raise ArithmeticError("a non-negative fit did not converge")
     p = np.flatnonzero(support)
     if 0 < len(p) <= d:
         q, r = np.linalg.qr(basis[p].T)
@@ -243,10 +245,29 @@ class SpanTest(ConeTest):
 
 # ---------------------------------------------------------------- half-space test
 
-# ---- fixed values: slack of every half-space constraint and the rounding of the minimum ----
+# ---- fixed values: slack of every half-space constraint, its upper bound, and the rounding of the minimum ----
 HALF_SPACE_SLACK = 0.01
+UPPER_BOUND = 100_000.0
 MIN_VALUE_DIGITS = 6
-LARGEST_COMPONENT = 100_000.0
+
+
+def upper_sides(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows can exceed the upper bound on the simplex, and the same bounds written as lower ones.
+
+    With Σw = 1, row·w ≤ bound is (bound − slack − row)·w ≥ −slack. It can only bind where a component is above the bound.
+    """
+    large = np.flatnonzero(rows.max(axis=1, initial=-np.inf) > UPPER_BOUND)
+    return large, UPPER_BOUND - HALF_SPACE_SLACK - rows[large]
+
+
+def gains(rows: np.ndarray, directions: np.ndarray, two_sided: bool) -> np.ndarray:
+    """Inner products of rows (``two_sided``: the larger one of a row's two sides) with the directions."""
+    found = rows @ directions.T
+    if two_sided:
+        large, above = upper_sides(rows)
+        if len(large):
+            found[large] = np.maximum(found[large], above @ directions.T)
+    return found
 
 
 def simplex_minimum(cost: np.ndarray, rows: np.ndarray, usable: np.ndarray | None = None) -> tuple[float | None, np.ndarray | None]:
@@ -309,7 +330,7 @@ def simplex_minimum(cost: np.ndarray, rows: np.ndarray, usable: np.ndarray | Non
 
 @dataclass(frozen=True)
 class HalfSpaceTest:
-    """Is row·w ≥ −slack implied on the simplex by the same constraint for the basis rows?"""
+    """Is row·w ≥ −slack implied on the simplex by −slack ≤ row·w ≤ bound for the basis rows?"""
 
     def exact(self, verdict: Verdict, size: float) -> bool:
         """Never: any further row may cut off the point where the minimum is."""
@@ -320,9 +341,16 @@ class HalfSpaceTest:
         return rows.min(axis=1) >= -HALF_SPACE_SLACK
 
     def judge(self, y: np.ndarray, basis: np.ndarray, spread: float, n_columns: int, usable: np.ndarray | None = None) -> Verdict:
-        lowest, w = simplex_minimum(y + HALF_SPACE_SLACK, basis + HALF_SPACE_SLACK, usable)
+        rows = basis if usable is None else basis[usable]
+        large, above = upper_sides(rows)
+        rows = np.vstack([rows, above]) + HALF_SPACE_SLACK if len(large) else rows + HALF_SPACE_SLACK
+        # Long rows are shortened, which does not move their half-spaces, and so is a long cost.
+        rows = rows / np.maximum(1.0, np.abs(rows).max(axis=1, initial=0.0))[:, None]
+        cost = y + HALF_SPACE_SLACK
+        scale = max(1.0, float(np.abs(cost).max()))
+        lowest, w = simplex_minimum(cost / scale, rows)
         if lowest is None:
             return Verdict(False, np.nan, np.zeros(len(y)), np.inf)
-        value = lowest - HALF_SPACE_SLACK
+        value = scale * lowest - HALF_SPACE_SLACK
         redundant = round(value, MIN_VALUE_DIGITS) >= -HALF_SPACE_SLACK
         return Verdict(redundant, value, -w, HALF_SPACE_SLACK + 1e-9)

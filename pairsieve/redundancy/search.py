@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import islice
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +17,9 @@ from ..functions.vectors import (
     l2_normalise,
     truncate,
 )
-from .kernels import LARGEST_COMPONENT
 from ..session import discard, materialise
-from .sieve import SPREAD_FLOOR, TAIL_BYTES, Sieve, Spec
+from .groups import GROUP_WORK, decide_groups, rows_per_task
+from .sieve import SPREAD_FLOOR, TAIL_BYTES, Sieve, Spec, constant_rows
 
 
 INFEASIBLE = "_g string, _s int, _infeasible boolean"
@@ -92,14 +91,14 @@ def half_space_redundancy(
     """Greedy half-space redundancy in the order of ``key``.
 
     An example is redundant when row·w ≥ −0.01 holds for every w on the simplex that meets the same
-    constraint for the later and the earlier kept examples. min_value is the smallest row·w there; NULL where no w meets
-    the constraints.
+    constraint, and row·w ≤ 100,000, for the later and the earlier kept examples. min_value is the smallest row·w there;
+    NULL where no w meets the constraints.
     """
     group_by = list(group_by)
     v = truncate(as_double(vector), components)
     rows = _rows(df, v, key, group_by).withColumns({"_spread": F.lit(0.0), "_kind": F.lit("fit"), "is_zero": is_zero("_vec")})
     rows = _staged(rows, stage)
-    decided, values, infeasible = _run(rows, [Spec("linprog")], _facts(rows, check_size=True), **options)
+    decided, values, infeasible = _run(rows, [Spec("linprog")], _facts(rows), **options)
     # Where no point meets all constraints nothing is redundant; elsewhere what was not decided one by one is.
     settled = F.col("_infeasible").isNull()
     joined = rows.withColumn("_s", F.lit(0)).join(decided, ["_g", "_s", "_key"], "left")
@@ -122,7 +121,7 @@ def _rows(df: DataFrame, vec: Column, key: str, group_by: list[str]) -> DataFram
     return df.select(*group_by, group.alias("_g"), F.col(key).cast("bigint").alias("_key"), vec.alias("_vec"))
 
 
-def _facts(rows: DataFrame, check_size: bool = False) -> tuple[DataFrame, int]:
+def _facts(rows: DataFrame) -> tuple[DataFrame, int]:
     """Per group: row counts and which constant directions occur; and the length of all vectors."""
     kept = F.col("_kind") == "keep"
     first = F.get("_vec", F.lit(0))
@@ -136,19 +135,16 @@ def _facts(rows: DataFrame, check_size: bool = False) -> tuple[DataFrame, int]:
         F.count_if(kept & (first < 0)).alias("n_minus"),
         F.min(F.size("_vec")).alias("d_min"),
         F.max(F.size("_vec")).alias("d_max"),
-        (F.max(F.array_max("_vec")) if check_size else F.lit(0.0)).alias("largest"),
     )
     facts = materialise(facts, "facts")
     sums = [F.sum(c).alias(c) for c in ("n_null", "n_odd")]
-    total = facts.agg(*sums, F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max"), F.max("largest").alias("largest")).first()
+    total = facts.agg(*sums, F.min("d_min").alias("d_min"), F.max("d_max").alias("d_max")).first()
     if total["n_null"]:
         raise ValueError("the key must not be NULL: row order decides the result")
     if total["n_odd"]:
         raise ValueError(f"{total['n_odd']} vectors are NULL or have NULL, NaN or infinite components")
     if total["d_min"] != total["d_max"]:
         raise ValueError("vectors differ in length")
-    if check_size and (total["largest"] or 0.0) > LARGEST_COMPONENT:
-        raise ValueError(f"components above {LARGEST_COMPONENT:g} are outside the bounds of the half-space test")
     return facts, total["d_min"] or 1
 
 
@@ -160,8 +156,13 @@ def _run(
     block_rows: int = 256,
     check_keys: bool = True,
     values: bool = True,
+    group_rows: int | None = None,
 ):
-    """Decisions of the rows that needed one, fit values, and ``_g, _s`` of problems whose constraints cannot be met."""
+    """Decisions of the rows that needed one, fit values, and ``_g, _s`` of problems whose constraints cannot be met.
+
+    Groups of at most ``group_rows`` rows are decided whole, in tasks; larger ones by the search. The default is what a task
+    does in reasonable time (``rows_per_task``), and no group where ``tail_rows`` is given.
+    """
     if check_keys:
         twice = rows.groupBy("_g", "_key").count().where(F.col("count") > 1)
         if not twice.isEmpty():
@@ -170,30 +171,38 @@ def _run(
     found = [spark.createDataFrame([], Sieve.DECISION), spark.createDataFrame([], Sieve.VALUE)]
     infeasible = spark.createDataFrame([], INFEASIBLE)
     listed, d = facts
+    stored = listed
+    if group_rows is None:
+        group_rows = rows_per_task(d, specs) if tail_rows is None else 0
     tail_rows = 4 * d if tail_rows is None else tail_rows
+    whole = F.col("n_fit") <= group_rows
+    work = F.col("n_fit").cast("double") * F.col("n_fit") * d
+    small = listed.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, work)).alias("work"), F.count_if(~whole).alias("others")).first()
+    if small["n"]:
+        mine = rows.join(listed.where(whole).select("_g"), "_g", "left_semi") if small["others"] else rows
+        tasks = max(2 * spark.sparkContext.defaultParallelism, int(small["work"] // GROUP_WORK) + 1)
+        done = materialise(decide_groups(mine, specs, d, tasks, values), "groups")
+        found[0] = found[0].unionByName(done.where("_redundant is not null").select("_g", "_s", "_key", "_redundant"))
+        if values:
+            found[1] = found[1].unionByName(done.where("_key is not null").select("_g", "_s", "_key", "_value"))
+        infeasible = infeasible.unionByName(done.where("_key is null").select("_g", "_s", F.lit(True).alias("_infeasible")))
+        listed = listed.where(~whole)
     # Groups come in pages whose tails together fit the driver, however many groups there are.
     at_once = max(1, TAIL_BYTES // (2 * tail_rows * d * 8 * len(specs)))
-    single = listed.limit(at_once + 1).count() <= at_once
+    single = not small["n"] and listed.limit(at_once + 1).count() <= at_once
     pages = listed.orderBy("_g").toLocalIterator()
     while batch := list(islice(pages, at_once)):
-        groups = {f["_g"]: {"n_fit": f["n_fit"], "n_low": f["n_low"], "fixed": _constant_rows(f, d)} for f in batch}
+        groups = {f["_g"]: {"n_fit": f["n_fit"], "n_low": f["n_low"], "fixed": constant_rows(f["n_plus"], f["n_minus"], d)} for f in batch}
         mine = rows if single else rows.where(F.col("_g").isin(list(groups)))
         decided, fitted, problems = Sieve(mine, specs, groups, d, tail_rows, block_rows).run(values)
         found = [a.unionByName(b) for a, b in zip(found, (decided, fitted))]
         missed = [(p.group, p.index, True) for p in problems if not p.feasible]
         if missed:
             infeasible = infeasible.unionByName(spark.createDataFrame(missed, INFEASIBLE))
-    discard(listed)
+    discard(stored)
     return (*found, infeasible)
 
 
-def _constant_rows(facts, d: int) -> np.ndarray:
-    """Constant non-zero rows are always kept, so their directions are in every basis."""
-    unit = np.full(d, 1.0 / np.sqrt(d))
-    rows = ([unit] if facts["n_plus"] else []) + ([-unit] if facts["n_minus"] else [])
-    return np.array(rows).reshape(-1, d)
-
-
 def _cone_search(df, specs, mode, vector, key, group_by, components, stage, **options) -> DataFrame:
     unit = l2_normalise(truncate(as_double(vector), components))
     near_zero = F.forall("_vec", lambda x: F.abs(x) <= F.lit(ZERO_ATOL))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..session import discard, materialise, scratch_path
-from . import kernels
+from . import kernels, pricing
 from .kernels import ConeTest, HalfSpaceTest, SpanTest
 
 # Rows whose centred sum of squares is smaller are fitted even when the tail reaches every direction.
@@ -51,8 +51,9 @@ FLUSH_ROWS = 50_000
 # A table this small may sit in one file; its rows are spread over the cores before costly per-row work.
 SMALL_TABLE = 100_000
 SCREEN_ROUNDS = 12
-# Rows of a block that one task decides one after another, while other tasks judge the rest.
-RUN_ROWS = 32
+# Rows of a block that one task decides one after another, while other tasks judge the rest: so many at least, more where
+# fits are cheap (multiplications of a pass over the known rows, added up over the run).
+RUN_ROWS, RUN_WORK = 32, 1 << 23
 # A unit row that its fit misses by less is fitted exactly: no further row can improve it.
 EXACT = 1e-9
 LOWEST_KEY = -(1 << 63)
@@ -321,7 +322,7 @@ def _screen_task(problems, tests: dict[int, object], d: int, cap: int):
     return run
 
 
-def _scan_task(targets, d: int, lanes: int):
+def _scan_task(targets, d: int, lanes: int, two_sided: bool):
     """Best row per (target, lane) among rows that would change the target's solution."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +338,7 @@ def _scan_task(targets, d: int, lanes: int):
                 if name not in targets.value:
                     continue
                 numbers, positions, tkeys, directions, limits = targets.value[name]
-                scores = vecs[rows] @ directions.T
+                scores = kernels.gains(vecs[rows], directions, two_sided)
                 own = keys[rows]
                 eligible = own[:, None] > tkeys[None, :]
                 if kept_by is not None:
@@ -451,6 +452,12 @@ def _pivot_task(spans, d: int):
     return run
 
 
+def constant_rows(plus: bool, minus: bool, d: int) -> np.ndarray:
+    """Constant non-zero rows are always kept, so their directions are in every basis."""
+    unit = np.full(d, 1.0 / np.sqrt(d))
+    return np.array(([unit] if plus else []) + ([-unit] if minus else [])).reshape(-1, d)
+
+
 # ---------------------------------------------------------------- driver
 
 
@@ -462,6 +469,12 @@ def _per_group(values: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.col("_g"))
 
 
+def _per_group_of(groups: dict[int, str]) -> Column:
+    """The group of the row's problem."""
+    pairs = [F.lit(x) for item in groups.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.col("_problem"))
+
+
 class Sieve:
     """Decisions for one set of groups. ``rows`` has _g, _key, _vec, _spread, _kind ('fit', 'drop', 'keep')."""
 
@@ -469,6 +482,7 @@ class Sieve:
         self.rows = rows
         self.spark: SparkSession = rows.sparkSession
         self.specs = list(specs)
+        self.two_sided = any(s.solver == "linprog" for s in specs)
         self.groups = groups
         self.d = d
         self.tail_rows = tail_rows
@@ -832,7 +846,8 @@ class Sieve:
                 continue
             n_kept = p.n_kept + sum(t.redundant is False for t in p.block)
             shared[p.number] = (p.fixed, p.working_set(), n_kept)
-            first = min(RUN_ROWS, len(open_targets)) if runs else 0
+            run = max(RUN_ROWS, RUN_WORK // max(1, len(shared[p.number][1][0]) * self.d))
+            first = min(run, len(open_targets)) if runs else 0
             if first > 1:
                 targets.append((p.number, [i for i, _ in open_targets[:first]], [t for _, t in open_targets[:first]]))
             targets += [(p.number, [i], [t]) for i, t in open_targets[first if first > 1 else 0 :]]
@@ -899,7 +914,7 @@ class Sieve:
         lanes = min(max(SCAN_HITS // len(asked), LANES[0]), LANES[1])
         shape = "_problem int, _position int, _lane int, _score double, _key bigint, _vec array<double>"
         best = (
-            source.mapInArrow(_scan_task(shared, self.d, lanes), shape)
+            source.mapInArrow(_scan_task(shared, self.d, lanes, self.two_sided), shape)
             .groupBy("_problem", "_position", "_lane")
             .agg(F.max_by(F.struct("_key", "_vec"), "_score").alias("_row"))
             .collect()
@@ -949,7 +964,6 @@ class Sieve:
             source = source.repartition(self.spark.sparkContext.defaultParallelism)
         judged = source.mapInArrow(_value_task(shared, tests, self.d), VECTOR_ROW + ", _value double, _settled boolean")
         judged = materialise(judged, "values")
-        by_number = {p.number: p for p in problems}
         names = [
             F.struct(F.lit(p.number).alias("_problem"), F.lit(p.group).alias("_g"), F.lit(p.index).alias("_s")) for p in problems
         ]
@@ -957,64 +971,30 @@ class Sieve:
         columns = ["_problem", "_key", "_value"]
         found = judged.where("_settled").select(*columns)
         if not all(entry[-1] for entries in table.values() for entry in entries):
-            path = self._refine(by_number, judged.where("not _settled").select("_problem", "_key", "_vec", "_spread"))
-            if path:
-                found = found.unionByName(self.spark.read.parquet(path).select(*columns))
+            found = found.unionByName(self._refined(problems, judged.where("not _settled"), shared).select(*columns))
         return found.join(F.broadcast(names), "_problem").select("_g", "_s", "_key", "_value")
 
-    def _refine(self, problems: dict[int, Problem], rows: DataFrame) -> str | None:
-        """Values of rows whose fits further rows may improve, a block at a time; where they were written.
-
-        Fits and scans alternate until no row of the table improves any fit of the block.
-        """
-        path = None
-        for p in problems.values():
-            p.cursor = None
-        active = self._next_blocks(list(problems.values()), rows)
-        while active:
-            for p in active:
-                for t in p.block:
-                    t.redundant = t.key not in p.kept_tail and t.key not in set(p.kept_keys)
-            values: list[tuple] = []
-            waiting = {(p.number, i) for p in active for i in range(len(p.block))}
-            while waiting:
-                asked, now = [], {}
-                for number, position, value, direction, limit in self._fit(active, waiting):
-                    p = problems[number]
-                    now[number, position] = value
-                    asked.append((p, position, p.block[position].key, np.array(direction), limit))
-                changed = self.scan(asked)
-                values += [(n, problems[n].block[i].key, now[n, i]) for n, i in waiting - changed]
-                waiting &= changed
-            path = path or scratch_path(self.spark, "refined")
-            self.spark.createDataFrame(values, "_problem int, _key bigint, _value double").coalesce(1).write.mode("append").parquet(path)
-            for p in active:
-                p.block, p.hits, p.kept_hits = [], {}, set()
-            active = self._next_blocks(active, rows)
-        return path
-
-    def _fit(self, problems: list[Problem], waiting: set[tuple[int, int]]) -> list:
-        """Fits of the waiting rows on what is known of their final bases, spread over tasks."""
-        places = sorted(waiting)
-        known = {p.number: (p.fixed, *p.working_set()) for p in problems}
-        rows = {(p.number, i): p.block[i] for p in problems for i in range(len(p.block)) if (p.number, i) in waiting}
-        table = self.spark.sparkContext.broadcast((known, [(n, i, rows[n, i].key, rows[n, i].vec, rows[n, i].spread) for n, i in places]))
+    def _refined(self, problems: list[Problem], rows: DataFrame, shared) -> DataFrame:
+        """Values of rows whose fits further rows may improve: column generation in the tables (``pricing``)."""
+        groups = {p.number: p.group for p in problems}
         tests = {p.number: p.test for p in problems}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for at in batch["id"]:
-                    number, position, key, vec, spread = table.value[1][at]
-                    fixed, keys, pool, states = table.value[0][number]
-                    usable = (keys > key) | ((states == KEPT) & (keys < key))
-                    usable = np.concatenate([np.ones(len(fixed), dtype=bool), usable])
-                    v = tests[number].judge(vec, np.vstack([fixed, pool]), spread, 0, usable)
-                    out.append((number, position, float(v.value), v.direction.tolist(), float(v.limit)))
-                yield pd.DataFrame(out, columns=["_problem", "_position", "_value", "_direction", "_limit"])
-
-        slices = min(len(places), 2 * self.spark.sparkContext.defaultParallelism)
-        shape = "_problem int, _position int, _value double, _direction array<double>, _limit double"
-        found = [tuple(r) for r in self.spark.range(0, len(places), 1, slices).mapInPandas(run, shape).collect()]
-        table.unpersist()
-        return found
+        def judge(number, key, vec, spread, extra):
+            _, fixed, keys, pool, kept, _ = next(entry for entry in shared.value[groups[number]] if entry[0] == number)
+            usable = (keys > key) | (kept & (keys < key))
+            always = np.ones(len(fixed), dtype=bool), np.ones(len(extra), dtype=bool)
+            v = tests[number].judge(vec, np.vstack([fixed, pool, extra]), spread, 0, np.concatenate([always[0], usable, always[1]]))
+            return float(v.value), v.direction, float(v.limit)
+
+        named = _per_group_of(groups)
+        targets = rows.select(
+            F.col("_problem").alias("_p"), named.alias("_g"), F.col("_key").alias("_id"), "_key", "_vec", "_spread"
+        )
+        units = self.units.select("_g", "_key", "_vec")
+        if any(p.overflow for p in problems):
+            units = units.join(self._kept_rows(), ["_g", "_key"], "left")
+        else:
+            units = units.withColumn("_kept_by", F.lit(None).cast("array<int>"))
+        known = {p.number: p.working_set()[0] for p in problems}
+        sizes = {g: facts["n_fit"] for g, facts in self.groups.items()}
+        return pricing.improve(targets, units, sizes, judge, known, self.d, self.two_sided).withColumnRenamed("_p", "_problem")

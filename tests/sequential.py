@@ -71,10 +71,11 @@ def greedy(rows, solver, threshold=0.95, solve_by="r2", residual=None):
     return dropped
 
 
-def simplex_minimum(cost, rows, floor=-0.01):
-    """min cost·w on the simplex with rows·w ≥ floor by enumerating vertices; None when infeasible."""
+def simplex_minimum(cost, rows, floor=-0.01, ceiling=100_000.0):
+    """min cost·w on the simplex with floor ≤ rows·w ≤ ceiling by enumerating vertices; None when infeasible."""
     d = len(cost)
-    normals = np.vstack([np.eye(d), rows - floor])
+    above = rows[(rows > ceiling).any(axis=1)] if len(rows) else rows
+    normals = np.vstack([np.eye(d), rows - floor, (ceiling - above) / ceiling])
     best = None
     for active in combinations(range(len(normals)), d - 1):
         try:

@@ -7,7 +7,7 @@ from pairsieve.functions.vectors import fit_quality
 from pairsieve.operators.metrics import correct_pairs
 from pairsieve.operators.pairs import attach_section
 from pairsieve.operators.scoring import LinearScorer, score_pairs
-from pairsieve.redundancy import search, sieve
+from pairsieve.redundancy import kernels, pricing, search, sieve
 from pairsieve.redundancy.fits import fit_rows
 from pairsieve.redundancy.search import find_redundancy, half_space_redundancy, sweep_redundancy
 from pairsieve.redundancy.sieve import Spec
@@ -339,6 +339,101 @@ def test_half_space_on_test_embeddings(spark, medium):
 # ---- fits against a basis table ----
 
 
+def test_pricing_in_blocks_and_parts(spark, monkeypatch):
+    """Many small blocks and parts: several tasks find rows for one target, and one part serves several blocks."""
+    rng = np.random.default_rng(12)
+    basis, targets = rng.normal(size=(60, 4)) + np.eye(4)[0], rng.normal(size=(30, 4))
+    monkeypatch.setattr(pricing, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pricing, "PART_ROWS", 11)
+    out = fit_rows(frame(spark, targets), frame(spark, basis), "nnls", pool_rows=2).collect()
+    assert len(out) == 30
+    for r in out:  # no basis row leads further, and what is left is orthogonal to the fit
+        fit = np.array(r.reconstruction)
+        left = targets[(r.example_num - 1) // 3] - fit
+        assert (basis @ left).max() < 1e-6 and abs(fit @ left) < 1e-6 and abs(r.residual - np.linalg.norm(left)) < 1e-9
+
+
+def test_values_of_open_rows_never_come_to_the_driver(spark, monkeypatch):
+    """Beyond the tail no vector is collected for a fit value: the search may look at blocks, the values may not."""
+    seen = []
+    rows = pointed(3, 60, 5)
+    monkeypatch.setattr(sieve.Sieve, "_next_blocks", lambda self, *a, f=sieve.Sieve._next_blocks: seen.append(1) or f(self, *a))
+    values = find_redundancy(frame(spark, rows), threshold=0.9, **TIGHT)
+    searched = len(seen)
+    found_values = {r.example_num: r.r2_score for r in values.collect()}
+    none = find_redundancy(frame(spark, rows), threshold=0.9, values=False, **TIGHT)
+    assert len(seen) == 2 * searched and none.where("r2_score is not null").count() == 0
+    assert len(found_values) == 60 and all(v is not None for v in found_values.values())
+
+
+@pytest.mark.parametrize("solver,solve_by", [("nnls", "r2"), ("lstsq", "r2"), ("nnls", "res"), ("lstsq", "res"), ("linprog", "r2")])
+def test_groups_decided_in_tasks_are_those_of_the_search(spark, solver, solve_by):
+    """The same decisions and values whether a task decides a group or the search does."""
+    rng = np.random.default_rng(8)
+    data = []
+    for g in range(12):
+        n = int(rng.integers(1, 30))
+        rows = np.abs(pointed(g, n, 4, copies=3)) if solver == "linprog" else pointed(g, n, 4, copies=3)
+        rows[0] = 0.5  # a constant row
+        data += [(g % 5 if g < 10 else None, f"{g}", 7 * i + g, [float(v) for v in r]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "part int, name string, example_num bigint, f_diff array<double>").repartition(4)
+
+    def run(**options):
+        if solver == "linprog":
+            out = half_space_redundancy(df, group_by=["part", "name"], **options)
+            value = "min_value"
+        else:
+            out = find_redundancy(df, group_by=["part", "name"], solver=solver, solve_by=solve_by, threshold=0.8, **options)
+            value = "residual" if solve_by == "res" else "r2_score"
+        return {(r.part, r.name, r.example_num): (r.is_redundant, r[value]) for r in out.collect()}
+
+    whole, some, none = run(), run(group_rows=12), run(group_rows=0, tail_rows=4)
+    assert len(whole) == len(data) and whole.keys() == some.keys() == none.keys()
+    for key, (redundant, value) in whole.items():
+        for other in (some, none):
+            assert other[key][0] == redundant
+            assert (value is None and other[key][1] is None) or abs(other[key][1] - value) < 1e-6 * max(1.0, abs(value))
+
+
+def test_many_groups_take_as_many_jobs_as_few(spark):
+    context = spark.sparkContext
+    counts = []
+    for n in (3, 300):
+        data = [(g, i, [float(i + 1), float(g % 7), 1.0 / (i + 1 + g)]) for g in range(n) for i in range(4)]
+        df = spark.createDataFrame(data, "part int, example_num bigint, f_diff array<double>").repartition(3)
+        context.setJobGroup(f"groups {n}", "")
+        assert find_redundancy(df, group_by=["part"]).count() == 4 * n
+        counts.append(len(context.statusTracker().getJobIdsForGroup(f"groups {n}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(counts[0] - counts[1]) <= 2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_half_space_bounded_from_above(spark, seed):
+    """Components above the bound of 100,000: the bound cuts the simplex, also where only a scan finds the row that does."""
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(size=(24, 3)) * 0.2 + 0.25
+    rows[rng.integers(0, 24, 6)] *= rng.choice([3e5, 1e6, -2e5], size=(6, 1))
+    rows[seed] = [2e5, 0.1, 0.2]
+    for options in ({}, {"tail_rows": 4, "block_rows": 5}):
+        result = half_space_redundancy(frame(spark, rows), **options)
+        assert found(result, rows) == half_space_greedy(rows)
+
+
+def test_a_bound_from_above_decides(spark):
+    """(1, −1) has its minimum −1 at (0, 1), which (0, 400,000) forbids: w₂ ≤ 1/4, so the minimum is 1/2."""
+    rows = np.array([[1.0, -1.0], [0.0, 4e5]])
+    got = {r.example_num: r for r in half_space_redundancy(frame(spark, rows)).collect()}
+    assert got[1].is_redundant and abs(got[1].min_value - 0.5) < 1e-6
+
+
+def test_a_fit_that_does_not_converge_is_an_error(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(kernels, "STEPS", 0)
+    with pytest.raises(ArithmeticError, match="converge"):
+        kernels.nnls(rng.normal(size=(30, 5)), rng.normal(size=5))
+
+
 @pytest.mark.parametrize("method", ["nnls", "lstsq"])
 def test_fit_rows_whatever_is_held_at_once(spark, method):
     rng = np.random.default_rng(2)
@@ -347,7 +442,7 @@ def test_fit_rows_whatever_is_held_at_once(spark, method):
     targets[7] = 0.0
     b, t = frame(spark, basis), frame(spark, targets)
     residual = cone_residual if method == "nnls" else span_residual
-    for options in ({}, {"pool_rows": 1, "block_rows": 5}, {"pool_rows": 6, "block_rows": 2}):
+    for options in ({}, {"pool_rows": 1}, {"pool_rows": 6}):
         out = fit_rows(t, b, method, **options).collect()
         assert len(out) == len(targets)
         for r in out:
@@ -367,7 +462,7 @@ def test_fit_rows_with_repeated_keys_and_no_basis(spark, method):
     data = [(1 if i < 6 else None, [float(v) for v in rng.normal(size=3)]) for i in range(8)]
     t = spark.createDataFrame(data, "example_num bigint, f_diff array<double>")
     b = frame(spark, rng.normal(size=(9, 3)))
-    for options in ({}, {"pool_rows": 1, "block_rows": 2}):
+    for options in ({}, {"pool_rows": 1}):
         out = fit_rows(t, b, method, **options).collect()
         assert sorted(map(str, (r.example_num for r in out))) == ["1"] * 6 + ["None"] * 2
     empty = fit_rows(t, b.limit(0), method).collect()
