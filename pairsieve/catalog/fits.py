@@ -155,15 +155,17 @@ def greedy_sql(specs, source="feats", grp="0", by="r2") -> str:
     )
 
 
-# A nearly constant row has an R² far below 0, of which only the leading digits are certain.
-LOWEST_R2 = -100.0
-R2_SQL = f"round(greatest(r2, {LOWEST_R2}), 5) + 0.0 as r2_score"
+# A nearly constant row has an R² far below 0, of which only the leading digits are certain: five places below one, else
+# five behind the leading digit.
+R2_SCALE = "10 ** floor(log10(greatest(abs(r2), 1.0)))"
+R2_SQL = f"round(r2 / {R2_SCALE}, 5) * {R2_SCALE} + 0.0 as r2_score"
 
 
 def _found(results, *extra, value=None):
     values = []
     if value == "r2_score":
-        values = [(F.round(F.greatest(F.col(value), F.lit(LOWEST_R2)), 5) + F.lit(0.0)).alias(value)]
+        scale = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs(value), F.lit(1.0)))))
+        values = [(F.round(F.col(value) / scale, 5) * scale + F.lit(0.0)).alias(value)]
     elif value:
         values = [r6(value).alias(value)]
     return results.select(*extra, "example_num", F.col("is_redundant").cast("int").alias("is_redundant"), *values)

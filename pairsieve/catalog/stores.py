@@ -252,21 +252,6 @@ def failure_report(spark, sf):
     return found.withColumns({c: r6(c) for c in ("diff", "score_chosen", "score_rejected")})
 
 
-FITTED_SQL = """array_to_string(string_split('<|user|>' || prompt || '<|end|><|assistant|>' || {side} || '<|end|>', ' ')[1:48], ' ')"""
-
-
-@query(
-    "scoring_path",
-    f"""with {I.PROMPTS_SQL},
-    f as (select conv_id, turn, {FITTED_SQL.format(side='completion')} as c, {FITTED_SQL.format(side='prompt')} as r from prompts),
-    w as (select *, (length(c) - length(replace(c, ' ', '')) + 1)::double - (length(c) - length(replace(c, chr(10), '')))::double as a,
-                 (length(r) - length(replace(r, ' ', '')) + 1)::double - (length(r) - length(replace(r, chr(10), '')))::double as b from f)
-    select conv_id, turn, a as score_chosen, b as score_rejected, (a > b)::int as is_correct,
-           (length(c) - length(r))::double as char_diff from w""",
-)
-def scoring_path(spark, sf):
-    """Prompt and two completions all the way: conversation, template, length, scorer, clean scores, comparison."""
-    return _scoring_path(spark, sf, 48, "right")
 
 
 WORDS_SQL = """string_split('<|user|>' || prompt || '<|end|><|assistant|>' || {side} || '<|end|>', ' ')"""
@@ -284,18 +269,17 @@ WORDS_SQL = """string_split('<|user|>' || prompt || '<|end|><|assistant|>' || {s
            (length(c) - length(r))::double as char_diff from w""",
 )
 def scoring_path_whole(spark, sf):
-    """``scoring_path`` at the original's length: the last 2,048 words of a text, so the completion is always scored."""
-    return _scoring_path(spark, sf, 2048, "left")
-
+    """Prompt and two completions all the way: conversation, template, length, scorer, clean scores, comparison.
 
-def _scoring_path(spark, sf, length, side_cut):
+    Texts beyond 2,048 words lose their beginning, so the completion is always scored.
+    """
     models = F.lit("first").alias("model")
     sides = I.prompts(spark, sf).select("conv_id", "turn", models, "prompt", F.col("completion").alias("chosen"), F.col("prompt").alias("rejected"))
     for side in ("chosen", "rejected"):
         rendered = render_for_models(
             sides.withColumn("conversation", conversation("prompt", side)), template_table(spark, TEMPLATES), name="text"
         )
-        tokens, mask = fit_length("words", length, F.lit(PAD), side_cut, "right")
+        tokens, mask = fit_length("words", 2048, F.lit(PAD), "left", "right")
         fitted = rendered.withColumn("words", split_words("text")).withColumns({"t": tokens, "m": mask})
         real = F.slice("t", F.lit(1), F.aggregate("m", F.lit(0), lambda n, x: n + x))
         sides = fitted.withColumn(f"{side}_text", F.array_join(real, " ")).drop("conversation", "text", "words", "t", "m")

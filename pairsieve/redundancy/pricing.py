@@ -153,6 +153,10 @@ def _price(fits: DataFrame, table: DataFrame, n_open: dict[str, int], sizes: dic
     return best.groupBy("_p", "_id").agg(F.collect_list("_row").alias("_new"))  # at most LANES
 
 
+def _open_by_group(targets: DataFrame) -> dict[str, int]:
+    return {r["_g"]: r["n"] for r in targets.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def improve(
     targets: DataFrame,
     table: DataFrame,
@@ -171,18 +175,18 @@ def improve(
     spark = targets.sparkSession
     shared = spark.sparkContext.broadcast(known)
     state = targets.select(*[c.split()[0] for c in TARGET.split(", ")], F.array().cast(EXTRA).alias("_extra"))
-    n, settled = targets.count(), []
-    while n:
+    n_open, settled = _open_by_group(state), []
+    while n_open:
+        n = sum(n_open.values())
         tasks = max(spark.sparkContext.defaultParallelism, -(-n // FITTED_ROWS))
         fits = materialise(state.repartition(min(n, tasks)).mapInArrow(_fit_task(judge, d), STATE), "fits")
-        n_open = {r["_g"]: r["n"] for r in fits.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
         found = _price(fits, table, n_open, sizes, shared, d, two_sided)
         priced = materialise(fits.drop("_direction", "_limit").join(found, ["_p", "_id"], "left"), "priced")
         discard(fits)
         settled.append(priced.where("_new is null").drop("_new"))
         state = priced.where("_new is not null").withColumn("_extra", F.concat("_extra", "_new")).drop("_new", "_value")
         state = state.select(*[c.split()[0] for c in TARGET.split(", ")], "_extra")
-        n = state.count()
+        n_open = _open_by_group(state)
     out = settled[0] if settled else spark.createDataFrame([], f"{TARGET}, _extra {EXTRA}, _value double")
     for more in settled[1:]:
         out = out.unionByName(more)
