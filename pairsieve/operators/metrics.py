@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import pair_loss, wins
 from ..functions.vectors import non_zero_sum
 from ..session import materialise
-from .joins import join_per_group
 from .sampling import mark_sample, random_exclusion_size
 
 CHOSEN, REJECTED = "score_chosen", "score_rejected"
@@ -154,7 +156,6 @@ def best_model(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # 0.05, 0.10, …, 0.95
 QUANTILES = tuple(round(0.05 * i, 2) for i in range(1, 20))
-SKETCH_CUTS = 256
 
 
 def approximate_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), probs: Sequence[float] = QUANTILES) -> DataFrame:
@@ -164,62 +165,61 @@ def approximate_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), pro
     return df.groupBy(*by).agg(sketch).select(*by, F.inline(pairs))
 
 
+SIGN = -(1 << 63)
+
+
+@F.pandas_udf(T.LongType())
+def _ordered_bits(values: pd.Series) -> pd.Series:
+    """Doubles as 64-bit integers whose unsigned order is that of the doubles; NaN comes last."""
+    bits = values.to_numpy(np.float64, na_value=np.nan).view(np.int64)
+    return pd.Series(np.where(bits < 0, ~bits, bits ^ np.int64(SIGN)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _from_bits(ordered: pd.Series) -> pd.Series:
+    bits = ordered.to_numpy(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(SIGN), ~bits).view(np.float64))
+
+
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), probs: Sequence[float] = QUANTILES) -> DataFrame:
-    """Linearly interpolated quantiles, exact, without holding a group in one task.
+    """Linearly interpolated quantiles, exact: radix selection, in which nothing is sorted but counts.
 
-    Equal values are counted first, so a frequent value is one row. A sketch cuts each group into up to 257
-    ranges; counting the ranges shows which few contain a wanted rank, and only those are sorted.
+    Doubles become 64-bit integers in the same order, of which 16 bits are looked at per round, the highest first. A round is
+    one scan that counts, with partial sums, how often each digit follows the prefixes that hold a wanted rank; running sums
+    of at most 65,536 counts say which digit each rank goes on with. Four rounds give every rank of every group, at any size and
+    however often a value is repeated. NULLs are left out, -0.0 counts as 0.0, NaN is the largest value; a NULL group is one.
     """
     by = list(by)
-    key = by or ["_one"]
-    base = df if by else df.withColumn("_one", F.lit(0))
-    values = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*key, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    values = materialise(values, "values")  # read three times below
-    cuts = values.groupBy(*key).agg(
-        F.percentile_approx(
-            "_v", F.array(*[F.lit(i / (SKETCH_CUTS + 1)) for i in range(1, SKETCH_CUTS + 1)]), 10_000
-        ).alias("_cuts"),
-        F.sum("_c").alias("_n"),
-    )
-    ranged = join_per_group(values, cuts, key, "inner").withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
-    sizes = ranged.groupBy(*key, "_range", "_n").agg(F.sum("_c").alias("_size"))
-    running = Window.partitionBy(*key).orderBy("_range")
-    located = sizes.withColumn("_upto", F.sum("_size").over(running)).select(
-        *key, "_range", "_n", (F.col("_upto") - F.col("_size")).alias("_before"), "_upto"
-    )
-    # 0-based ranks floor(p(n−1)) and the next one, kept where this range holds them.
-    wanted = located.select(
-        *key,
-        "_range",
-        "_before",
-        "_upto",
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"),
-        "_n",
-    ).withColumn("_at", F.col("prob") * (F.col("_n") - 1))
-    wanted = wanted.withColumn("_low", F.floor("_at")).withColumn(
-        "_ranks", F.array_distinct(F.array(F.col("_low"), F.least(F.col("_low") + 1, F.col("_n") - 1)))
-    )
-    wanted = wanted.withColumn("_rank", F.explode("_ranks")).where(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto"))
-    )
-    needed = wanted.select(*key, "_range", "_before").distinct()
-    within = Window.partitionBy(*key, "_range").orderBy("_v")
-    placed = (
-        ranged.join(needed, [*key, "_range"])
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(within))
-        .select(*key, "_range", "_v", (F.col("_end") - F.col("_c")).alias("_start"), "_end")
-    )
-    found = wanted.join(placed, [*key, "_range"]).where(
-        (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
-    )
-    share = F.col("_at") - F.col("_low")
-    picked = found.groupBy(*key, "prob", "_at", "_low").agg(
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_one"))
+    known = df.where(F.col(value).isNotNull())
+    values = materialise(known.select(group.alias("_g"), _ordered_bits(F.col(value).cast("double") + 0.0).alias("_u")), "values")
+    counts = values.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    # 0-based ranks floor(p(n−1)) and the next one.
+    wanted = counts.select("_g", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    wanted = wanted.withColumn("_at", F.col("prob") * (F.col("_n") - 1)).withColumn("_low", F.floor("_at"))
+    ranks = F.array_distinct(F.array(F.col("_low"), F.least(F.col("_low") + 1, F.col("_n") - 1)))
+    wanted = wanted.withColumn("_rank", F.explode(ranks)).withColumns({"_prefix": F.lit(0).cast("long"), "_need": F.col("_rank")})
+    wanted = materialise(wanted.drop("_n"), "ranks")
+    for shift in (48, 32, 16, 0):
+        digits = values.select(
+            "_g",
+            (F.shiftrightunsigned("_u", shift + 16) if shift < 48 else F.lit(0).cast("long")).alias("_prefix"),
+            F.shiftrightunsigned("_u", shift).bitwiseAND(0xFFFF).alias("_digit"),
+        )
+        if shift < 48:
+            digits = digits.join(wanted.select("_g", "_prefix").distinct(), ["_g", "_prefix"], "left_semi")
+        counted = digits.groupBy("_g", "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_c"))
+        running = Window.partitionBy("_g", "_prefix").orderBy("_digit")
+        counted = counted.withColumn("_before", F.sum("_c").over(running) - F.col("_c"))
+        here = (F.col("_need") >= F.col("_before")) & (F.col("_need") < F.col("_before") + F.col("_c"))
+        found = wanted.join(counted, ["_g", "_prefix"]).where(here)
+        prefix = F.shiftleft("_prefix", 16).bitwiseOR(F.col("_digit"))
+        found = found.withColumns({"_need": F.col("_need") - F.col("_before"), "_prefix": prefix})
+        wanted = materialise(found.select(*wanted.columns), "ranks")
+    number = F.coalesce(_from_bits("_prefix"), F.lit(float("nan")))  # a NaN comes back as NULL
+    picked = wanted.withColumn("_v", number).groupBy("_g", "prob", "_at", "_low").agg(
         F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b")
     )
-    return picked.select(*by, "prob", (F.col("_a") + share * (F.col("_b") - F.col("_a"))).alias("quantile"))
+    share = F.col("_at") - F.col("_low")
+    names = [F.col("_g")[c].alias(c) for c in by]
+    return picked.select(*names, "prob", (F.col("_a") + share * (F.col("_b") - F.col("_a"))).alias("quantile"))

@@ -271,6 +271,29 @@ def test_exact_quantiles(spark, kind):
     assert set(rough) == set(got)
 
 
+def test_exact_quantiles_of_odd_values(spark):
+    """Groups with NaN, infinities, zeros of both signs, tiny and repeated values, one value, and a NULL group."""
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        "odd": [nan, inf, -inf, 0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, 1.0, 1.0],
+        "one": [3.5],
+        None: [-2.0, -1.0, 7.0, 7.0],
+        "hot": [0.1] * 500 + [0.1 + 2**-55, 0.2],
+    }
+    rows = [(g, v) for g, own in groups.items() for v in own] + [("none", None)]
+    df = spark.createDataFrame(rows, "name string, x double").repartition(5)
+    probs = (0.0, 1.0, 4 / 11, 5 / 11, 10 / 11)
+    got = {(r["name"], r.prob): r.quantile for r in M.exact_quantiles(df, "x", ["name"], probs).collect()}
+    assert {g for g, _ in got} == set(groups)
+    for g, own in groups.items():
+        for p in probs:
+            at = p * (len(own) - 1)
+            low = int(at)
+            a, b = (np.sort(own)[min(i, len(own) - 1)] for i in (low, low + 1))
+            assert got[g, p] == pytest.approx(a + (at - low) * (b - a), rel=1e-12, nan_ok=True), (g, p)
+    assert M.exact_quantiles(df.where("false"), "x").count() == 0
+
+
 # ---- scoring ----
 
 
