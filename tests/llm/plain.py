@@ -63,7 +63,11 @@ def versions(rows):
     """By id, for distinct ids: characters, digest of the edited text, both likenesses."""
 
     def lines(text):
-        return set(filter(None, text.split("\n")))
+        out = ""
+        for i, word in enumerate(text.split(" ")):
+            every = 2 if i < 8 else 4 if i < 64 else 32
+            out += word + ("\n" if xxhash.xxh64_intdigest(word.encode(), 42) % every == 0 else " ")
+        return {line for line in out.split("\n") if line.strip(" ")}
 
     def likeness(a, b):
         return len(a & b) / len(a | b) if a | b else 1.0
