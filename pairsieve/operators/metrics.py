@@ -223,3 +223,24 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str] = (), probs: Se
     share = F.col("_at") - F.col("_low")
     names = [F.col("_g")[c].alias(c) for c in by]
     return picked.select(*names, "prob", (F.col("_a") + share * (F.col("_b") - F.col("_a"))).alias("quantile"))
+
+
+#: Size of a sketch: ranks are off by about 2.3 / k^0.9 of n, 0.45 % here, with 99 % confidence.
+SKETCH_K, SKETCH_ERROR = 1024, 0.01
+
+
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, n, sketch``: a KLL sketch of each group's values, to be stored and merged later. NULLs are left out."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH_K).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, by: Sequence[str] = (), probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """``by, n, prob, quantile`` of unions of stored groups, from their sketches alone: the values are not read again.
+
+    A quantile is one of the values; its rank is that asked for, up to ``SKETCH_ERROR`` times n. Probabilities 0 and 1 give
+    the smallest and the largest value. Groups without values give no rows.
+    """
+    merged = sketches.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"))
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    found = F.arrays_zip(asked.alias("prob"), F.kll_sketch_get_quantile_double("_sketch", asked).alias("quantile"))
+    return merged.select(*by, "n", F.inline(found))

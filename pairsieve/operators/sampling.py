@@ -7,8 +7,12 @@ that bucket (n/65,536 rows) is ranked: no global sort, no single-task limit.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from math import isqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +109,64 @@ def shuffled(df: DataFrame, epoch: int, key: Sequence[str] = ("example_num",), s
     return df.orderBy(seeded_digest(f"{seed}|{epoch}", *key), *key)
 
 
+#: Rounds of the permutation, and the prime below 2^31 in whose arithmetic they mix.
+ROUNDS, PRIME = 6, 2_147_483_647
+
+
+def round_keys(seed: int | str) -> list[tuple[int, int]]:
+    """Two numbers below the prime for each round, from md5(seed|round)."""
+    digests = [hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i in range(ROUNDS)]
+    return [(int(d[:8], 16) % (PRIME - 1) + 1, int(d[8:16], 16) % PRIME) for d in digests]
+
+
+def permute(positions: np.ndarray, n: int, seed: int | str) -> np.ndarray:
+    """Each position of 0 … n−1 at its new one: a Feistel network over pairs (l, r), l below a = ⌈√n⌉ and r below ⌈n/a⌉.
+
+    The pairs are up to a−1 more than n; a value beyond n−1 goes through the network again until it is below (cycle
+    walking), which keeps the whole a bijection of 0 … n−1.
+    """
+    if len(positions) and (positions.min() < 0 or positions.max() >= n):
+        raise ValueError(f"positions must lie in 0 … {n - 1}")
+    a = isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a)
+
+    def network(x: np.ndarray) -> np.ndarray:
+        left, right = x // b, x % b
+        for i, (times, plus) in enumerate(round_keys(seed)):
+            mixed = ((right if i % 2 == 0 else left) * times + plus) % PRIME
+            mixed = (mixed * mixed + plus) % PRIME * times % PRIME
+            if i % 2 == 0:
+                left = (left + mixed) % a
+            else:
+                right = (right + mixed) % b
+        return left * b + right
+
+    out = network(positions.astype(np.int64))
+    while (beyond := np.flatnonzero(out >= n)).size:
+        out[beyond] = network(out[beyond])
+    return out
+
+
+def permuted(
+    df: DataFrame, n: int, epoch: int, partitions: int, position: str = "position", seed: int | str = 42, name: str = "place"
+) -> DataFrame:
+    """Rows at positions 0 … n−1 in a random order that differs by epoch, with ``name``, the place in that order.
+
+    The place is computed from the position alone, so nothing is sampled and no ranges are found: partition i gets the places
+    of the i-th of ``partitions`` equal parts, in one exchange, and sorts them. A position that is NULL or beyond n is an error.
+    """
+
+    @F.pandas_udf("long")
+    def place(positions: pd.Series) -> pd.Series:
+        if positions.isna().any():
+            raise ValueError("a position is NULL")
+        return pd.Series(permute(positions.to_numpy(np.int64), n, f"{seed}|{epoch}"))
+
+    width = max(1, -(-n // partitions))
+    placed = df.withColumn(name, place(F.col(position).cast("long")))
+    return placed.repartitionById(partitions, F.floor(F.col(name) / width).cast("int")).sortWithinPartitions(name)
+
+
 def random_exclusion_size() -> Column:
     """int(n · (r/n)) in doubles, which is sometimes r − 1."""
     n, r = F.col("n").cast("double"), F.col("n_redundant").cast("double")

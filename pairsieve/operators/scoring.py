@@ -32,9 +32,15 @@ class LinearScorer:
 
 @dataclass(frozen=True)
 class PythonScorer:
-    """A scorer that needs Python; ``build`` runs once per task and returns the batch function."""
+    """A scorer that needs Python; ``build`` runs once per task and returns the batch function.
+
+    With ``budget`` the function is called with inputs of similar length, so many that their number times the length of the
+    longest (``length``, by default characters) stays within it; a longer input goes alone. Scores come back in the rows' order.
+    """
 
     build: Callable[[], BatchScorer]
+    budget: int | None = None
+    length: Callable[[object], int] = len
 
 
 Scorer = LinearScorer | PythonScorer
@@ -54,6 +60,30 @@ class ScorerRegistry:
         return found
 
 
+def length_batches(lengths: Sequence[int], budget: int) -> list[np.ndarray]:
+    """Positions of the inputs, shortest first, cut where number times longest would exceed ``budget``."""
+    order = np.argsort(np.asarray(lengths), kind="stable")
+    cuts, start = [], 0
+    for i, at in enumerate(order):
+        if i > start and (i - start + 1) * lengths[at] > budget:
+            cuts.append(i)
+            start = i
+    return np.split(order, cuts) if len(order) else []
+
+
+def _score_by_length(score: BatchScorer, inputs: pd.Series, scorer: PythonScorer) -> tuple[Sequence[float], Sequence[Sequence[float]]]:
+    if scorer.budget is None:
+        return score(inputs)
+    lengths = [0 if x is None else scorer.length(x) for x in inputs]
+    scores, features = np.empty(len(inputs)), [None] * len(inputs)
+    for at in length_batches(lengths, scorer.budget):
+        s, f = score(inputs.iloc[at].reset_index(drop=True))
+        scores[at] = np.asarray(s, dtype=np.float64)
+        for i, vector in zip(at, f):
+            features[i] = vector
+    return scores, features
+
+
 def score_pairs(
     df: DataFrame,
     scorer: Scorer,
@@ -63,7 +93,7 @@ def score_pairs(
     """Scores and feature vectors of both sides in one pass; NaN scores become 0.
 
     Apply filters to ``df`` before this: they are not pushed through a Python scorer.
-    Batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    A Python scorer gets ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows at a time, or fewer by its ``budget``.
     """
     chosen, rejected = inputs
     if isinstance(scorer, LinearScorer):
@@ -92,7 +122,7 @@ def score_pairs(
                 score = score or build()
                 scores, features = [], []
                 for column in (chosen, rejected):
-                    s, f = score(batch.column(batch.schema.get_field_index(column)).to_pandas())
+                    s, f = _score_by_length(score, batch.column(batch.schema.get_field_index(column)).to_pandas(), scorer)
                     # Arrow, unlike pandas, tells NaN from NULL.
                     scores.append(pa.array(np.asarray(s, dtype=np.float64)))
                     features.append(_list_column(f))
