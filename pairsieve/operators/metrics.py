@@ -241,6 +241,7 @@ def merged_quantiles(sketches: DataFrame, by: Sequence[str] = (), probs: Sequenc
     the smallest and the largest value. Groups without values give no rows.
     """
     merged = sketches.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"))
+    merged = merged.where("n > 0")  # without groups there is one row, of nothing
     asked = F.array(*[F.lit(float(p)) for p in probs])
     found = F.arrays_zip(asked.alias("prob"), F.kll_sketch_get_quantile_double("_sketch", asked).alias("quantile"))
     return merged.select(*by, "n", F.inline(found))
