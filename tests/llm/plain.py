@@ -59,6 +59,62 @@ def exact(rows):
     return out
 
 
+def gram_buckets(text):
+    """How often each bucket is hit by the grams of one to three letters, one place after another; None without a letter."""
+    letters = [32]
+    for c in text + " ":
+        code = ord(c.lower()[0]) if c.isalpha() else 32
+        if code != 32 or letters[-1] != 32:
+            letters.append(code)
+    if len(letters) < 3:
+        return None
+    counts, wide = np.zeros(4096), 1 << 32
+    one, two, three = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        pair = (a * two + b * three) % wide
+        hashes = [pair, (pair * one + c * two + 1) % wide] + [b * one % wide] * (b != 32)
+        for h in hashes:
+            counts[(h ^ h >> 15) * three % wide >> 20] += 1
+    return counts
+
+
+def languages(learn, texts, sample, k=4, rounds=10):
+    """Language and likeness of each text, learnt from the rows ``(text, lang)``."""
+    known = [(t, lang, c) for t, lang in learn if lang is not None and (c := gram_buckets(t or "")) is not None]
+    idf = np.log((1 + len(known)) / (1 + sum(c > 0 for _, _, c in known))) + 1
+
+    def vector(counts):
+        row = np.log1p(counts) * idf
+        return row / np.linalg.norm(row)
+
+    def place(text):
+        seed = xxhash.xxh64_intdigest((11).to_bytes(4, "little"), 42)
+        return (xxhash.xxh64_intdigest(text.encode(), seed) + (1 << 63)) % (1 << 64)
+
+    centres = []
+    for name in sorted({lang for _, lang, _ in known}):
+        own = {place(t): vector(c) for t, lang, c in known if lang == name}
+        rows = [own[p] for p in sorted(own)[:sample]]
+        mean = sum(rows) / len(rows)
+        found = [max(rows, key=lambda r: r @ mean)]
+        while len(found) < min(k, len(rows)):
+            found.append(min(rows, key=lambda r: max(r @ c for c in found)))
+        for _ in range(rounds):
+            members = [[] for _ in found]
+            for r in rows:
+                alike = [r @ c for c in found]
+                members[alike.index(max(alike))].append(r)
+            sums = [sum(m) if m else c for m, c in zip(members, found)]
+            found = [x / np.linalg.norm(x) for x in sums]
+        centres += [(name, c) for c in found]
+    out = []
+    for t in texts:
+        counts = gram_buckets(t or "")
+        best = max(((vector(counts) @ c, name) for name, c in centres), key=lambda x: x[0]) if counts is not None else (0.0, "und")
+        out.append((best[1], min(1.0, max(0.0, best[0]))))
+    return out
+
+
 def versions(rows):
     """By id, for distinct ids: characters, digest of the edited text, both likenesses."""
 

@@ -1,9 +1,10 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
-from .plain import base_secrets, sha, url_verdict, versions
+from .plain import base_secrets, gram_buckets, languages, sha, url_verdict, versions
 
 from pairsieve.llm import credentials, language, sketches, urls
 from pairsieve.llm.queries import URL_GLOBS, URL_RULES
@@ -89,6 +90,28 @@ def test_blocks_of_letters_do_not_change_counts(monkeypatch):
     assert language.gram_counts("12 - 3") is None
 
 
+@pytest.mark.parametrize("sample", [25, 1000])
+def test_predictions_equal_a_plain_loop(spark, medium, awkward, sample):
+    """Counts, document frequencies, samples, clusters and likenesses once more, with part of the labels and all of them."""
+    df = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text", "lang").limit(400)
+    more = awkward.selectExpr("doc_id + 1000000 doc_id", "text", "if(doc_id < 5, 'fr', null) lang")
+    rows = df.union(more).collect()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    held = [r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows]
+    want = languages([(r.text, r.lang) for r, h in zip(rows, held) if not h], [r.text for r in rows], sample)
+    want = sorted(((r.doc_id is None, r.doc_id, *w) for r, w in zip(rows, want)), key=repr)
+    got = sorted(((r.doc_id is None, r.doc_id, r.lang_pred, r.score) for r in language.identify(df, sample=sample).collect()), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        assert g[3] == pytest.approx(w[3], abs=1e-4) and g[2] == w[2], (g, w)
+
+
+def test_grams_equal_a_plain_loop(awkward):
+    for _, text in rows_of(awkward):
+        counts, want = language.gram_counts((text or "")[:50_000]), gram_buckets((text or "")[:50_000])
+        assert (counts is None) == (want is None) and (want is None or (counts == want).all())
+
+
 # ---- sketches ----
 
 
