@@ -116,6 +116,7 @@ def fit_languages(
     quantile: float = 0.001,
     most: float = 0.005,
     slack: float = 0.4,
+    labels: int = 1000,
 ) -> LanguageModel:
     """A model from the rows of ``df`` whose ``lang`` is not NULL and whose text has letters.
 
@@ -124,7 +125,8 @@ def fit_languages(
     order or copies, and every language whose texts have letters has centroids). Each language is clustered in a task of its
     own, over its sample. What a language accepts is calibrated on all its rows (``calibrate``). What reaches the driver is
     ``BUCKETS`` sums, a few more hashes than ``sample``, ``centroids`` vectors and at most ``(LONGEST + 1) * (STEPS + 1)`` counts
-    per language, whatever the size of the table.
+    per language, whatever the size of the table. More than ``labels`` different values of ``lang`` are an error that counts
+    them: such a column names something else, and all of this would grow with it.
     """
     spark = df.sparkSession
     source = df.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"), F.col(quoted(lang)).cast("string").alias("lang"))
@@ -153,7 +155,7 @@ def fit_languages(
     for r in summed.collect():
         frequency[r.bucket] = r.n
     idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1).astype(np.float32)
-    limits = smallest_places(counted.where("lang is not null").select("lang", "place").distinct(), sample)
+    limits = smallest_places(counted.where("lang is not null").select("lang", "place").distinct(), sample, labels)
     if not limits:
         return LanguageModel()
 
@@ -198,12 +200,15 @@ def _batch(langs: list, places: list, counts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["lang", "place", "counts"])
 
 
-def smallest_places(distinct: DataFrame, sample: int) -> dict[str, int]:
+def smallest_places(distinct: DataFrame, sample: int, labels: int = 1000) -> dict[str, int]:
     """The ``sample``-th smallest ``place`` (or the largest) of each ``lang``, from distinct uniform rows ``lang, place``.
 
     Places below a bound that leaves a few more than ``sample`` reach the driver; where it left too few it is doubled.
     """
-    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.limit(labels + 1).collect()}
+    if len(sizes) > labels:
+        raise ValueError(f"{counted.count()} different labels; {labels} are allowed")
     limits, shares = {}, {name: (sample + 8 * sample**0.5 + 32) / n for name, n in sizes.items()}
     while shares:
         bounds = [(name, min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))) for name, share in shares.items()]

@@ -82,6 +82,13 @@ def test_every_language_has_exactly_the_sample(spark):
     assert language.smallest_places(places, 5) == {"a": -484, "b": 3}
 
 
+def test_too_many_labels_are_counted(spark):
+    df = spark.createDataFrame([(f"some words {i}", f"l{i % 9}") for i in range(30)], "text string, lang string")
+    with pytest.raises(ValueError, match="9 different labels; 8 are allowed"):
+        language.fit_languages(df, labels=8)
+    assert len(language.fit_languages(df, labels=9).names) == 9
+
+
 def test_blocks_of_letters_do_not_change_counts(monkeypatch):
     text = "Some wörds, and 12 MORE  words.\n" * 40
     whole = language.gram_counts(text)
