@@ -16,7 +16,9 @@ from .sieve import EXACT, LOWEST_KEY, MERGE_SLOTS, _arrays, _pivot_task, _vector
 
 GROUP = "{}"
 FIT = "_id bigint, _vec array<double>, _entries array<struct<id:bigint,coefficient:double>>, _fitted array<double>, _settled boolean"
+STARTED = f"{FIT}, _extra {pricing.EXTRA}"
 ENTRIES = pa.list_(pa.struct([("id", pa.int64()), ("coefficient", pa.float64())]))
+EXTRA = pa.list_(pa.struct([("key", pa.int64()), ("vec", pa.list_(pa.float64()))]))
 
 
 def fit_rows(
@@ -37,9 +39,10 @@ def fit_rows(
 
     ``lstsq`` needs at most d independent basis rows, the last in order; they are found per task and merged, and the
     coefficients are those on them (a basic solution; the least-norm one where the basis is independent).
-    ``nnls`` fits every target in its own task on a first pool of ``pool_rows`` basis rows (4·d). A fit that leaves
-    nothing, or whose pool was the whole basis, is final; the others go on together in rounds (``pricing``): tasks fit them, a
-    join finds basis rows that would improve them, until none does. The pool decides the cost, never the result.
+    ``nnls`` fits every target in its own task: on a first pool of ``pool_rows`` basis rows (4·d), then also on those of the first
+    ``pricing.start_rows`` rows that improve it. A fit that leaves nothing, or that has seen the whole basis, is final; the others
+    go on together in rounds (``pricing``): tasks fit them, a join finds basis rows that would improve them, until none does. The
+    pool and the start decide the cost, never the result.
     """
     if method not in ("nnls", "lstsq"):
         raise ValueError(f"method must be 'nnls' or 'lstsq', not {method!r}")
@@ -47,17 +50,21 @@ def fit_rows(
     rows = targets.select(row.alias("_id"), F.col(key).alias("_name"), as_double(vector).alias("_vec"))
     base = basis.select(row.alias("_key"), F.col(basis_key).cast("bigint").alias("_basis_key"), as_double(basis_vector).alias("_vec"))
     rows, base = materialise(rows, "targets"), materialise(base, "basis")
-    n, d = _checked(rows, base)
+    n_rows, n, d = _checked(rows, base)
     table = base.select(F.lit(GROUP).alias("_g"), "_key", "_vec", F.lit(1.0).alias("_spread"))
     if method == "lstsq":
         ids, matrix = _independent_rows(table, d)
         parts = [_first_fits(rows, ids, matrix, True, method)]
     else:
-        pool = base.orderBy("_key").limit(pool_rows or 4 * d).select("_key", "_vec").collect()
-        ids, matrix = np.array([r["_key"] for r in pool], np.int64), np.array([r["_vec"] for r in pool]).reshape(-1, d)
-        first = materialise(_first_fits(rows, ids, matrix, len(ids) == n, method), "fits")
-        parts = [first.where("_settled")]
-        if n > len(ids):
+        size = pool_rows or 4 * d
+        held = base.orderBy("_key").limit(max(size, pricing.start_rows(d))).select("_key", "_vec").collect()
+        ids, matrix = np.array([r["_key"] for r in held], np.int64), np.array([r["_vec"] for r in held]).reshape(-1, d)
+        start = pricing.Start(ids[size:], matrix[size:])
+        ids, matrix = ids[:size], matrix[:size]
+        tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // pricing.FITTED_ROWS))
+        first = materialise(_started(rows.repartition(min(tasks, max(n_rows, 1)), "_id"), ids, matrix, start, len(held) == n), "fits")
+        parts = [first.where("_settled").drop("_extra")]
+        if n > len(held):
             parts.append(materialise(_improved(first.where("not _settled"), table, n, d, ids, matrix), "fits"))
     fitted = parts[0]
     for part in parts[1:]:
@@ -80,8 +87,8 @@ def fit_rows(
     )
 
 
-def _checked(rows: DataFrame, base: DataFrame) -> tuple[int, int]:
-    """Basis rows and the length of all vectors."""
+def _checked(rows: DataFrame, base: DataFrame) -> tuple[int, int, int]:
+    """Targets, basis rows and the length of all vectors."""
     odd = F.col("_vec").isNull() | F.exists("_vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     facts = [
         df.agg(
@@ -98,7 +105,7 @@ def _checked(rows: DataFrame, base: DataFrame) -> tuple[int, int]:
     sizes = {f[c] for f in facts if f["n"] for c in ("low", "high")}
     if len(sizes) > 1:
         raise ValueError("vectors differ in length")
-    return facts[1]["n"], sizes.pop() if sizes else 1
+    return facts[0]["n"], facts[1]["n"], sizes.pop() if sizes else 1
 
 
 def _independent_rows(table: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +152,42 @@ def _first_fits(rows: DataFrame, names: np.ndarray, matrix: np.ndarray, complete
     return rows.select("_id", "_vec").mapInArrow(run, FIT)
 
 
+def _started(rows: DataFrame, names: np.ndarray, matrix: np.ndarray, start: pricing.Start, complete: bool) -> DataFrame:
+    """Non-negative fits on the pool and on the start rows that improve them; ``_extra`` has these, where the fit goes on."""
+    shared = rows.sparkSession.sparkContext.broadcast((names, matrix, start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, start = shared.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                vecs = pricing.vectors(part.column(1), matrix.shape[1])
+                has: list[list[int]] = [[] for _ in vecs]
+                x = [_fit(matrix, y, "nnls") for y in vecs]
+                left = np.array([y - row @ matrix for y, row in zip(vecs, x)]).reshape(vecs.shape)
+                going = np.flatnonzero(np.linalg.norm(left, axis=1) > EXACT * np.linalg.norm(vecs, axis=1))
+                while len(going) and len(start.keys):
+                    limits = kernels.IMPROVES * np.linalg.norm(left[going], axis=1) + 1e-12
+                    found = start.best(left[going], limits, [has[t] for t in going])
+                    more = {int(t): rows for t, rows in zip(going, found) if rows}
+                    going = list(more)
+                    for t in going:
+                        has[t] += more[t]
+                        basis = np.vstack([matrix, start.vecs[has[t]]])
+                        x[t] = _fit(basis, vecs[t], "nnls")
+                        left[t] = vecs[t] - x[t] @ basis
+                exact = np.linalg.norm(left, axis=1) <= EXACT * np.linalg.norm(vecs, axis=1)
+                for t in range(len(vecs)):
+                    basis, own = np.vstack([matrix, start.vecs[has[t]]]), np.concatenate([names, start.keys[has[t]]])
+                    settled = bool(complete or exact[t])
+                    extra = [] if settled else [{"key": int(start.keys[i]), "vec": start.vecs[i]} for i in has[t]]
+                    fit = _batch(part.column(0).slice(t, 1), vecs[t : t + 1], own, [x[t]], basis, [settled])
+                    column = pa.array([extra], EXTRA)
+                    yield pa.RecordBatch.from_arrays([*fit.columns, column], names=[*fit.schema.names, "_extra"])
+
+    return rows.select("_id", "_vec").mapInArrow(run, STARTED)
+
+
 def _improved(rows: DataFrame, table: DataFrame, n: int, d: int, ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
     """Fits of the targets that further basis rows improve: column generation in the tables, then the fits themselves in tasks."""
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -168,7 +211,7 @@ def _improved(rows: DataFrame, table: DataFrame, n: int, d: int, ids: np.ndarray
                     yield _batch(part.column(0).slice(i, 1), vecs[i : i + 1], own, x, basis, [True])
 
     targets = rows.select(
-        F.lit(0).alias("_p"), F.lit(GROUP).alias("_g"), "_id", F.lit(LOWEST_KEY).alias("_key"), "_vec", F.lit(1.0).alias("_spread")
+        F.lit(0).alias("_p"), F.lit(GROUP).alias("_g"), "_id", F.lit(LOWEST_KEY).alias("_key"), "_vec", F.lit(1.0).alias("_spread"), "_extra"
     )
     units = table.select("_g", "_key", "_vec", F.lit(None).cast("array<int>").alias("_kept_by"))
     improved = pricing.improve(targets, units, {GROUP: n}, judge, {0: ids}, d)

@@ -23,7 +23,9 @@ BLOCK_ROWS, PART_ROWS, CHUNK = 2048, 8192, 1024
 # Best rows a round returns per target.
 LANES = 16
 # Targets that one task fits.
-FITTED_ROWS = 2000
+FITTED_ROWS = 500
+# Table rows that every task holds and looks at before the table is joined: so many, or as many as fit these bytes.
+START_ROWS, START_BYTES = 8192, 4 << 20
 
 EXTRA = "array<struct<key:bigint,vec:array<double>>>"
 TARGET = "_p int, _g string, _id bigint, _key bigint, _vec array<double>, _spread double"
@@ -44,6 +46,32 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(rows.reshape(-1)))
 
 
+def start_rows(d: int) -> int:
+    return min(START_ROWS, START_BYTES // (8 * d))
+
+
+class Start:
+    """Some rows of the table, sorted by lane: of these a task finds the best per lane by itself, as a round does in the table."""
+
+    def __init__(self, keys: np.ndarray, vecs: np.ndarray):
+        order = np.lexsort((np.arange(len(keys)), keys % LANES))
+        self.keys, self.vecs = keys[order], vecs[order]
+        self.bounds = np.searchsorted(self.keys % LANES, np.arange(LANES + 1))
+
+    def best(self, directions: np.ndarray, limits: np.ndarray, has: list[list[int]]) -> list[list[int]]:
+        """Per target: the positions of the rows, one per lane at most, that exceed its limit most; not those that it ``has``."""
+        scores = self.vecs @ directions.T
+        for t, mine in enumerate(has):
+            scores[mine, t] = -np.inf
+        out: list[list[int]] = [[] for _ in has]
+        for begin, end in zip(self.bounds[:-1], self.bounds[1:]):
+            if end > begin:
+                pick = begin + scores[begin:end].argmax(axis=0)
+                for t in np.flatnonzero(scores[pick, np.arange(len(has))] > limits):
+                    out[t].append(int(pick[t]))
+        return out
+
+
 def _fit_task(judge: Judge, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,23 +105,27 @@ def _price_task(known, d: int, two_sided: bool):
             directions, has = vectors(targets.column("_direction"), d), targets.column("_has").to_pylist()
             own_keys, vecs = rows.column("_key").to_numpy(), vectors(rows.column("_vec"), d)
             kept_by = rows.column("_kept_by").to_pylist()
+            asked = np.unique(problems)
+            kept_for = {p: kept for p in asked if (kept := np.array([bool(k) and int(p) in k for k in kept_by])).any()}
+            # Rows that a target's basis has: places of the row and of the target.
+            held = np.array([key for mine in has for key in mine], np.int64)
+            holder = np.repeat(np.arange(len(keys)), [len(mine) for mine in has])
+            order = np.argsort(own_keys)
+            place = order[np.searchsorted(own_keys, held, sorter=order).clip(max=len(own_keys) - 1)]
+            found = own_keys[place] == held
+            place, holder = place[found], holder[found]
             top = np.full((LANES, len(keys)), -np.inf)
             at = np.zeros((LANES, len(keys)), np.int64)
             for begin in range(0, len(own_keys), CHUNK):
                 own = own_keys[begin : begin + CHUNK]
                 scores = kernels.gains(vecs[begin : begin + CHUNK], directions, two_sided)
                 eligible = own[:, None] > keys[None, :]
-                for r, kept in enumerate(kept_by[begin : begin + CHUNK]):
-                    if kept:
-                        eligible[r] |= np.isin(problems, kept) & (own[r] < keys)
-                for p in np.unique(problems):
+                for p, kept in kept_for.items():
+                    eligible |= kept[begin : begin + CHUNK, None] & (own[:, None] < keys[None, :]) & (problems == p)[None, :]
+                for p in asked:
                     eligible[np.ix_(np.isin(own, known.value[int(p)]), problems == p)] = False
-                order = np.argsort(own)
-                for t, mine in enumerate(has):
-                    if mine:
-                        place = np.searchsorted(own, mine, sorter=order).clip(max=len(own) - 1)
-                        hit = order[place]
-                        eligible[hit[own[hit] == mine], t] = False
+                here = (place >= begin) & (place < begin + len(own))
+                eligible[place[here] - begin, holder[here]] = False
                 scores = np.where(eligible & (scores > limits[None, :]), scores, -np.inf)
                 for lane in range(LANES):
                     members = np.flatnonzero(own % LANES == lane)
@@ -168,21 +200,29 @@ def improve(
 ) -> DataFrame:
     """``TARGET, _extra, _value`` of every target, fitted on its basis and whatever rows of the table improve the fit.
 
-    ``targets`` has the columns of ``TARGET``; ``_id`` is unique within a problem ``_p``, all problems of a group share its rows.
+    ``targets`` has the columns of ``TARGET``, and may have ``_extra``, rows found before; ``_id`` is unique within a problem ``_p``, all problems of a group share its rows.
     ``table`` has ``_g, _key, _vec, _kept_by`` (problems that have kept the row; NULL for none). ``sizes`` counts a group's
     rows, ``known`` lists the keys that the basis of a problem has from the start. ``two_sided``: rows bound from above, too.
     """
     spark = targets.sparkSession
     shared = spark.sparkContext.broadcast(known)
-    state = targets.select(*[c.split()[0] for c in TARGET.split(", ")], F.array().cast(EXTRA).alias("_extra"))
+    extra = F.col("_extra") if "_extra" in targets.columns else F.array()
+    state = targets.select(*[c.split()[0] for c in TARGET.split(", ")], extra.cast(EXTRA).alias("_extra"))
     n_open, settled = _open_by_group(state), []
     while n_open:
         n = sum(n_open.values())
         tasks = max(spark.sparkContext.defaultParallelism, -(-n // FITTED_ROWS))
         fits = materialise(state.repartition(min(n, tasks)).mapInArrow(_fit_task(judge, d), STATE), "fits")
-        found = _price(fits, table, n_open, sizes, shared, d, two_sided)
-        priced = materialise(fits.drop("_direction", "_limit").join(found, ["_p", "_id"], "left"), "priced")
-        discard(fits)
+        open_fits = fits.where(F.col("_limit") < float("inf"))
+        n_open = _open_by_group(open_fits)
+        if sum(n_open.values()) < n:  # no row can change the others
+            settled.append(fits.where("not _limit < double('inf')").drop("_direction", "_limit"))
+        if not n_open:
+            break
+        found = _price(open_fits, table, n_open, sizes, shared, d, two_sided)
+        priced = materialise(open_fits.drop("_direction", "_limit").join(found, ["_p", "_id"], "left"), "priced")
+        if sum(n_open.values()) == n:
+            discard(fits)
         settled.append(priced.where("_new is null").drop("_new"))
         state = priced.where("_new is not null").withColumn("_extra", F.concat("_extra", "_new")).drop("_new", "_value")
         state = state.select(*[c.split()[0] for c in TARGET.split(", ")], "_extra")
