@@ -220,7 +220,7 @@ def test_a_tail_is_solved_in_several_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(sieve.Sieve, "_solve", watched)
     rows = pointed(2, 60, 16)
-    find_redundancy(frame(spark, rows), threshold=0.9).count()
+    find_redundancy(frame(spark, rows), threshold=0.9, group_rows=0).count()  # groups this small are decided in tasks otherwise
     assert asked[0] == (60, sieve.RUN_ROWS) and all(run <= sieve.RUN_ROWS for _, run in asked)
 
 
@@ -311,6 +311,36 @@ def test_half_space_equals_sequential_programmes(spark, seed):
     assert 0 < len(half_space_greedy(rows)) < len(rows)
 
 
+@pytest.mark.parametrize("held", [8 * 3 * 4, 1 << 20])
+def test_half_spaces_are_decided_at_once(spark, monkeypatch, held):
+    """No block of rows is loaded, whether tasks hold all rows or a few, and copies and near copies are decided as in order."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(20, 3))
+    rows *= np.sign(rows @ np.array([0.2, 0.5, 0.3]))[:, None]
+    rows = np.vstack([rows, rows[4:9], rows[9:12] + 1e-8])
+    loaded = []
+    monkeypatch.setattr(sieve, "PROGRAMME_BYTES", held)
+    monkeypatch.setattr(sieve.Sieve, "_next_blocks", lambda self, *a, f=sieve.Sieve._next_blocks: loaded.append(1) or f(self, *a))
+    dropped = half_space_greedy(rows)
+    want = [simplex_minimum(c, rows[[j for j in range(28) if j > i or (j < i and j not in dropped)]]) for i, c in enumerate(rows)]
+    result = half_space_redundancy(frame(spark, rows), tail_rows=4, block_rows=1).orderBy("example_num").collect()
+    assert [i for i, r in enumerate(result) if r.is_redundant] == dropped and not loaded
+    assert [r.min_value for r in result] == pytest.approx(want, abs=1e-6)
+
+
+def test_programmes_on_some_rows_at_a_time():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(2 * kernels.PRICED, 6)) + 2.0
+    usable = rng.random(len(rows)) < 0.8
+    for cost in rng.normal(size=(20, 6)):
+        low, w = kernels.simplex_minimum(cost, rows, usable)
+        some = np.flatnonzero(usable)
+        parts = [kernels.simplex_minimum(cost, rows[some[i::3]])[0] for i in range(3)]
+        assert (rows[usable] @ w).min() > -1e-9 and abs(cost @ w - low) < 1e-9 and low >= max(parts) - 1e-9
+        tight = some[rows[some] @ w < 1e-7]
+        assert kernels.simplex_minimum(cost, rows[tight])[0] == pytest.approx(low, abs=1e-8)
+
+
 def test_half_space_infeasible_keeps_everything(spark):
     rows = np.array([[-1.0, -2.0], [-1.0, -1.0], [0.5, 1.0], [3.0, -1.0]])
     assert half_space_greedy(rows) == []
@@ -353,6 +383,22 @@ def test_pricing_in_blocks_and_parts(spark, monkeypatch):
         assert (basis @ left).max() < 1e-6 and abs(fit @ left) < 1e-6 and abs(r.residual - np.linalg.norm(left)) < 1e-9
 
 
+@pytest.mark.parametrize("start", [5, 8192])
+def test_fits_on_start_rows_are_those_of_the_whole_basis(spark, monkeypatch, start):
+    """Where the rows that tasks hold reach every target, the table is never joined; else the fits go on in it."""
+    rng = np.random.default_rng(12)
+    basis, targets = rng.normal(size=(80, 4)), rng.normal(size=(30, 4))
+    joined = []
+    monkeypatch.setattr(pricing, "START_ROWS", start)
+    monkeypatch.setattr(pricing, "_price", lambda *a, f=pricing._price: joined.append(1) or f(*a))
+    out = fit_rows(frame(spark, targets), frame(spark, basis), "nnls", pool_rows=2).collect()
+    assert len(out) == 30 and max(r.residual for r in out) < 1e-9
+    for r in out:
+        again = sum(c.coefficient * basis[(c.basis_key - 1) // 3] for c in r.coefficients)
+        assert np.allclose(again, targets[(r.example_num - 1) // 3]) and all(c.coefficient >= 0 for c in r.coefficients)
+    assert bool(joined) == (start == 5)
+
+
 def test_values_of_open_rows_never_come_to_the_driver(spark, monkeypatch):
     """Beyond the tail no vector is collected for a fit value: the search may look at blocks, the values may not."""
     seen = []
