@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -30,6 +31,7 @@ class PrefixTableEncoder:
         for piece, i in self.model.id_of.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        self.alphabet = frozenset(p for p in self.model.id_of if len(p) == 1)
         self.compatible = Memo(self._compatible, 1_000_000)
         self.chunk = Memo(self._encode_chunk, 600_000)
 
@@ -73,7 +75,7 @@ class PrefixTableEncoder:
         parts = self.model.parts(chunk)
         if len(parts) > 1:
             ids = tuple(i for p in parts for i in self.chunk(p)[0])
-        elif len(chunk) > 1 and any(c not in self.model.id_of for c in chunk):
+        elif len(chunk) > 1 and not self.alphabet.issuperset(chunk):
             ids = tuple(i for p in self.model.known_runs(chunk) for i in self._encode_part(p))
         else:
             ids = self._encode_part(chunk)
@@ -82,7 +84,7 @@ class PrefixTableEncoder:
     def encode(self, text: str) -> tuple[list[int], list[str]]:
         """The ids, and the same in decimal, joined by spaces within each chunk."""
         hits = self.chunk.many(self.model.chunks(text))
-        return list(itertools.chain.from_iterable(h[0] for h in hits)), [h[1] for h in hits]
+        return list(itertools.chain.from_iterable(map(itemgetter(0), hits))), list(map(itemgetter(1), hits))
 
 
 def encode_pieces(df: DataFrame, model: str, *, key: str = "doc_id", text: str = "text", end_id: bool = True) -> DataFrame:

@@ -19,6 +19,7 @@ import sentencepiece
 SPACE = "▁"
 #: A run of spaces with what follows it, or what stands before the first space.
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(rf"{SPACE}?[^\W\d_]+")
 
 _built: dict[tuple[str, str], Any] = {}
@@ -65,11 +66,27 @@ class PieceModel:
         #: Neighbours inside some piece. Between any other two characters no merge can ever reach across.
         self.inside = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
         self.cut_at_spaces = not any(p[i] != SPACE and p[i + 1] == SPACE for p in self.id_of for i in range(len(p) - 1))
+        self.cut = self._cut() if self.cut_at_spaces else None
+
+    def _cut(self) -> re.Pattern:
+        """Chunks also end where a word does: words are the same whatever punctuation follows them.
+
+        A word's letters are those of the vocabulary; one that some piece has beside another character than a letter or a
+        space counts as other characters do, and so do the letters beside it, so that no piece reaches over the end of a word.
+        """
+        pairs = [pair for pair in self.inside if SPACE not in pair]
+        letters = {c for c in self.id_of if len(c) == 1 and LETTER.match(c)}
+        while more := {c for pair in pairs if (pair[0] in letters) != (pair[1] in letters) for c in pair} & letters:
+            letters -= more
+        if not letters:
+            return CHUNK
+        plain = "".join(map(re.escape, sorted(letters)))
+        return re.compile(f"{SPACE}*(?:[{plain}]+|[^{plain}{SPACE}]+)|{SPACE}+")
 
     def chunks(self, text: str) -> list[str]:
-        """The normalised text cut before spaces, if no piece of the model reaches over such a place."""
+        """The normalised text cut before spaces, and where words end, if no piece of the model reaches over such a place."""
         normalised = self.library.normalize(text)
-        return CHUNK.findall(normalised) if self.cut_at_spaces else [normalised] if normalised else []
+        return self.cut.findall(normalised) if self.cut else [normalised] if normalised else []
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk cut where no merge can reach across; one plain word is left whole."""

@@ -45,6 +45,19 @@ def test_pair_test_agrees_with_merging():
         assert model.neighbours(a, b) == (model.merged(a + b) == [a, b]), (a, b)
 
 
+def test_chunks_end_where_words_do():
+    """One entry per word, whatever punctuation follows; letters that pieces join with other characters are no word's end."""
+    model = ENCODER.model
+    said = ["word word, word. word\nword%% (word) word3word", "²a ².", "²..a", "aé.漢1_b▁▁ c", "a  b,c", "é²."]
+    for text in said:
+        assert "".join(model.chunks(text)) == LIBRARY.normalize(text)
+        assert ENCODER.encode(text)[0] == LIBRARY.encode(text) and COUNTER.count(text) == len(LIBRARY.encode(text))
+    assert {c.strip("▁") for c in model.chunks(said[0]) if "word" in c} == {"word"}
+    for pair in model.inside:  # no piece reaches over a place where a text is cut
+        if "▁" not in pair:
+            assert len(model.cut.findall(pair)) == 1, pair
+
+
 def test_memo_is_bounded():
     memo = counting.Memo(len, 10)
     assert [memo("x" * i) for i in range(100)] == list(range(100))
