@@ -156,6 +156,31 @@ def test_peeling_recovers_every_difference_whatever_the_size(spark):
     assert got == want
 
 
+def test_rows_to_try_again_are_shuffled_once(spark, monkeypatch):
+    """What is left of a row meets its digests where peeling put them: no shuffle brings the digests there again."""
+    plans, write = [], sketches.materialise
+
+    def watched(df, name):
+        df.count() if df.isEmpty() else df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(sketches, "materialise", watched)
+    data = [(i, p, list(range(i * 50)), list(range(5, i * 60))) for i in range(1, 5) for p in ("a", "b")]
+    df = spark.createDataFrame(data, "row bigint, pair string, mine array<bigint>, other array<bigint>")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        got = {(r.row, r.pair): {(d.digest, d.sign) for d in r.digests} for r in sketches.differences(df).collect()}
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    sides = {(i, p): (set(a), set(b)) for i, p, a, b in data}
+    assert got == {k: {(x, 1) for x in a - b} | {(x, -1) for x in b - a} for k, (a, b) in sides.items() if a != b}
+    assert len(plans) > 1 and any("ReusedExchange" in plan for plan in plans)
+
+
 def test_sketches_run_without_python(spark, small):
     plan = sketches.compare_versions(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan
