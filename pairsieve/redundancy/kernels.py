@@ -17,6 +17,8 @@ IMPROVES = 1e-8
 AT_ONCE, STEPS = 8, 30
 # A linear programme on more rows looks at some of them at a time, to which as many join as it violates most.
 PRICED, JOINING = 512, 64
+# Programmes solved side by side: at most so many, and as many as work within a core's cache.
+SIDES, SIDE_BYTES = 64, 1536 << 10
 
 
 # ---------------------------------------------------------------- least squares
@@ -344,6 +346,129 @@ def simplex_minimum(cost: np.ndarray, rows: np.ndarray, usable: np.ndarray | Non
     raise ArithmeticError("the half-space programme did not converge")
 
 
+def slack_basis(costs: np.ndarray) -> np.ndarray:
+    """The start of ``simplex_minima``: every component's slack, and s (−1) in place of the one with the lowest cost."""
+    bases = np.tile(np.arange(costs.shape[1]), (len(costs), 1))
+    bases[np.arange(len(costs)), _shifted(costs).argmin(axis=1)] = -1
+    return bases
+
+
+def _shifted(costs: np.ndarray) -> np.ndarray:
+    d = costs.shape[-1]
+    return costs + np.random.default_rng(d).uniform(0.0, 5e-10, size=d)
+
+
+def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``simplex_minimum`` of many costs, each on rows of its own: the minimising points, and which programmes are feasible.
+
+    ``rows`` is programmes × rows × d; rows of zeros do not count. ``bases`` holds the columns each programme starts from (its d
+    slacks, then its rows; −1 is s) and is overwritten with those it ends on: with more rows a programme goes on from there. The
+    steps are those of one programme, taken by ``SIDE_BYTES`` of programmes at a time; one that ends makes room for the next.
+    """
+    n, d = costs.shape
+    m = rows.shape[1]
+    points, feasible = np.zeros((n, d)), np.zeros(n, dtype=bool)
+    shifted, unit = _shifted(costs), np.eye(d)
+    width = min(n, max(1, min(SIDES, SIDE_BYTES // (8 * d * (m + 2 * d)))))
+    mine = np.arange(width)  # the programme of each place
+    begun = width
+    own, cost, basis = rows[mine], shifted[mine], bases[mine]
+    inverse, values, update = np.empty((width, d, d)), np.empty((width, d)), np.empty((width, d, d))
+    closed = np.zeros((width, d + m))  # infinite for columns of the basis, which do not enter
+    level, still, steps = (np.zeros(width, dtype=np.int64) for _ in range(3))
+    exact = np.zeros(width, dtype=bool)
+
+    def factor(at: np.ndarray) -> None:
+        columns = basis[at]
+        matrix = own[at[:, None], np.maximum(columns - d, 0)] if m else np.zeros((len(at), d, d))
+        slacks = (columns >= 0) & (columns < d)
+        matrix[slacks] = unit[columns[slacks]]
+        matrix[columns < 0] = 1.0
+        inverse[at] = np.linalg.inv(matrix.transpose(0, 2, 1))
+        values[at] = np.maximum(np.matmul(inverse[at], cost[at][:, :, None])[:, :, 0], 0.0)
+        exact[at] = True
+
+    def begin(at: np.ndarray) -> None:
+        columns = basis[at]
+        level[at] = (columns < 0).argmax(axis=1)
+        closed[at] = 0.0
+        place, which = np.nonzero(columns >= 0)
+        closed[at[place], columns[place, which]] = np.inf
+        still[at] = steps[at] = 0
+        factor(at)
+
+    places = np.arange(width)
+    begin(places)
+    step = 0
+    while len(places):
+        step += 1
+        if step % 100 == 0:
+            factor(places)
+        w = inverse[places, level]
+        prices = np.concatenate([w, np.matmul(own, w[:, :, None])[:, :, 0]], axis=1)
+        prices += closed
+        # The most negative price enters; after a run of steps without progress the first one does.
+        entering = prices.argmin(axis=1)
+        if still.max() >= 20:
+            for i in np.flatnonzero(still >= 20):
+                entering[i] = int(np.argmax(prices[i] < -1e-11))
+        ended = prices[places, entering] >= -1e-11
+        if ended.any():
+            # A programme ends on a basis factored anew.
+            inexact = np.flatnonzero(ended & ~exact)
+            if len(inexact):
+                factor(inexact)
+                continue
+            leave = np.flatnonzero(ended)
+            w = np.maximum(w[leave], 0.0)
+            points[mine[leave]], feasible[mine[leave]] = w / w.sum(axis=1)[:, None], True
+        else:
+            chosen = own[places, np.maximum(entering - d, 0)] if m else np.zeros((len(places), d))
+            slacks = np.flatnonzero(entering < d)
+            chosen[slacks] = unit[entering[slacks]]
+            direction = np.matmul(inverse, chosen[:, :, None])[:, :, 0]
+            can = direction > 1e-10
+            can[places, level] = False
+            ratios = np.divide(values, direction, out=np.full_like(values, np.inf), where=can)
+            leaving = ratios.argmin(axis=1)
+            size = ratios[places, leaving]
+            leave = np.flatnonzero(size == np.inf)
+            if not len(leave):
+                tied = ratios <= size[:, None] + 1e-13
+                if tied.sum() > len(places):
+                    leaving = np.where(tied, basis, d + m).argmin(axis=1)
+                    size = ratios[places, leaving]
+                still = np.where(size <= 1e-13, still + 1, 0)
+                values -= size[:, None] * direction
+                np.maximum(values, 0.0, out=values)
+                values[places, leaving] = size
+                pivot = inverse[places, leaving] / direction[places, leaving][:, None]
+                np.multiply(direction[:, :, None], pivot[:, None, :], out=update)
+                inverse -= update
+                inverse[places, leaving] = pivot
+                closed[places, basis[places, leaving]] = 0.0
+                closed[places, entering] = np.inf
+                basis[places, leaving] = entering
+                exact[:] = False
+                steps += 1
+                if steps.max() > 50 * d + 10 * m + 200:
+                    raise ArithmeticError("the half-space programme did not converge")
+                continue
+        bases[mine[leave]] = basis[leave]
+        into = leave[: n - begun]
+        if len(into):
+            mine[into] = np.arange(begun, begun + len(into))
+            begun += len(into)
+            own[into], cost[into], basis[into] = rows[mine[into]], shifted[mine[into]], bases[mine[into]]
+            begin(into)
+        if len(into) < len(leave):
+            stay = np.setdiff1d(places, leave[len(into) :])
+            mine, own, cost, basis, inverse, values, closed = (a[stay] for a in (mine, own, cost, basis, inverse, values, closed))
+            level, still, steps, exact, places = level[stay], still[stay], steps[stay], exact[stay], np.arange(len(stay))
+            update = np.empty_like(inverse)
+    return points, feasible
+
+
 @dataclass(frozen=True)
 class HalfSpaceTest:
     """Is row·w ≥ −slack implied on the simplex by −slack ≤ row·w ≤ bound for the basis rows?"""

@@ -341,6 +341,43 @@ def test_programmes_on_some_rows_at_a_time():
         assert kernels.simplex_minimum(cost, rows[tight])[0] == pytest.approx(low, abs=1e-8)
 
 
+def test_programmes_side_by_side():
+    """As one by one, whatever ends first; and going on with more rows from where they ended is as starting anew."""
+    rng = np.random.default_rng(7)
+    for d in (2, 3, 6):
+        rows = rng.normal(size=(90, 12, d)) + 1.0
+        rows[::4] = np.round(rows[::4] - 0.8)
+        costs = np.round(rng.normal(size=(90, d)), 1)
+        bases = kernels.slack_basis(costs)
+        for some in (0, 5, 12):
+            points, feasible = kernels.simplex_minima(costs, rows[:, :some], bases)
+            for i, cost in enumerate(costs):
+                low, _ = kernels.simplex_minimum(cost, rows[i, :some])
+                assert feasible[i] == (low is not None)
+                assert low is None or (abs(cost @ points[i] - low) < 1e-8 and (rows[i, :some] @ points[i] > -1e-9).all())
+        assert 0 < feasible.sum() < 90
+
+
+@pytest.mark.parametrize("held", [8 * 3 * 16, 1 << 20])
+def test_half_spaces_take_a_programme_a_row(spark, monkeypatch, held):
+    """Rows meet the table in pieces, not in joins; and hardly any row needs a second programme for its decision or its value."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(30, 3))
+    rows *= np.sign(rows @ np.array([0.2, 0.5, 0.3]))[:, None]
+    rows = np.vstack([rows, rows[3:6]])
+    asked = []
+    solve = sieve.solve_programmes
+    monkeypatch.setattr(sieve, "PROGRAMME_BYTES", held)
+    monkeypatch.setattr(sieve.pricing, "_price", None)
+    monkeypatch.setattr(sieve, "solve_programmes", lambda targets, *a: asked.append(targets.count()) or solve(targets, *a))
+    dropped = half_space_greedy(rows)
+    want = [simplex_minimum(c, rows[[j for j in range(33) if j > i or (j < i and j not in dropped)]]) for i, c in enumerate(rows)]
+    result = half_space_redundancy(frame(spark, rows), tail_rows=4, block_rows=1).orderBy("example_num").collect()
+    assert [i for i, r in enumerate(result) if r.is_redundant] == dropped and 0 < len(dropped) < 33
+    assert [r.min_value for r in result] == pytest.approx(want, abs=1e-6)
+    assert asked[0] == 30 and sum(asked[1:]) < 30
+
+
 def test_half_space_infeasible_keeps_everything(spark):
     rows = np.array([[-1.0, -2.0], [-1.0, -1.0], [0.5, 1.0], [3.0, -1.0]])
     assert half_space_greedy(rows) == []
