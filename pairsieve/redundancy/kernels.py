@@ -18,7 +18,7 @@ AT_ONCE, STEPS = 8, 30
 # A linear programme on more rows looks at some of them at a time, to which as many join as it violates most.
 PRICED, JOINING = 512, 64
 # Programmes solved side by side: at most so many, and as many as work within a core's cache.
-SIDES, SIDE_BYTES = 64, 1536 << 10
+SIDES, SIDE_BYTES = 64, 2 << 20
 
 
 # ---------------------------------------------------------------- least squares
@@ -375,8 +375,7 @@ def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tu
     own, cost, basis = rows[mine], shifted[mine], bases[mine]
     inverse, values, update = np.empty((width, d, d)), np.empty((width, d)), np.empty((width, d, d))
     closed = np.zeros((width, d + m))  # infinite for columns of the basis, which do not enter
-    level, still, steps = (np.zeros(width, dtype=np.int64) for _ in range(3))
-    exact = np.zeros(width, dtype=bool)
+    level, still, steps, age = (np.zeros(width, dtype=np.int64) for _ in range(4))  # age: steps since the basis was factored
 
     def factor(at: np.ndarray) -> None:
         columns = basis[at]
@@ -386,7 +385,7 @@ def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tu
         matrix[columns < 0] = 1.0
         inverse[at] = np.linalg.inv(matrix.transpose(0, 2, 1))
         values[at] = np.maximum(np.matmul(inverse[at], cost[at][:, :, None])[:, :, 0], 0.0)
-        exact[at] = True
+        age[at] = 0
 
     def begin(at: np.ndarray) -> None:
         columns = basis[at]
@@ -414,10 +413,10 @@ def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tu
                 entering[i] = int(np.argmax(prices[i] < -1e-11))
         ended = prices[places, entering] >= -1e-11
         if ended.any():
-            # A programme ends on a basis factored anew.
-            inexact = np.flatnonzero(ended & ~exact)
-            if len(inexact):
-                factor(inexact)
+            # A programme ends on a basis factored lately.
+            old = np.flatnonzero(ended & (age > 50))
+            if len(old):
+                factor(old)
                 continue
             leave = np.flatnonzero(ended)
             w = np.maximum(w[leave], 0.0)
@@ -449,7 +448,7 @@ def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tu
                 closed[places, basis[places, leaving]] = 0.0
                 closed[places, entering] = np.inf
                 basis[places, leaving] = entering
-                exact[:] = False
+                age += 1
                 steps += 1
                 if steps.max() > 50 * d + 10 * m + 200:
                     raise ArithmeticError("the half-space programme did not converge")
@@ -464,7 +463,7 @@ def simplex_minima(costs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> tu
         if len(into) < len(leave):
             stay = np.setdiff1d(places, leave[len(into) :])
             mine, own, cost, basis, inverse, values, closed = (a[stay] for a in (mine, own, cost, basis, inverse, values, closed))
-            level, still, steps, exact, places = level[stay], still[stay], steps[stay], exact[stay], np.arange(len(stay))
+            level, still, steps, age, places = level[stay], still[stay], steps[stay], age[stay], np.arange(len(stay))
             update = np.empty_like(inverse)
     return points, feasible
 

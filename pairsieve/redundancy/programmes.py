@@ -183,13 +183,13 @@ class _Block:
         """
         n, d = self.costs.shape
         want = 5 * d // 2
-        slopes = self.costs - self.costs.mean(axis=1)[:, None]
+        slopes = (self.costs - self.costs.mean(axis=1)[:, None]).astype(np.float32)
         hits, bound, floor = _Hits(n, want, d), None, None
         for begin, keys, spaces, marks in parts():
             depth = spaces.mean(axis=1)
             if floor is None:
                 floor = max(NEAREST * float(np.abs(depth).mean()), 1e-12)
-            scores = slopes @ (spaces / np.maximum(depth, floor)[:, None]).T
+            scores = slopes @ (spaces / np.maximum(depth, floor)[:, None]).astype(np.float32).T
             if bound is None:
                 # What so many of this part, the first, exceed, about so many of all in proportion do.
                 some = min(len(keys), 1 + int(1.25 * want * len(keys) / max(self.n_rows, 1)))
@@ -202,19 +202,27 @@ class _Block:
 
     def _violated(self, parts, targets: np.ndarray, points: np.ndarray) -> tuple:
         """The half-spaces outside its programme that each solution violates most; targets by their place in ``targets``."""
-        hits = _Hits(len(targets), JOINING, self.costs.shape[1])
+        d = self.costs.shape[1]
+        hits = _Hits(len(targets), JOINING, d)
         if not len(targets):
             return hits.best()
+        # Half-spaces have components of 1 at most and points add up to 1: single precision is off by less than this.
+        near = (d + 4) * float(np.finfo(np.float32).eps)
+        coarse = points.astype(np.float32)
         for begin, keys, spaces, marks in parts():
-            prices = points @ spaces.T
-            t, r = np.nonzero(prices < -1e-11)
+            t, r = np.nonzero(coarse @ spaces.astype(np.float32).T < near)
             usable = self._usable(targets[t], r, keys, marks)
             t, r = t[usable], r[usable]
-            if len(t):
+            if len(t) > len(targets) * len(keys) // 64:
+                prices = (points @ spaces.T)[t, r]
+            else:
+                prices = np.einsum("ij,ij->i", points[t], spaces[r])
+            low = np.flatnonzero(prices < -1e-11)
+            if len(low):
                 # Those of the programme are violated by rounding only.
-                inside = self._inside(targets, t, begin + r)
-                t, r = t[~inside], r[~inside]
-                hits.take(t, -prices[t, r], begin + r, keys[r], spaces, r)
+                low = low[~self._inside(targets, t[low], begin + r[low])]
+                t, r = t[low], r[low]
+                hits.take(t, -prices[low], begin + r, keys[r], spaces, r)
         return hits.best()
 
     def _inside(self, targets: np.ndarray, t: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -14,7 +14,8 @@ fit, which gives four exact steps:
 4. *Finish.* The tail is a last block, resolved the same way; all its basis rows are known, so no scan is needed.
 
 Half-spaces are decided all at once, not block after block: a redundant row does not move the others' common part, so nearly
-every row is settled by a programme on all other rows (kept) and one on the later and the kept rows (redundant).
+every row is settled by a programme on all other rows: kept where these do not imply it, redundant where its active rows are later
+or kept ones; and the minimum there is its value.
 
 Decisions only need part of a basis; the fit value of a row needs all of it. A last pass fits every row, in its own task,
 on the later and the kept rows, and scans for rows that would improve the fits that are not exact yet.
